@@ -56,7 +56,7 @@ def enrich_lookup(df: DataFrame, lookup: DataFrame, on: dict[str, str], out: Seq
     renamed = lookup.select(*[F.col(r).alias(f"_k_{r}") for r in on.values()], *out)
     condition = None
     for l, r in on.items():
-        part = df[l] == renamed[f"_k_{r}"]
+        part = F.col(l) == F.col(f"_k_{r}")
         condition = part if condition is None else condition & part
     return df.join(renamed, condition, "left").drop(*[f"_k_{r}" for r in on.values()])
 

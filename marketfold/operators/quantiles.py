@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]):
+def _renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({n: f"_r_{n}" for n in names})
+
+
+def _same(names: Sequence[str]) -> Column:
+    """Equality with the renamed side, NULL keys included."""
     condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
+    for n in names:
+        condition = condition & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
     return condition
 
 
@@ -55,8 +60,8 @@ def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[st
         .select(*by, *bin_columns, "_before", "_lo", "_hi", "_rank", F.col("_want.name").alias("_name"))
     )
     keys = by + bin_columns
-    opened = histogram.join(bins, _same(histogram, bins, keys)).select(
-        *[histogram[k] for k in keys], "_v", "_n", "_name", "_before", "_lo", "_hi", "_rank")
+    opened = histogram.join(_renamed(bins, keys), _same(keys)).select(
+        *keys, "_v", "_n", "_name", "_before", "_lo", "_hi", "_rank")
     inside = (
         Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     spans = opened.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
@@ -89,11 +94,10 @@ def impute_group_median(df: DataFrame, column: str, by: Sequence[str], out: str)
     A NULL in a grouping column never finds its group, as in an SQL equality join.
     """
     medians = percentiles(df, column, {"_median": 0.5}, by)
-    renamed = medians.select(*[F.col(b).alias(f"_m_{b}") for b in by], "_median")
     condition = F.lit(True)
     for b in by:
-        condition = condition & (df[b] == renamed[f"_m_{b}"])
-    filled = df.join(renamed, condition, "left")
+        condition = condition & (F.col(b) == F.col(f"_r_{b}"))
+    filled = df.join(_renamed(medians, by), condition, "left")
     return (
         filled.withColumn(out, F.coalesce(F.col(column).cast("double"), F.col("_median")))
         .filter(F.col(out).isNotNull()).select(*df.columns, out)

@@ -180,5 +180,6 @@ def days_on_market(listings: DataFrame) -> DataFrame:
         "days", F.datediff(F.col("`Last Updated`").cast("date"), F.col("`List Date`")))
     counts = rows.groupBy("city", "area").agg(F.count("*").alias("listings"))
     medians = _median(rows, "days", ["city", "area"], "median_days")
-    return counts.join(medians, (counts["city"] == medians["city"]) & counts["area"].eqNullSafe(medians["area"])).select(
-        counts["city"], counts["area"], "listings", "median_days")
+    named = medians.withColumnsRenamed({"city": "_city", "area": "_area"})
+    same = F.col("city").eqNullSafe(F.col("_city")) & F.col("area").eqNullSafe(F.col("_area"))
+    return counts.join(named, same).select("city", "area", "listings", "median_days")
