@@ -21,7 +21,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, root: str) -> DataFrame:
-        return _plain_numbers(self.build(Tables(spark, root)))
+        return _plain_numbers(self.build(Tables.shared(spark, root)))
 
     def oracle(self) -> str | None:
         if self.sql is None:

@@ -32,11 +32,27 @@ class _Lazy(dict):
 
 
 class Tables:
-    """Plans over one directory. Nothing is cached; staged steps are written per use."""
+    """Plans over one directory, and the steps already written for it."""
+
+    _shared: dict[tuple[str, str], Tables] = {}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
+
+    @classmethod
+    def shared(cls, spark: SparkSession, root: str) -> Tables:
+        """One instance per application and directory."""
+        key = (spark.sparkContext.applicationId, root)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, root)
+        return cls._shared[key]
+
+    @classmethod
+    def forget(cls) -> None:
+        """Drop shared instances, so that the next query computes every step again."""
+        cls._shared.clear()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
@@ -111,15 +127,29 @@ class Tables:
                     listings.clean_b(b, listings.STRICT, "neighborhood", True))
         return listings.clean_a(a, listings.LOOSE, "borough"), listings.clean_b(b, listings.LOOSE, "borough")
 
+    # The merged and filled steps and the unified table are written once and then read,
+    # as a weekly refresh would do, however many queries follow.
     def merged(self, city: str) -> DataFrame:
+        return self._once(f"merged-{city}", lambda: self._merge(city))
+
+    def filled(self, city: str) -> DataFrame:
+        return self._once(f"filled-{city}", lambda: stage(listings.fill_sqft(self.merged(city)), "filled"))
+
+    def unified(self) -> DataFrame:
+        both = lambda: [self.published("boston"), self.published("new_york")]
+        return self._once("unified", lambda: stage(listings.publish_unified(both(), REFRESHED_AT), "listings"))
+
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = build()
+        return self._written[name]
+
+    def _merge(self, city: str) -> DataFrame:
         a, b = self.feeds(city)
         if city == "boston":
             return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True, stage)
         return listings.merge_feeds(a, b, listings.LOOSE, "borough", False, stage)
 
-    def filled(self, city: str) -> DataFrame:
-        return stage(listings.fill_sqft(self.merged(city)), "filled")
-
     def trimmed(self, city: str) -> DataFrame:
         return listings.trim_listings(self.filled(city))
 
@@ -130,14 +160,9 @@ class Tables:
         return self.input("ring_areas").join(rings, "area_id")
 
     def published(self, city: str) -> DataFrame:
-        a, b = self.feeds(city)
         if city == "boston":
-            return listings.boston(a, b, "best", stage)
-        return listings.new_york(a, b, self.polygons, "best", stage)
-
-    def unified(self) -> DataFrame:
-        both = [self.published("boston"), self.published("new_york")]
-        return stage(listings.publish_unified(both, REFRESHED_AT), "listings")
+            return listings.publish_boston(self.filled(city), "best")
+        return listings.publish_new_york(self.filled(city), self.polygons, "best")
 
     # landed pages
     def pages(self, feed: str) -> DataFrame:

@@ -60,11 +60,14 @@ def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[st
         .select(*by, *bin_columns, "_before", "_lo", "_hi", "_rank", F.col("_want.name").alias("_name"))
     )
     keys = by + bin_columns
+    # The opened bins are a sliver of the values; one exchange by group serves all the rest.
     opened = histogram.join(_renamed(bins, keys), _same(keys)).select(
-        *keys, "_v", "_n", "_name", "_before", "_lo", "_hi", "_rank")
-    inside = (
-        Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    spans = opened.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        *by, "_v", "_n", "_name", "_before", "_lo", "_hi", "_rank")
+    opened = opened.repartition(*by) if by else opened.repartition(1)
+    wanted_rank = Window.partitionBy(*by, "_name")
+    inside = wanted_rank.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Ranks next to each other lie in one bin or in two neighbours, so counts run on.
+    spans = opened.withColumn("_end", F.min("_before").over(wanted_rank) + F.sum("_n").over(inside))
     start = F.col("_end") - F.col("_n")
     at_lo = (start <= F.col("_lo")) & (F.col("_lo") < F.col("_end"))
     at_hi = (start <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))
@@ -93,7 +96,7 @@ def impute_group_median(df: DataFrame, column: str, by: Sequence[str], out: str)
 
     A NULL in a grouping column never finds its group, as in an SQL equality join.
     """
-    medians = percentiles(df, column, {"_median": 0.5}, by)
+    medians = percentiles(df.dropna(subset=list(by)), column, {"_median": 0.5}, by)
     condition = F.lit(True)
     for b in by:
         condition = condition & (F.col(b) == F.col(f"_r_{b}"))

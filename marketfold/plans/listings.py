@@ -177,21 +177,27 @@ def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: s
     return stage(merge_listings(a, b, matches, area), "merged")
 
 
+def publish_boston(filled: DataFrame, on_duplicate: str = "error") -> DataFrame:
+    return publish_city(trim_listings(filled), "Boston", {"Neighborhood": "neighborhood"}, on_duplicate)
+
+
+def publish_new_york(filled: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
+                     cell: float = 0.02) -> DataFrame:
+    areas = {"Borough": "borough", "NTA2020": "nta2020", "Neighborhood": "nta_name"}
+    return publish_city(locate(trim_listings(filled), polygons, cell=cell), "New York City", areas, on_duplicate)
+
+
 def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = unstaged) -> DataFrame:
     """Published Boston listings; raw feeds carry a ``neighborhood``."""
     merged = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, stage)
-    trimmed = trim_listings(stage(fill_sqft(merged), "filled"))
-    return publish_city(trimmed, "Boston", {"Neighborhood": "neighborhood"}, on_duplicate)
+    return publish_boston(stage(fill_sqft(merged), "filled"), on_duplicate)
 
 
 def new_york(raw_a: DataFrame, raw_b: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
              stage: Stage = unstaged, cell: float = 0.02) -> DataFrame:
     """Published New York listings; raw feeds carry a ``borough``, areas come from polygons."""
     merged = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, stage)
-    trimmed = trim_listings(stage(fill_sqft(merged), "filled"))
-    located = locate(trimmed, polygons, cell=cell)
-    return publish_city(located, "New York City",
-                        {"Borough": "borough", "NTA2020": "nta2020", "Neighborhood": "nta_name"}, on_duplicate)
+    return publish_new_york(stage(fill_sqft(merged), "filled"), polygons, on_duplicate, cell)
 
 
 def publish_unified(cities: Sequence[DataFrame], refreshed_at: str | None = None) -> DataFrame:

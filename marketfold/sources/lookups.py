@@ -82,9 +82,15 @@ def borough_rows(feed: str = "a") -> list[tuple[str, str]]:
     return rows
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple[str, str]], names: str) -> DataFrame:
+    """Rows as literals in the plan, so that Spark knows their size."""
+    cells = ", ".join(f"('{a}', '{b}')" for a, b in rows)
+    return spark.sql(f"select * from values {cells} as lookup({names})")
+
+
 def zip_to_neighborhood(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(neighborhood_rows(), "zip string, neighborhood string")
+    return _literal_table(spark, neighborhood_rows(), "zip, neighborhood")
 
 
 def zip_to_borough(spark: SparkSession, feed: str = "a") -> DataFrame:
-    return spark.createDataFrame(borough_rows(feed), "zip string, borough string")
+    return _literal_table(spark, borough_rows(feed), "zip, borough")
