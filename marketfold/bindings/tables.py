@@ -81,6 +81,14 @@ class Tables:
     def model(self) -> _Lazy:
         return _Lazy(self._model)
 
+    def built(self, name: str) -> DataFrame:
+        """A model as a table would hold it: intermediate steps are written once."""
+        if name.startswith("stg_"):
+            return self.stg[name]
+        if name.startswith("int_"):
+            return self._once(name, lambda: stage(self.model[name], name))
+        return self.model[name]
+
     def _model(self, name: str) -> DataFrame:
         s, m = self.stg, self.model
         return {
