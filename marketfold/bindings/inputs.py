@@ -104,6 +104,9 @@ def _feed_b(first_zip: int) -> str:
         from {{orders}} where o_orderkey % 3 <> 0"""
 
 
+# Corners of a concave ring, relative to its origin.
+RING_OFFSETS = ((0.0, 0.0), (0.05, 0.0), (0.05, 0.05), (0.02, 0.03), (0.0, 0.05))
+
 # A street with a dot tells the loose split from the strict one.
 LISTING_SQL = {
     "ny_feed_a": _feed_a(10000, "Main St."),
@@ -111,15 +114,11 @@ LISTING_SQL = {
     "bos_feed_a": _feed_a(2108, "Main St"),
     "bos_feed_b": _feed_b(2108),
     # One five-cornered concave ring per nation; corner i runs from 1 to 5.
-    "ring_corners": """
-        select n_nationkey as area_id, i as corner,
-               cast(-74.0 + floor(n_nationkey / 5) * 0.05
-                    + case i when 1 then 0.0 when 2 then 0.05 when 3 then 0.05 when 4 then 0.02 else 0.0 end as double)
-                 as lon,
-               cast(40.5 + (n_nationkey % 5) * 0.05
-                    + case i when 1 then 0.0 when 2 then 0.0 when 3 then 0.05 when 4 then 0.03 else 0.05 end as double)
-                 as lat
-        from {nation} cross join (values (1), (2), (3), (4), (5)) as k(i)""",
+    "ring_corners": " union all ".join(f"""
+        select n_nationkey as area_id, {i} as corner,
+               cast(-74.0 + floor(n_nationkey / 5) * 0.05 + {dx} as double) as lon,
+               cast(40.5 + (n_nationkey % 5) * 0.05 + {dy} as double) as lat
+        from {{nation}}""" for i, (dx, dy) in enumerate(RING_OFFSETS, 1)),
     "ring_areas": """
         select n_nationkey as area_id, r_name as boroname, concat('nta ', n_name) as ntaname,
                substring(n_name, 1, 4) as ntaabbrev, concat('NT', lpad(cast(n_nationkey as varchar(4)), 4, '0')) as nta2020
@@ -136,11 +135,11 @@ LISTING_SQL = {
                concat(' ', s_suppkey * 1000, '.5') as shape_area
         from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey""",
     # Projected vertices in feet, five per supplier and order-independent.
-    "projected_vertices": """
-        select s_suppkey as area_id, i as corner,
-               cast(920000 + (s_suppkey * 977) % 140000 + i * 300 as double) as x,
-               cast(125000 + (s_suppkey * 1409) % 140000 + i * i * 200 as double) as y
-        from {supplier} cross join (values (1), (2), (3), (4), (5)) as k(i)""",
+    "projected_vertices": " union all ".join(f"""
+        select s_suppkey as area_id, {i} as corner,
+               cast(920000 + (s_suppkey * 977) % 140000 + {i * 300} as double) as x,
+               cast(125000 + (s_suppkey * 1409) % 140000 + {i * i * 200} as double) as y
+        from {{supplier}}""" for i in range(1, 6)),
     # Landed records before nesting: mixed types, bad dates, absent objects, repeated ids.
     "landed_a": """
         select o_orderkey as ordinal, cast(10001 + o_custkey % 25 as varchar(5)) as query_zip,

@@ -15,6 +15,7 @@ from ..operators.quality import duplicated
 from ..operators.quantiles import impute_group_median, trim_outliers
 from ..operators.ranking import first_per_key
 from ..operators.spatial import make_point, points_in_polygons
+from ..sources.sinks import stage as write_once
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -25,10 +26,6 @@ SQFT_FENCE = (0.05, 0.95)
 UPPER_CAP = 0.95
 
 
-def unstaged(df: DataFrame, name: str) -> DataFrame:
-    return df
-
-
 def clean_a(raw: DataFrame, rules: AddressRules, area: str, require_area: bool = False,
             nulls_newest: bool = False) -> DataFrame:
     """Newest usable record per id of the single-price feed, with street and unit keys.
@@ -170,8 +167,12 @@ def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate:
 
 
 def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
-                stage: Stage = unstaged) -> DataFrame:
-    """Clean, match and merge one city's feeds. ``stage`` writes what is read again."""
+                stage: Stage = write_once) -> DataFrame:
+    """Clean, match and merge one city's feeds.
+
+    ``stage`` writes what is read again: matches three times, merged and filled rows
+    twice. Left lazy, those reads multiply into a dozen runs of the match.
+    """
     a, b = clean_a(raw_a, rules, area, require_area), clean_b(raw_b, rules, area, require_area)
     matches = stage(match_listings(a, b, area), "matches")
     return stage(merge_listings(a, b, matches, area), "merged")
@@ -187,14 +188,14 @@ def publish_new_york(filled: DataFrame, polygons: DataFrame, on_duplicate: str =
     return publish_city(locate(trim_listings(filled), polygons, cell=cell), "New York City", areas, on_duplicate)
 
 
-def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = unstaged) -> DataFrame:
+def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = write_once) -> DataFrame:
     """Published Boston listings; raw feeds carry a ``neighborhood``."""
     merged = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, stage)
     return publish_boston(stage(fill_sqft(merged), "filled"), on_duplicate)
 
 
 def new_york(raw_a: DataFrame, raw_b: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
-             stage: Stage = unstaged, cell: float = 0.02) -> DataFrame:
+             stage: Stage = write_once, cell: float = 0.02) -> DataFrame:
     """Published New York listings; raw feeds carry a ``borough``, areas come from polygons."""
     merged = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, stage)
     return publish_new_york(stage(fill_sqft(merged), "filled"), polygons, on_duplicate, cell)

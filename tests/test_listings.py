@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from marketfold.functions.text import LOOSE
 from marketfold.plans import listings
+from marketfold.sources.sinks import stage
 
 A = ("listing_id string, list_price int, beds float, baths float, sqft int, list_date date, zip_code string, "
      "latitude float, longitude float, address_line string, url string, pet_cats boolean, pet_dogs boolean, borough string")
@@ -30,7 +31,8 @@ def cleaned(frame, left, right):
 
 def merged(frame, left, right):
     ca, cb = cleaned(frame, left, right)
-    return listings.merge_listings(ca, cb, listings.match_listings(ca, cb, "borough"), "borough")
+    matches = stage(listings.match_listings(ca, cb, "borough"), "matches")
+    return stage(listings.merge_listings(ca, cb, matches, "borough"), "merged")
 
 
 def pairs(frame, left, right):
@@ -106,7 +108,7 @@ def test_publish_rounds_half_to_even_and_pads(frame):
 
 
 def test_duplicate_ids(frame):
-    filled = listings.fill_sqft(merged(frame, [a("1", 1000)], [b("1", 1100), b("2", 1050), b("3", 1050)]))
+    filled = stage(listings.fill_sqft(merged(frame, [a("1", 1000)], [b("1", 1100), b("2", 1050), b("3", 1050)])), "f")
     with pytest.raises(ValueError, match="3 times"):
         listings.publish_city(filled, "Boston", {})
     best = listings.publish_city(filled.withColumnRenamed("borough", "n"), "Boston", {"Neighborhood": "n"}, "best")
