@@ -196,6 +196,11 @@ def match_listings(t):
 
 @query("merge_listings", _MERGED, "select * from x_ny_merged")
 def merge_listings(t):
+    return t.merged_pairs("new_york")
+
+
+@query("merge_listings_best", _MERGED, "select * from x_ny_merged")
+def merge_listings_best(t):
     return t.merged("new_york")
 
 
@@ -283,7 +288,7 @@ def publish_city_strict(t):
 
 @query("publish_unified", _CONTRACT + ", Last Updated: timestamp", "select * from x_unified")
 def publish_unified(t):
-    return listings.publish_unified([t.published("boston"), t.published("new_york")], REFRESHED_AT)
+    return listings.publish_unified(t.both_cities(), REFRESHED_AT)
 
 
 def _key_sql(*columns: str) -> str:

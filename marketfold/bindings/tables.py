@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,12 @@ class Tables:
         """Drop shared instances, so that the next query computes every step again."""
         cls._shared.clear()
 
+    @cached_property
+    def _sources(self) -> _Lazy:
+        return _Lazy(lambda name: self.spark.read.parquet(f"{self.root}/{name}.parquet"))
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._sources[name]
 
     def sql(self, statement: str, **frames: DataFrame) -> DataFrame:
         used = {n: self.table(n) for n in TABLES if f"{{{n}}}" in statement}
@@ -144,19 +149,30 @@ class Tables:
         return self._once(f"filled-{city}", lambda: stage(listings.fill_sqft(self.merged(city)), "filled"))
 
     def unified(self) -> DataFrame:
-        both = lambda: [self.published("boston"), self.published("new_york")]
-        return self._once("unified", lambda: stage(listings.publish_unified(both(), REFRESHED_AT), "listings"))
+        return self._once("unified", lambda: stage(
+            listings.publish_unified(self.both_cities(), REFRESHED_AT), "listings"))
+
+    def both_cities(self) -> list[DataFrame]:
+        """The published cities; their steps are written at the same time."""
+        cities = ["boston", "new_york"]
+        with ThreadPoolExecutor(len(cities)) as pool:
+            list(pool.map(self.filled, cities))
+        return [self.published(city) for city in cities]
 
     def _once(self, name: str, build) -> DataFrame:
         if name not in self._written:
             self._written[name] = build()
         return self._written[name]
 
-    def _merge(self, city: str) -> DataFrame:
+    def _merge(self, city: str, partners: str = "best") -> DataFrame:
         a, b = self.feeds(city)
         if city == "boston":
-            return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True, stage)
-        return listings.merge_feeds(a, b, listings.LOOSE, "borough", False, stage)
+            return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True, partners)
+        return listings.merge_feeds(a, b, listings.LOOSE, "borough", False, partners)
+
+    def merged_pairs(self, city: str) -> DataFrame:
+        """Merged rows with every pair of a match."""
+        return self._merge(city, "all")
 
     def trimmed(self, city: str) -> DataFrame:
         return listings.trim_listings(self.filled(city))

@@ -56,21 +56,23 @@ def clean_b(raw: DataFrame, rules: AddressRules, area: str, require_area: bool =
         "zip_code", area, "address_line_1", "address_line_2", "latitude", "longitude", "url")
 
 
-def match_listings(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOLERANCE,
-                   price_tol: float = PRICE_TOLERANCE) -> DataFrame:
-    """Every pair of the two feeds with equal ZIP, street and unit inside all tolerances.
+def _b_named(b: DataFrame) -> DataFrame:
+    """Feed B under names of its own, with the key form of its unit."""
+    return b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn(
+        "b_unit", empty_as_key(F.col("b_address_line_2")))
 
-    Position and known sizes come from B, rent, pets, date and area from A.
-    """
-    left = a.withColumn("_unit", empty_as_key(F.col("address_line_2")))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn(
-        "_b_unit", empty_as_key(F.col("b_address_line_2")))
-    pairs = band_join(
+
+def _in_band(left: DataFrame, right: DataFrame, geo_tol: float, price_tol: float) -> DataFrame:
+    return band_join(
         left, right,
-        equi={"zip_code": "b_zip_code", "address_line_1": "b_address_line_1", "_unit": "_b_unit"},
+        equi={"zip_code": "b_zip_code", "address_line_1": "b_address_line_1", "unit": "b_unit"},
         bands={("latitude", "b_latitude"): geo_tol, ("longitude", "b_longitude"): geo_tol,
                ("list_price", "b_price_avg"): price_tol})
-    return pairs.select(
+
+
+def _paired(rows: DataFrame, area: str) -> DataFrame:
+    """The columns of a match: position and known sizes from B, the rest from A."""
+    return rows.select(
         listing_key(F.col("url")).alias("a_key"), listing_key(F.col("b_url")).alias("b_key"),
         "address_line_1", "address_line_2", "zip_code", area,
         F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"),
@@ -82,16 +84,58 @@ def match_listings(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_T
         F.abs(F.col("list_price") - F.col("b_price_avg")).alias("price_gap"))
 
 
+def match_listings(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOLERANCE,
+                   price_tol: float = PRICE_TOLERANCE) -> DataFrame:
+    """Every pair of the two feeds with equal ZIP, street and unit inside all tolerances.
+
+    Copies of one listing on both sides pair off with each other in full, which is what
+    "every pair" means; ``best_matches`` gives one partner each without those pairs.
+    """
+    left = a.withColumn("unit", empty_as_key(F.col("address_line_2")))
+    return _paired(_in_band(left, _b_named(b), geo_tol, price_tol), area)
+
+
+# What decides whether a listing matches, and how well.
+A_PROFILE = ["zip_code", "address_line_1", "unit", "latitude", "longitude", "list_price"]
+B_PROFILE = ["b_zip_code", "b_address_line_1", "b_unit", "b_latitude", "b_longitude", "b_price_avg"]
+
+
+def best_matches(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOLERANCE,
+                 price_tol: float = PRICE_TOLERANCE, stage: Stage = write_once) -> tuple[DataFrame, DataFrame]:
+    """The best partner of each A listing, and the B urls that any A listing matches.
+
+    The best partner has the smallest price gap, then the smallest url. Listings with
+    one profile match alike, so profiles are matched instead of listings: a group of
+    copies is one row on either side, folded before the join by a map-side combine,
+    and n copies facing m copies cost n + m rows instead of n * m pairs.
+    """
+    left, right = a.withColumn("unit", empty_as_key(F.col("address_line_2"))), _b_named(b)
+    carried = ["b_beds_avg", "b_baths_avg", "b_sqft_avg", "b_url"]
+    b_profiles = right.groupBy(*B_PROFILE).agg(
+        F.min(F.struct("b_url", "b_listing_id", "b_beds_avg", "b_baths_avg", "b_sqft_avg")).alias("_first")).select(
+        *B_PROFILE, *[F.col(f"_first.{c}").alias(c) for c in carried])
+    a_profiles = left.select(*A_PROFILE).distinct()
+    pairs = stage(_in_band(a_profiles, b_profiles, geo_tol, price_tol), "profiles")
+    gap = F.abs(F.col("list_price") - F.col("b_price_avg"))
+    best = first_per_key(pairs, A_PROFILE, [gap.asc(), F.asc("b_url")])
+    matches = _paired(left.join(best, A_PROFILE), area)
+    taken = right.join(pairs.select(*B_PROFILE), B_PROFILE, "left_semi").select("b_url")
+    return matches, taken
+
+
 MERGED = ["listing_id", "zip_code", "latitude", "longitude", "rent", "beds", "baths", "sqft", "pet_cats", "pet_dogs",
           "list_date", "url", "price_gap", "match_url"]
 
 
-def merge_listings(a: DataFrame, b: DataFrame, matches: DataFrame, area: str) -> DataFrame:
+def merge_listings(a: DataFrame, b: DataFrame, matches: DataFrame, area: str,
+                   taken: DataFrame | None = None) -> DataFrame:
     """Matched pairs, A without a match, B without a match; incomplete rows dropped.
 
     Being matched is decided by url, so two ids that share one url are both consumed.
+    ``taken`` lists the matched B urls where ``matches`` does not hold every pair.
     ``price_gap`` and ``match_url`` tell pairs of one listing apart.
     """
+    taken = matches if taken is None else taken
     columns = [*MERGED[:2], area, *MERGED[2:]]
     paired = matches.withColumns({"listing_id": F.col("a_key"), "url": F.col("a_url"), "match_url": F.col("b_url")})
     a_only = unmatched(a, matches.select(F.col("a_url").alias("url")), ["url"]).select(
@@ -99,7 +143,7 @@ def merge_listings(a: DataFrame, b: DataFrame, matches: DataFrame, area: str) ->
         F.col("list_price").alias("rent"), F.col("beds").cast("double").alias("beds"),
         F.col("baths").cast("double").alias("baths"), "sqft", "pet_cats", "pet_dogs", "list_date", "url",
         F.lit(None).cast("int").alias("price_gap"), F.lit(None).cast("string").alias("match_url"))
-    b_only = unmatched(b, matches.select(F.col("b_url").alias("url")), ["url"]).select(
+    b_only = unmatched(b, taken.select(F.col("b_url").alias("url")), ["url"]).select(
         listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
         F.col("price_avg").alias("rent"), F.col("beds_avg").alias("beds"), F.col("baths_avg").alias("baths"),
         F.col("sqft_avg").alias("sqft"), F.lit(None).cast("boolean").alias("pet_cats"),
@@ -167,15 +211,20 @@ def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate:
 
 
 def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
-                stage: Stage = write_once) -> DataFrame:
+                partners: str = "best", stage: Stage = write_once) -> DataFrame:
     """Clean, match and merge one city's feeds.
 
+    ``partners`` is ``best`` for one partner per A listing or ``all`` for every pair.
     ``stage`` writes what is read again: matches three times, merged and filled rows
     twice. Left lazy, those reads multiply into a dozen runs of the match.
     """
     a, b = clean_a(raw_a, rules, area, require_area), clean_b(raw_b, rules, area, require_area)
-    matches = stage(match_listings(a, b, area), "matches")
-    return stage(merge_listings(a, b, matches, area), "merged")
+    if partners == "all":
+        matches, taken = stage(match_listings(a, b, area), "matches"), None
+    else:
+        matches, taken = best_matches(a, b, area, stage=stage)
+        matches = stage(matches, "matches")
+    return stage(merge_listings(a, b, matches, area, taken), "merged")
 
 
 def publish_boston(filled: DataFrame, on_duplicate: str = "error") -> DataFrame:
@@ -190,14 +239,16 @@ def publish_new_york(filled: DataFrame, polygons: DataFrame, on_duplicate: str =
 
 def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = write_once) -> DataFrame:
     """Published Boston listings; raw feeds carry a ``neighborhood``."""
-    merged = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, stage)
+    partners = "best" if on_duplicate == "best" else "all"
+    merged = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, partners, stage)
     return publish_boston(stage(fill_sqft(merged), "filled"), on_duplicate)
 
 
 def new_york(raw_a: DataFrame, raw_b: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
              stage: Stage = write_once, cell: float = 0.02) -> DataFrame:
     """Published New York listings; raw feeds carry a ``borough``, areas come from polygons."""
-    merged = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, stage)
+    partners = "best" if on_duplicate == "best" else "all"
+    merged = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, partners, stage)
     return publish_new_york(stage(fill_sqft(merged), "filled"), polygons, on_duplicate, cell)
 
 

@@ -82,6 +82,27 @@ def test_shared_url_consumes_both_ids(frame):
     assert rows(out, "url", "match_url") == [("a/3", None), ("b/2", None), ("same", "b/1")]
 
 
+def test_best_partner_equals_best_of_all_pairs(spark):
+    import random
+    from pyspark.sql import functions as F
+    from marketfold.operators.ranking import first_per_key
+    rng = random.Random(4)
+    # A third of each feed are copies of one listing.
+    left = [a(str(i), 1000 if i % 3 == 0 else rng.randint(700, 1700), url=f"a/{i // 2 if i % 7 == 0 else i}")
+            for i in range(60)]
+    right = [b(str(i), 1000 if i % 3 == 0 else rng.randint(400, 2500), address="1 Elm" if i % 5 else "2 Elm")
+             for i in range(60)]
+    ca = listings.clean_a(spark.createDataFrame(left, A), LOOSE, "borough")
+    cb = listings.clean_b(spark.createDataFrame(right, B), LOOSE, "borough")
+    every = stage(listings.match_listings(ca, cb, "borough"), "every")
+    best, taken = listings.best_matches(ca, cb, "borough")
+    wanted = first_per_key(every, ["a_url", "rent"], [F.asc("price_gap"), F.asc("b_url")])
+    columns = ["a_url", "rent", "b_url", "price_gap", "beds", "sqft"]
+    assert set(rows(best, *columns)) == set(rows(wanted, *columns))
+    assert set(rows(taken.distinct())) == set(rows(every.select("b_url").distinct()))
+    assert every.count() > 20 * best.count()
+
+
 def test_merge_covers_every_row_once(tables):
     from pyspark.sql import functions as F
     ca, cb = tables.clean("new_york")
