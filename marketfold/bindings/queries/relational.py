@@ -265,7 +265,7 @@ def agg_percentile_cont_global(t):
     select week_start, count(*) as customers, sum(revenue) as revenue, {money('avg(revenue)')} as avg_customer_revenue
     from x_customer_week group by week_start""")
 def agg_two_phase(t):
-    return customer_weeks(t.model["int_customer_order_sequence"], t.values).groupBy("week_start").agg(
+    return customer_weeks(_identified(t), t.values).groupBy("week_start").agg(
         F.count("*").alias("customers"), F.sum("revenue").alias("revenue"),
         money_avg(F.col("revenue")).alias("avg_customer_revenue"))
 

@@ -113,7 +113,7 @@ class Tables:
             "mart_geo_state_flows_weekly": lambda: commerce.state_flows_weekly(
                 m["int_order_items_enriched"], m["int_orders_experience"]),
             "mart_new_vs_returning_weekly": lambda: commerce.new_vs_returning_weekly(
-                m["int_customer_order_sequence"], self.values),
+                commerce.identified_orders(s["stg_orders"], s["stg_customers"]), self.values),
             "mart_experience_retention_90d": lambda: commerce.experience_retention(
                 commerce.customer_first_orders(s["stg_orders"], s["stg_customers"]), m["int_orders_experience"]),
             "mart_cohort_ltv_monthly": lambda: commerce.cohort_ltv_monthly(

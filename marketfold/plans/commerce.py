@@ -219,22 +219,29 @@ def state_flows_weekly(items_enriched: DataFrame, experience: DataFrame) -> Data
     return order_nulls(flows, *[(c, "asc") for c in flow])
 
 
-def customer_weeks(orders_numbered: DataFrame, financials: DataFrame) -> DataFrame:
-    """One row per customer and active week: revenue and whether it is the first week."""
-    value = financials.select("order_id", "gross_order_value")
-    first_week = week_start(F.min("first_order_timestamp"))
-    return (
-        orders_numbered.select("order_id", "customer_unique_id", "first_order_timestamp",
-                               week_start(F.col("order_purchase_timestamp")).alias("week_start"))
-        .join(value, "order_id")
-        .groupBy("week_start", "customer_unique_id").agg(
-            first_week.alias("first_week"), F.sum(or_zero(F.col("gross_order_value"))).alias("revenue"))
-        .withColumn("is_new", F.col("first_week") == F.col("week_start")))
-
+def customer_weeks(placed: DataFrame, financials: DataFrame) -> DataFrame:
+    """One row per customer and active week: revenue and whether it is the first week.
 
-def new_vs_returning_weekly(orders_numbered: DataFrame, financials: DataFrame) -> DataFrame:
+    ``placed`` holds order_id, customer_unique_id and order_purchase_timestamp: the
+    identified orders, or the order sequence. Orders are folded per week before the
+    first week is sought, so the window sees a customer's weeks, not their orders.
+    Orders without financials count for the first week only.
+    """
+    value = financials.select("order_id", F.lit(1).alias("_valued"), "gross_order_value")
+    weeks = (
+        placed.select("order_id", "customer_unique_id",
+                      week_start(F.col("order_purchase_timestamp")).alias("week_start"))
+        .join(value, "order_id", "left")
+        .groupBy("customer_unique_id", "week_start").agg(
+            F.sum(or_zero(F.col("gross_order_value"))).alias("revenue"), F.count("_valued").alias("_orders")))
+    first = F.min("week_start").over(Window.partitionBy("customer_unique_id"))
+    return weeks.withColumn("is_new", F.col("week_start") == first).filter(F.col("_orders") > 0).drop("_orders")
+
+
+def new_vs_returning_weekly(placed: DataFrame, financials: DataFrame) -> DataFrame:
+    """Customers and revenue per week, new (first week) against returning."""
     new = F.col("is_new")
-    return customer_weeks(orders_numbered, financials).groupBy("week_start").agg(
+    return customer_weeks(placed, financials).groupBy("week_start").agg(
         count_where(new).alias("new_customers"), count_where(~new).alias("returning_customers"),
         rate(count_where(new), F.count("*")).alias("new_customer_share"),
         sum_where(F.col("revenue"), new).alias("new_customer_revenue"),
@@ -311,7 +318,7 @@ def build(stg: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "mart_kpis_weekly": kpis_weekly(values),
         "mart_category_weekly": category_weekly(orders, items, products, translation),
         "mart_geo_state_flows_weekly": state_flows_weekly(enriched, experience),
-        "mart_new_vs_returning_weekly": new_vs_returning_weekly(numbered, values),
+        "mart_new_vs_returning_weekly": new_vs_returning_weekly(identified_orders(orders, customers), values),
         "mart_experience_retention_90d": experience_retention(customer_first_orders(orders, customers), experience),
         "mart_cohort_ltv_monthly": cohort_ltv_monthly(orders, customers, values),
     }

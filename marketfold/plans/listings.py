@@ -34,10 +34,10 @@ def clean_a(raw: DataFrame, rules: AddressRules, area: str, require_area: bool =
     PostgreSQL would; by default a dated record is preferred.
     """
     required = ["listing_id", "zip_code", "url"] + ([area] if require_area else [])
-    usable = split_address(raw.dropna(subset=required), "address_line", rules)
     date = F.desc_nulls_first("list_date") if nulls_newest else F.desc_nulls_last("list_date")
-    newest = first_per_key(usable, ["listing_id"], [date, F.asc("url"), F.asc_nulls_last("list_price")])
-    return newest.select(
+    newest = first_per_key(
+        raw.dropna(subset=required), ["listing_id"], [date, F.asc("url"), F.asc_nulls_last("list_price")])
+    return split_address(newest, "address_line", rules).select(
         "listing_id", "list_price", "beds", strip_non_numeric(F.col("baths")).alias("baths"), "sqft", "zip_code", area,
         "address_line_1", "address_line_2", "latitude", "longitude", "url", "pet_cats", "pet_dogs", "list_date")
 
@@ -45,9 +45,8 @@ def clean_a(raw: DataFrame, rules: AddressRules, area: str, require_area: bool =
 def clean_b(raw: DataFrame, rules: AddressRules, area: str, require_area: bool = False) -> DataFrame:
     """One record per id of the range feed, ranges reduced to their midpoint."""
     required = ["listing_id", "zip_code", "url"] + ([area] if require_area else [])
-    usable = split_address(raw.dropna(subset=required), "address_line", rules)
-    one = first_per_key(usable, ["listing_id"], [F.asc("url"), F.asc_nulls_last("price_min")])
-    return one.select(
+    one = first_per_key(raw.dropna(subset=required), ["listing_id"], [F.asc("url"), F.asc_nulls_last("price_min")])
+    return split_address(one, "address_line", rules).select(
         "listing_id",
         midpoint_int(F.col("price_min"), F.col("price_max")).alias("price_avg"),
         midpoint_float(F.col("beds_min"), F.col("beds_max")).alias("beds_avg"),
@@ -215,10 +214,12 @@ def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: s
     """Clean, match and merge one city's feeds.
 
     ``partners`` is ``best`` for one partner per A listing or ``all`` for every pair.
-    ``stage`` writes what is read again: matches three times, merged and filled rows
-    twice. Left lazy, those reads multiply into a dozen runs of the match.
+    ``stage`` writes what is read again: cleaned feeds and matches three times, merged
+    and filled rows twice. Left lazy, those reads multiply into a dozen runs of the
+    match, each from the raw feeds.
     """
-    a, b = clean_a(raw_a, rules, area, require_area), clean_b(raw_b, rules, area, require_area)
+    a = stage(clean_a(raw_a, rules, area, require_area), "clean_a")
+    b = stage(clean_b(raw_b, rules, area, require_area), "clean_b")
     if partners == "all":
         matches, taken = stage(match_listings(a, b, area), "matches"), None
     else:

@@ -117,8 +117,10 @@ def test_new_and_returning(frame):
     orders = frame(ORDERS, order("a", "c1", T(2024, 1, 1)), order("b", "c1", T(2024, 1, 7)),
                    order("c", "c1", T(2024, 1, 8)), order("d", "c2", T(2024, 1, 8)))
     values = commerce.order_values(orders, frame(ITEMS, item("a", "1"), item("b", "2"), item("c", "4")))
-    out = commerce.new_vs_returning_weekly(commerce.customer_order_sequence(orders, customers), values)
-    assert rows(out) == [
+    numbered = commerce.customer_order_sequence(orders, customers)
+    identified = commerce.identified_orders(orders, customers)
+    assert rows(commerce.new_vs_returning_weekly(numbered, values)) == rows(
+        commerce.new_vs_returning_weekly(identified, values)) == [
         (dt.date(2024, 1, 1), 1, 0, D("1.0000"), D("3.00"), None),
         (dt.date(2024, 1, 8), 1, 1, D("0.5000"), D("0.00"), D("4.00"))]
 
