@@ -11,7 +11,6 @@ from ..functions.numbers import midpoint_float, midpoint_int, round_half_even_in
 from ..functions.text import AddressRules, LOOSE, STRICT, empty_as_key, listing_key, natural_key, split_address
 from ..functions.times import refresh_stamp
 from ..operators.joins import band_join, union_by_name, unmatched
-from ..operators.quality import duplicated
 from ..operators.quantiles import impute_group_median, trim_outliers
 from ..operators.ranking import first_per_key
 from ..operators.spatial import make_point, points_in_polygons
@@ -180,17 +179,26 @@ CONTRACT = {
 }
 
 
+def _or_fail(df: DataFrame) -> DataFrame:
+    """The same rows, one per listing id; evaluating a repeated id raises an error."""
+    rest = [c for c in df.columns if c != "listing_id"]
+    grouped = df.groupBy("listing_id").agg(
+        F.count("*").alias("_copies"), F.any_value(F.struct(*rest)).alias("_row"))
+    complaint = F.concat(
+        F.lit("listing id "), F.col("listing_id"), F.lit(" occurs "), F.col("_copies"), F.lit(" times"))
+    checked = F.when(F.col("_copies") > 1, F.raise_error(complaint).cast("string")).otherwise(F.col("listing_id"))
+    return grouped.select(checked.alias("listing_id"), "_row.*")
+
+
 def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate: str = "error") -> DataFrame:
     """The sixteen-column contract of one city; areas without a column become NULL.
 
-    A listing id must be unique. ``error`` checks that with a job of its own and fails;
-    ``best`` keeps the pair with the smallest price gap, then the smallest url;
-    ``keep`` publishes all rows.
+    A listing id must be unique. ``error`` makes the job fail on a repeated id, when the
+    result is read or written; ``best`` keeps the pair with the smallest price gap, then
+    the smallest url; ``keep`` publishes all rows.
     """
     if on_duplicate == "error":
-        repeated = duplicated(df, ["listing_id"]).limit(1).take(1)
-        if repeated:
-            raise ValueError(f"listing id {repeated[0]['listing_id']} occurs {repeated[0]['copies']} times")
+        df = _or_fail(df)
     elif on_duplicate == "best":
         rest = [c for c in df.columns if c not in ("listing_id", "price_gap", "match_url")]
         df = first_per_key(df, ["listing_id"], [

@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 RUN_LOG = "run_timestamp timestamp_ntz, status string, details string"
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only when none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="marketfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="marketfold-")
+    return _local_folders[application]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
