@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,27 +95,29 @@ def customer_first_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
         F.max(F.when(second, F.col("order_purchase_timestamp"))).alias("next_order_timestamp"))
 
 
+def _item_sums(items: DataFrame, *extra: Column) -> DataFrame:
+    return items.groupBy("order_id").agg(
+        F.count("*").alias("item_rows"), F.sum(or_zero(F.col("price"))).alias("item_sum"),
+        F.sum(or_zero(F.col("freight_value"))).alias("freight_sum"), *extra)
+
+
 def order_financials(orders: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
-    """One row per order: item and payment rollups, aggregated before they are joined."""
-    sold = items.groupBy("order_id").agg(
-        F.count("*").alias("item_rows"),
-        F.countDistinct("product_id").alias("distinct_products"),
-        F.countDistinct("seller_id").alias("distinct_sellers"),
-        F.sum(or_zero(F.col("price"))).alias("item_sum"),
-        F.sum(or_zero(F.col("freight_value"))).alias("freight_sum"))
+    """One row per order: item and payment rollups, aggregated before they are joined.
+
+    Each distinct count has an aggregate of its own: two in one would triple the item
+    rows before the exchange. All rollups end up partitioned by order_id and meet there.
+    """
+    sold = _item_sums(items, F.countDistinct("product_id").alias("distinct_products")).join(
+        items.groupBy("order_id").agg(F.countDistinct("seller_id").alias("distinct_sellers")), "order_id")
     return _with_payments(orders, sold, payments, ["distinct_products", "distinct_sellers"])
 
 
 def order_values(orders: DataFrame, items: DataFrame) -> DataFrame:
     """The part of the financials that weekly and cohort metrics need.
 
-    Leaves out distinct counts and payments, which cost a multiple of the item rows.
+    Leaves out distinct counts and payments, which cost more than all the rest.
     """
-    sold = items.groupBy("order_id").agg(
-        F.count("*").alias("item_rows"),
-        F.sum(or_zero(F.col("price"))).alias("item_sum"),
-        F.sum(or_zero(F.col("freight_value"))).alias("freight_sum"))
-    return _with_payments(orders, sold, None, [])
+    return _with_payments(orders, _item_sums(items), None, [])
 
 
 def _with_payments(orders: DataFrame, sold: DataFrame, payments: DataFrame | None, kept: list[str]) -> DataFrame:

@@ -42,8 +42,9 @@ def test_latest_per_key_is_limited_before_the_exchange(tables):
     assert text.count("WindowGroupLimit") == 2
 
 
-def test_flows_aggregate_without_expand(tables):
-    assert "Expand" not in plan(tables.model["mart_geo_state_flows_weekly"])
+def test_distinct_counts_multiply_no_rows(tables):
+    for name in ("mart_geo_state_flows_weekly", "fct_order_financials", "mart_cohort_ltv_monthly"):
+        assert "Expand" not in plan(tables.model[name]), name
 
 
 def test_orders_are_not_joined_to_themselves(tables):
