@@ -12,35 +12,22 @@ from ..operators.ranking import first_per_key
 
 # Fields that may hold text or a number ("2+", "Studio", 1.5) are read as text.
 RECORD_A = (
-    "listing_id string, list_price string, list_date string, permalink string, "
-    "description struct<beds: string, baths_consolidated: string, sqft: string>, "
-    "location struct<address: struct<postal_code: string, line: string, "
+    "struct<listing_id: string, list_price: string, list_date: string, permalink: string, "
+    "description: struct<beds: string, baths_consolidated: string, sqft: string>, "
+    "location: struct<address: struct<postal_code: string, line: string, "
     "coordinate: struct<lat: double, lon: double>>>, "
-    "pet_policy struct<cats: boolean, dogs: boolean>")
+    "pet_policy: struct<cats: boolean, dogs: boolean>>")
 _RANGE = "struct<min: string, max: string>"
 RECORD_B = (
-    "homeData struct<url: string, addressInfo: struct<zip: string, formattedStreetLine: string, "
+    "struct<homeData: struct<url: string, addressInfo: struct<zip: string, formattedStreetLine: string, "
     "centroid: struct<centroid: struct<latitude: double, longitude: double>>>>, "
-    f"rentalExtension struct<rentalId: string, rentPriceRange: {_RANGE}, bedRange: {_RANGE}, "
-    f"bathRange: {_RANGE}, sqftRange: {_RANGE}>")
-
-
-def _struct_of(fields: str) -> str:
-    """A column list as a struct type."""
-    depth, parts, start = 0, [], 0
-    for i, ch in enumerate(fields + ","):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            name, kind = fields[start:i].strip().split(" ", 1)
-            parts.append(f"{name}: {kind}")
-            start = i + 1
-    return f"struct<{', '.join(parts)}>"
-
+    f"rentalExtension: struct<rentalId: string, rentPriceRange: {_RANGE}, bedRange: {_RANGE}, "
+    f"bathRange: {_RANGE}, sqftRange: {_RANGE}>>")
 
 # Per feed: the list inside a page, the page type and the expected-total field.
 FEEDS = {
-    "a": {"list": "properties", "page": f"properties array<{_struct_of(RECORD_A)}>", "total": None},
-    "b": {"list": "data", "page": f"totalResultCount long, data array<{_struct_of(RECORD_B)}>",
+    "a": {"list": "properties", "page": f"properties array<{RECORD_A}>", "total": None},
+    "b": {"list": "data", "page": f"totalResultCount long, data array<{RECORD_B}>",
           "total": "totalResultCount"},
 }
 # What the feeds put before a listing path, and the page size of feed A.
