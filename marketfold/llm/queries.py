@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, langid, recompress
+from . import bagminhash, langid, latent, mixing, recompress
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,48 @@ def register(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@register
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each use of a document in the mixture."""
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_mixing"] = r"""
+with counted as (
+    select doc_id, source, coalesce(source, '') as source_name,
+           cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as bigint) as n_tokens
+    from documents),
+totals as (select source_name, sum(n_tokens) as tokens, count(*) as docs from counted group by source_name),
+shares as (select *, tokens / sum(tokens) over () as p from totals),
+chosen as (
+    select ceil(greatest(1 - ln(2.0) / nullif(ln(max(p) / min(p)), 0), 0) * 10000 - 0.001) / 10000 as a
+    from shares where tokens > 0),
+powered as (select s.*, case when tokens > 0 then round(pow(p, coalesce(a, 0)), 9) end as power from shares s, chosen),
+weighted as (select *, round(power / sum(power) over (), 6) as weight from powered),
+planned as (
+    select source_name, tokens, weight,
+           coalesce(greatest(floor(weight * max(tokens / weight) over ()), tokens), 0) as budget,
+           least(greatest(cast(ceil(tokens / 20000) as bigint), 1), docs) as blocks
+    from weighted),
+sized as (
+    select *, cast(pow(2, ceil(log2(blocks))) as bigint) as size, cast(floor(budget / greatest(tokens, 1)) as bigint) as whole,
+           cast(round(case when tokens > 0 then budget / tokens - floor(budget / tokens) else 0 end * blocks) as bigint) as last
+    from planned),
+dealt as (
+    select c.doc_id, c.source, c.n_tokens, s.*, greatest(whole, 1) as epochs,
+           cast('0x' || substr(md5('block|' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) % blocks as block
+    from counted c join sized s using (source_name)),
+used as (
+    select *, unnest(range(0, epochs + 1)) as epoch from dealt),
+ordered as (
+    select *, (block * (2 * (cast('0x' || substr(md5('step|' || source_name || '|' || epoch), 1, 8) as bigint) % 1048576) + 1)
+              + cast('0x' || substr(md5('shift|' || source_name || '|' || epoch), 1, 8) as bigint) % 1048576) % size as nth
+    from used)
+select doc_id, source, n_tokens, weight, cast(epoch as bigint) as epoch, cast(block as bigint) as block,
+       round(least((epoch + nth / size) / (epochs + last / blocks), 1.0), 9) as place
+from ordered where epoch < epochs or nth * blocks < last * size"""
+
+
 @register
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class, and the links found between its text and others."""
@@ -33,7 +75,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op5_substring_dedup"] = r"""
 with split as (
-    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
     from documents),
 starts as (select doc_id, words, unnest(range(1, len(words) - 48)) as i from split where len(words) >= 50),
 named as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from starts),
@@ -49,6 +91,12 @@ select s.doc_id, cast(len(s.words) as bigint) as n_words, cast(len(s.words) - co
 from split s left join kept k using (doc_id)"""
 
 
+@register
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents leak."""
+    return latent.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

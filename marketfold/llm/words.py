@@ -17,6 +17,10 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+# For comparing wording only: ASCII punctuation parts words, upper case is lower case.
+_PLAIN = np.array([b if chr(b).isalnum() or b > 127 else 32 for b in range(256)], np.uint8)
+_PLAIN[65:91] += 32
+
 BASE = 0x9E3779B97F4A7C15
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
@@ -65,10 +69,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a column: byte spans, and the word range of each text."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, plain: bool = False):
         self.data, self.text_at = text_buffers(column)
         if lower:
             self.data = _LOWER[self.data]
+        if plain:
+            accented = (self.data[1:] >= 0x80) & (self.data[1:] <= 0x9E) & (self.data[:-1] == 0xC3)
+            self.data = _PLAIN[self.data]
+            self.data[1:][accented] += 0x20
         n = len(self.data)
         inside = ~_SPACE[self.data]
         edge = np.zeros(n + 1, bool)
