@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, langid, latent, mixing, recompress
+from . import bagminhash, imatch, langid, latent, mixing, recompress
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def register(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@register
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
 @register
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each use of a document in the mixture."""
