@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, imatch, langid, latent, mixing, recompress
+from . import backoff, bagminhash, chat, dom, imatch, labelled, langid, latent, mixing, recompress, warc
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,24 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
+@register
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op4_warc"] = """
+with paid as (
+    select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+first as (select h, min(page_id) as low from paid group by h)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + (
+           (cast('0x' || substr(h, cast(1 + 5 * (i // 4) as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31) as bigint), 1)), '')
+           as payload_digest,
+       case when page_id = low then 'response' else 'revisit' end as record_type,
+       case when page_id <> low then low end as refers_to
+from paid join first using (h)"""
+
+
 @register
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digest(table(spark, sf_dir, "documents"))
@@ -96,6 +114,17 @@ select s.doc_id, cast(len(s.words) as bigint) as n_words, cast(len(s.words) - co
 from split s left join kept k using (doc_id)"""
 
 
+@register
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return backoff.scores(docs, F.pmod(crc_of_id(), F.lit(7)) == 2)
+
+
+@register
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.main_text(table(spark, sf_dir, "pages"), dom.fit(labelled.pages()))
+
+
 @register
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents leak."""
@@ -109,3 +138,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~held_out))
     return langid.with_language(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each turn of the repaired conversations."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))
