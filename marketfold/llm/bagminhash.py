@@ -11,11 +11,13 @@ each with a component and a place in the interval, and points beyond the text's
 are thinned out. A time horizon ends all processes early; where some component is then
 still empty, the horizon doubles.
 
-Bands of ``ROWS`` components put candidates into buckets. Each bucket elects centres, which
-are compared with its other members; verified links join components, and buckets whose
-members are not all in one component elect four times as many centres in the next round,
-until none is left. Pairs with at least 0.8 fall into a common bucket with probability
-1 - (1 - 0.8**5)**32 > 1 - 4e-6. Every link is verified on the exact multisets.
+Bands of ``ROWS`` components put candidates into buckets. The member of a bucket that shares
+most buckets with others is its centre and is compared with the other members; verified
+links join components. In buckets whose members are then not all in one component, the
+members outside of the centre's are compared with those of other components by long
+sketches. Pairs with at least 0.8 fall into a common bucket with probability
+1 - (1 - 0.8**5)**32 > 1 - 4e-6 and pass the sketches with 1 - 1e-9 (to a centre) or
+1 - 4e-5. Every link is verified on the exact multisets.
 
 Defined results: equal texts are copies, null counts as empty; texts without words link to
 nothing but their copies. Rows that share a doc_id are one document; a row with a null id
@@ -41,7 +43,10 @@ SIZE = BANDS * ROWS
 # The share of agreeing components below which a pair of likeness 0.8 is not expected: 0.8
 # less six standard deviations of the estimate.
 ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / SIZE) ** 0.5
-GROWTH = 4
+# Two bits each of a longer signature; 0.8 less four standard deviations of its estimate.
+LONG = 2048
+SIEVE = 8_388_593  # bits of the filter that keeps texts out of an exchange; a prime
+LONG_ESTIMATE = 0.8 - 4 * (0.85 * 0.15 / LONG) ** 0.5 / 0.75
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +97,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, at: np.ndarray, size: in
         going = np.flatnonzero((now <= horizon[text]) & live[text])
         while len(going):
             point = mix(key[going] ^ mix(step[going] + U(0x5851F42D4C957F2D)))
-            slot = text[going] * size + (point % U(size)).astype(np.int64)
+            slot = text[going] * size + ((point >> U(33)) % U(size)).astype(np.int64)  # names' low bits stay free
             place = low[going] + np.floor(_uniform(mix(point)) * width[going])
             inside = place < limit[going]
             where, when, who = slot[inside], now[going][inside], point[inside]
@@ -141,6 +146,20 @@ def _bag(batches):
                  lists(weight.astype(np.int32), at, pa.int32())], names=["id", "element", "weight"])
 
 
+def _long_sketch(batches):
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 18):
+            signature = signatures(*shingles(Words(part.column("text"))), LONG)
+            columns = []
+            for bit in range(2):
+                plane = ((signature >> U(bit)) & U(1)).astype(np.uint8)
+                columns.append(np.packbits(plane, axis=1).view(np.int64))
+            planes = np.concatenate(columns, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), *[pa.array(np.ascontiguousarray(c)) for c in planes.T]],
+                names=["id", *[f"{side}{i}" for side in "lh" for i in range(LONG // 64)]])
+
+
 def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column(name)
     sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
@@ -176,59 +195,95 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, *columns: str) -> DataF
     return pairs.join(table.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
 
 
+def _sieved(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose id is in ``wanted``, once each.
+
+    A bitmap of id remainders, ``SIEVE`` bits however many ids there are, drops most other
+    texts before they would be shuffled; the join drops the rest.
+    """
+    place = F.pmod(F.col("id"), F.lit(SIEVE))
+    words = wanted.groupBy(F.floor(place / 64).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
+    bitmap = np.zeros(SIEVE // 64 + 1, np.int64)
+    for row in words.collect():
+        bitmap[row.word] = row.bits
+    shared = base.sparkSession.sparkContext.broadcast(bitmap)
+
+    def keep(batches):
+        for batch in batches:
+            at = np.mod(batch.column("id").to_numpy(), SIEVE)
+            yield batch.filter(pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1))
+
+    few = base.mapInArrow(keep, base.schema)
+    return few.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose likeness is enough, by their multisets."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    bags = save(_sieved(base, wanted).mapInArrow(
+        _bag, "id long, element array<long>, weight array<int>"), "bags")
+    both = _with(_with(pairs, "a", bags, "element", "weight"), "b", bags, "element", "weight")
+    checked = both.select("a", "b", "element_a", "weight_a", "element_b", "weight_b").mapInArrow(
+        _verify, "a long, b long, likeness double")
+    return save(checked.where(F.col("likeness") >= LIKENESS).select("a", "b"), "links")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(id, class_id, links) per document; class_id is the least id of its component, links
-    the number of verified links between its text and others (found while joining
+    the number of verified links between its text and others (those found while joining
     components; links inside a component need not all be enumerated)."""
     base = docs.select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = save(base.withColumn("copy_of", F.unhex(F.md5("text"))).mapInArrow(
         _sign, "id long, copy_of binary, sketch binary, bands array<long>"), "signatures")
     copies = signed.groupBy("copy_of").agg(F.min("id").alias("node"))
     rows = save(signed.select("id", "copy_of").join(copies, "copy_of").select("id", "node").distinct(), "copies")
-    nodes = save(signed.join(rows.where("id = node").select("id").distinct(), "id", "left_semi")
-                 .select("id", "sketch", "bands"), "nodes")
-    members = nodes.select("id", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = save(members.join(full, "bucket").select("bucket", "id").distinct(), "members")
-    links, bags, centres, number = None, None, 1, 0
-    roots = None
-    while True:
-        at = members if roots is None else members.join(roots.toDF("id", "root"), "id", "left")
-        at = at.select("bucket", "id", (F.coalesce("root", "id") if roots is not None else F.col("id")).alias("root"),
-                       F.xxhash64("id", F.lit(number)).alias("h"))
-        state = at.groupBy("bucket").agg(
-            F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("h").alias("least"))
-        open_ = save(at.join(state.where("low < high").select("bucket", "size", "least"), "bucket").withColumn(
-            "centre", (F.col("h") == F.col("least")) | (F.col("size") <= centres) |
-            ((F.pmod(F.col("h"), F.lit(1 << 20)) * F.col("size") < (1 << 20) * centres) & F.lit(centres > 1))), "open")
-        if open_.isEmpty():
-            break
-        chosen = open_.where("centre").select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        pairs = chosen.join(open_.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b")), "bucket").where(
-            "root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = save(_with(_with(pairs, "a", nodes, "sketch"), "b", nodes, "sketch")
-                      .select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreement, "a long, b long"), "likely")
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        bags = save(base.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(
-            _bag, "id long, element array<long>, weight array<int>"), "bags")
-        checked = _with(_with(likely, "a", bags, "element", "weight"), "b", bags, "element", "weight").select(
-            "a", "b", "element_a", "weight_a", "element_b", "weight_b").mapInArrow(_verify, "a long, b long, likeness double")
-        found = save(checked.where(F.col("likeness") >= LIKENESS).select("a", "b"), "links")
-        links = found if links is None else save(links.union(found), "links")
+    nodes = signed.join(rows.where("id = node").select("id").distinct(), "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
+    full = nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = save(nodes.join(full, "bucket").select("bucket", "id", "size").distinct(), "members")
+    # The centre of a bucket is the member that shares most buckets with most others: the text
+    # that the others are versions of, if there is one.
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    centre = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("most"))
+    centred = save(members.join(centre.select("bucket", F.col("most.id").alias("centre")), "bucket"), "centred")
+    pairs = centred.where("id <> centre").select(
+        F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    likely = save(_with(_with(pairs, "a", signed, "sketch"), "b", signed, "sketch")
+                  .select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreement, "a long, b long").distinct(), "likely")
+    links = _verified(likely, base)
+    roots = components(links)
+    further = _verified(save(_further(centred, roots, base), "further"), base)
+    if not further.isEmpty():
+        links = links.union(further)
         roots = components(links)
-        members = open_.where("not centre").select("bucket", "id")
-        centres, number = centres * GROWTH, number + 1
-    out = rows
-    if roots is not None:
-        ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-        roots = roots.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
-        out = out.join(roots, "node", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long")).withColumn("links", F.lit(0).cast("long"))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    out = rows.join(roots, "node", "left").join(ends, "node", "left")
     return out.groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("class_id"),
                                  F.max(F.coalesce("links", F.lit(0))).cast("long").alias("links"))
 
 
+def _further(centred: DataFrame, roots: DataFrame, base: DataFrame) -> DataFrame:
+    """Likely pairs in buckets whose members are not all in one component: each member that is
+    not in its centre's component against all that are not in its own. Long sketches are
+    compared inside the join, so that only likely pairs leave it."""
+    known = roots.toDF("id", "root")
+    at = centred.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    middle = known.toDF("centre", "centre_root")
+    at = at.join(middle, "centre", "left").select("bucket", "id", "root", F.coalesce("centre_root", "centre").alias("main"))
+    opened = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(
+        "low < high and n > 2").select("bucket")
+    at = save(at.join(opened, "bucket"), "open")
+    planes = [f"{side}{i}" for side in "lh" for i in range(LONG // 64)]
+    sketched = save(_sieved(base, at.select("id").distinct()).mapInArrow(
+        _long_sketch, "id long, " + ", ".join(f"{p} long" for p in planes)), "long_sketches")
+    held = at.join(sketched, "id")
+    left = held.where("root <> main").alias("x")
+    differ = " + ".join(f"bit_count((x.l{i} ^ y.l{i}) | (x.h{i} ^ y.h{i}))" for i in range(LONG // 64))
+    found = left.join(held.alias("y"), F.expr(
+        f"x.bucket = y.bucket and x.root <> y.root and (y.root = y.main or x.id < y.id) and {differ} <= {int(LONG * 0.75 * (1 - LONG_ESTIMATE))}"))
+    return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least id, with all its columns."""
     kept = classes(docs).where("id = class_id").select(F.col("id").alias("__id"))
