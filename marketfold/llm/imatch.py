@@ -118,17 +118,21 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and of their edited versions, whose last quarter gives way to the
     beginning of the next document; likeness of the text to the edited one and to the next."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("n_chars", F.char_length("text").cast("long"))
     known = save(lexicon(base), "lexicon").agg(F.sort_array(F.collect_list("term")).alias("terms")).scalar()
-    around = save(neighbours(base.select("doc_id", "n_chars")), "neighbours")
-    marked = with_fingerprint(base, "text", "fingerprint", known).join(around, "doc_id", "left")
-    heads = marked.where("previous_id is not null").groupBy("previous_id").agg(F.min(F.struct(
+    around = save(neighbours(base.withColumn("n_chars", F.char_length("text").cast("long"))), "neighbours")
+    # Both uses of the marked texts have the same columns and filters: one exchange serves them.
+    named = with_fingerprint(base.where("doc_id is not null"), "text", "fingerprint", known)
+    heads = named.join(around.select("doc_id", "previous_id", "previous_n"), "doc_id").groupBy("previous_id").agg(F.min(F.struct(
         F.expr("substring(text, 1, cast(previous_n div 4 as int))").alias("head"), "fingerprint")).alias("next"))
-    joined = marked.join(heads.withColumnRenamed("previous_id", "doc_id"), "doc_id", "left")
+    joined = named.join(heads.withColumnRenamed("previous_id", "doc_id"), "doc_id", "left")
+    joined = joined.select("doc_id", "text", "fingerprint", F.col("next.head").alias("head"), F.col("next.fingerprint").alias("following"))
+    alone = with_fingerprint(base.where("doc_id is null"), "text", "fingerprint", known).withColumns(
+        {"head": F.lit(None).cast("string"), "following": F.lit(None).cast("string")})
+    both = joined.unionByName(alone).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.expr("cast(n_chars div 4 as int)")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 4 as int))"),
-                      F.substring(F.coalesce(F.col("next.head"), F.lit("")), F.lit(1), cut))
-    return with_fingerprint(joined.withColumn("edited", edited), "edited", "edited_fingerprint", known).select(
+                      F.substring(F.coalesce(F.col("head"), F.lit("")), F.lit(1), cut))
+    return with_fingerprint(both.withColumn("edited", edited), "edited", "edited_fingerprint", known).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
         "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"))
+        likeness(F.col("fingerprint"), F.col("following")).alias("near_next"))
