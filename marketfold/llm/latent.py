@@ -34,7 +34,7 @@ from .words import U, Words, lists, slices
 BLOCK = 16
 RANK = 128
 EXTRA = 8  # further columns of the random test matrix
-COMMON = 0.02  # words in a larger share of the passages have no weight
+COMMON, FEW = 0.02, 30  # words in a larger share of the passages, and in more than a few, have no weight
 ITEMS = 500
 COSINE = 0.55
 COPIED = 0.75
@@ -146,8 +146,8 @@ def _sketch(shared, width: int):
     return run
 
 
-def fit(docs: DataFrame, space: Space, seed: int = 0) -> Space:
-    """The latent space of all passages of ``docs`` (id, text)."""
+def fit(docs: DataFrame, space: Space, seed: int = 0) -> tuple[Space, DataFrame]:
+    """The latent space of all passages of ``docs`` (id, text); the texts as places of words."""
     spark, n = docs.sparkSession, len(space.terms)
     coded = save(docs.mapInArrow(_encode(spark.sparkContext.broadcast(space)), "id long, places array<int>"), "coded")
     counted = coded.mapInArrow(_frequencies(n), "term long, passages long").groupBy("term").agg(F.sum("passages"))
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, space: Space, seed: int = 0) -> Space:
     for term, passages_ in counted.collect():  # a row for each word of the benchmark
         found[term + 1] = passages_
     idf = np.log((found[0] + 1) / (found[1:] + 1)) ** 2
-    idf[found[1:] > max(COMMON * found[0], 1)] = 0
+    idf[found[1:] > max(COMMON * found[0], FEW)] = 0
     width = min(RANK + EXTRA, n)
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
     schema = "term long, " + ", ".join(f"c{i} double" for i in range(width))
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, space: Space, seed: int = 0) -> Space:
     space.weights = (idf[:, None] * left[:, :rank] / np.maximum(size[:rank], 1e-12)).astype(np.float32)
     vectors = np.stack([space.weights[w - 1].sum(axis=0) for w in space.words])
     space.latent = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]).astype(np.float32)
-    return space
+    return space, coded
 
 
 def common_subsequence(item: dict[int, int], text: np.ndarray, length: int) -> int:
@@ -243,7 +243,7 @@ def leaks(space: Space, places: np.ndarray, word_at: np.ndarray) -> list[tuple[i
 
 
 def _spaces(docs: DataFrame, benchmark: DataFrame):
-    """Fitted spaces of the benchmark's blocks."""
+    """Fitted spaces of the benchmark's blocks, and the documents as places of their words."""
     spark = docs.sparkSession
     blocks = max(1, -(-benchmark.count() // ITEMS))
     numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn(
@@ -251,7 +251,8 @@ def _spaces(docs: DataFrame, benchmark: DataFrame):
     for number in range(blocks):
         space = read_items(numbered.where(F.col("block") == number).orderBy("item_id", "text").collect())
         if space.items:
-            yield spark.sparkContext.broadcast(fit(docs, space))
+            space, coded = fit(docs, space)
+            yield spark.sparkContext.broadcast(space), coded
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -261,18 +262,15 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()),
                        ("share", pa.float64()), ("answer", pa.float64())])
     found = docs.sparkSession.createDataFrame([], schema)
-    for shared in _spaces(base, benchmark):
+    for shared, coded in _spaces(base, benchmark):
         def run(batches, shared=shared):
             space = shared.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    words = Words(part.column("text"), plain=True)
-                    hits = leaks(space, space.places(words.hashes()), words.word_at)
-                    ids = part.column("id").to_numpy()
-                    yield pa.RecordBatch.from_pylist(
-                        [{"doc_id": int(ids[t]), "item_id": space.items[k], "cosine": c, "share": s, "answer": a}
-                         for t, k, c, s, a in hits], arrow)
-        found = found.union(base.mapInArrow(run, schema))
+            for part, places, word_at in _coded(batches):
+                hits, ids = leaks(space, places, word_at), part.column("id").to_numpy()
+                yield pa.RecordBatch.from_pylist(
+                    [{"doc_id": int(ids[t]), "item_id": space.items[k], "cosine": c, "share": s, "answer": a}
+                     for t, k, c, s, a in hits], arrow)
+        found = found.union(coded.mapInArrow(run, schema))
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("share").alias("share"),
                                                   F.max("answer").alias("answer"))
 
@@ -280,7 +278,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns; texts don't move."""
     base = docs.select(row_key().alias("id"), "text")
-    for shared in _spaces(base, benchmark):
+    for shared, _ in _spaces(base, benchmark):
         def run(batches, shared=shared):
             space = shared.value
             for batch in batches:
