@@ -47,7 +47,7 @@ COMMERCE_SQL = {
                case when l_quantity < 10 then '  ' when l_quantity < 20 then null else 'ok' end as review_comment_title,
                cast(null as varchar(10)) as review_comment_message, l_shipdate as review_creation_date,
                case when l_linestatus = 'F' then null else l_shipdate end as review_answer_timestamp
-        from {lineitem} where l_returnflag <> 'N' and l_linenumber <= 2""",
+        from {lineitem} where l_returnflag <> 'N'""",
     "raw_products": """
         select p_partkey as product_id,
                case when p_size % 10 = 0 then null else lower(p_type) end as product_category_name,
@@ -189,6 +189,15 @@ LISTING_SQL = {
                case when o_orderkey % 13 = 0 then null else concat(o_orderkey, ' Main St #5') end as address_line,
                case when o_orderkey % 23 = 0 then null else concat('/home/', o_orderkey) end as path
         from {orders}""",
+    # Pages without a listing: feed A ends some ZIPs with one, feed B announces listings it never sends.
+    "empty_a": """
+        select query_zip, cast(1000000 as bigint) as page
+        from (select distinct cast(10001 + o_custkey % 25 as varchar(5)) as query_zip from {orders}) as q
+        where cast(query_zip as int) % 3 = 0""",
+    "empty_b": """
+        select distinct concat('9', cast(10001 + o_custkey % 25 as varchar(5))) as query_zip, cast(0 as bigint) as page,
+               cast(50 as bigint) as total
+        from {orders}""",
     # What feed B announced per ZIP: every fourth ZIP promises one listing more.
     "announced_b": """
         select query_zip, count(*) + case when cast(query_zip as int) % 4 = 0 then 1 else 0 end as total

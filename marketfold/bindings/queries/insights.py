@@ -64,7 +64,7 @@ def corridor_late_rate(t):
 
 @query("peak_week_multiple", "peak_revenue double, peak_week date, mean_revenue double, multiple double", f"""
     select peak_revenue, peak_week, mean_revenue, {ratio('peak_revenue / mean_revenue')} as multiple
-    from (select max(gross_revenue) as peak_revenue, arg_max(week_start, gross_revenue) as peak_week,
+    from (select max(gross_revenue) as peak_revenue, (select min(week_start) from x_kpis where gross_revenue = (select max(gross_revenue) from x_kpis)) as peak_week,
                  {money('avg(gross_revenue)')} as mean_revenue from x_kpis) as p""")
 def peak_week_multiple(t):
     return insights.peak_week_multiple(t.model["mart_kpis_weekly"])

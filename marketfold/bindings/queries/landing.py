@@ -38,19 +38,21 @@ def land_pages_b(t):
        "complete boolean", """
     select query_zip, sum(n) as fetched, count(*) as pages, arg_max(n, page) as last_page_rows, any_value(total) as expected,
            sum(n) >= any_value(total) as complete
-    from (select query_zip, page, count(*) as n, any_value(total) as total from x_landed_b group by 1, 2) as p
+    from (select query_zip, page, count(*) as n, any_value(total) as total from x_landed_b group by 1, 2
+          union all select query_zip, page, 0, total from empty_b) as p
     group by query_zip""")
 def landing_completeness(t):
-    return landing.landing_completeness(t.landed("b"), ["query_zip"], "page", "total_result_count")
+    return landing.landing_completeness(t.all_pages("b"), "b", ["query_zip"], "page")
 
 
 @query("landing_completeness_by_page", "query_zip varchar, fetched bigint, pages bigint, last_page_rows bigint, "
        "complete boolean", """
     select query_zip, sum(n) as fetched, count(*) as pages, arg_max(n, page) as last_page_rows,
-           arg_max(n, page) < 60 as complete
-    from (select query_zip, page, count(*) as n from x_landed_a group by 1, 2) as p group by query_zip""")
+           arg_max(n, page) < 20 as complete
+    from (select query_zip, page, count(*) as n from x_landed_a group by 1, 2
+          union all select query_zip, page, 0 from empty_a) as p group by query_zip""")
 def landing_completeness_by_page(t):
-    return landing.landing_completeness(t.landed("a"), ["query_zip"], "page", page_limit=60)
+    return landing.landing_completeness(t.all_pages("a"), "a", ["query_zip"], "page", page_limit=20)
 
 
 @query("safe_get", "event_id bigint, k integer, missing varchar",

@@ -201,12 +201,12 @@ def merge_listings(t):
 
 @query("merge_listings_best", _MERGED, "select * from x_ny_merged")
 def merge_listings_best(t):
-    return t.merged("new_york")
+    return t.merged("new_york")[0]
 
 
 @query("impute_group_median", _MERGED + ", sqft_filled double", "select * from x_ny_filled")
 def impute_group_median(t):
-    return listings.fill_sqft(t.merged("new_york"))
+    return listings.fill_sqft(*t.merged("new_york"))
 
 
 @query("trim_outliers", _MERGED + ", sqft_filled double", "select * from x_ny_trimmed")
@@ -292,9 +292,7 @@ def publish_unified(t):
 
 
 def _key_sql(*columns: str) -> str:
-    parts = ", ".join(f"coalesce(concat('=', {c}), '~')" if text else f"coalesce(concat('=', cast({c} as varchar)), '~')"
-                      for c, text in ((c, c in ('"City"', '"Borough"', '"Neighborhood"', '"ZIP Code"', '"NTA2020"'))
-                                      for c in columns)).replace("concat('=', ", "('=' || ")
+    parts = ", ".join(f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '~')" for c in columns)
     return f"md5(concat_ws('|', {parts}))"
 
 

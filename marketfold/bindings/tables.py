@@ -142,11 +142,12 @@ class Tables:
 
     # The merged and filled steps and the unified table are written once and then read,
     # as a weekly refresh would do, however many queries follow.
-    def merged(self, city: str) -> DataFrame:
+    def merged(self, city: str) -> tuple[DataFrame, DataFrame]:
+        """Merged rows, and what statistics are taken over."""
         return self._once(f"merged-{city}", lambda: self._merge(city))
 
-    def filled(self, city: str) -> DataFrame:
-        return self._once(f"filled-{city}", lambda: stage(listings.fill_sqft(self.merged(city)), "filled"))
+    def filled(self, city: str) -> tuple[DataFrame, DataFrame]:
+        return self._once(f"filled-{city}", lambda: listings.fill(*self.merged(city), stage))
 
     def unified(self) -> DataFrame:
         return self._once("unified", lambda: stage(
@@ -164,7 +165,7 @@ class Tables:
             self._written[name] = build()
         return self._written[name]
 
-    def _merge(self, city: str, partners: str = "best") -> DataFrame:
+    def _merge(self, city: str, partners: str = "best") -> tuple[DataFrame, DataFrame | None]:
         a, b = self.feeds(city)
         if city == "boston":
             return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True, partners)
@@ -172,10 +173,10 @@ class Tables:
 
     def merged_pairs(self, city: str) -> DataFrame:
         """Merged rows with every pair of a match."""
-        return self._merge(city, "all")
+        return self._merge(city, "all")[0]
 
     def trimmed(self, city: str) -> DataFrame:
-        return listings.trim_listings(self.filled(city))
+        return listings.trim_listings(*self.filled(city))
 
     @cached_property
     def polygons(self) -> DataFrame:
@@ -185,8 +186,10 @@ class Tables:
 
     def published(self, city: str) -> DataFrame:
         if city == "boston":
-            return listings.publish_boston(self.filled(city), "best")
-        return listings.publish_new_york(self.filled(city), self.polygons, "best")
+            filled, over = self.filled(city)
+            return listings.publish_boston(filled, "best", over)
+        filled, over = self.filled(city)
+        return listings.publish_new_york(filled, self.polygons, "best", over=over)
 
     # landed pages
     def pages(self, feed: str) -> DataFrame:
@@ -202,6 +205,13 @@ class Tables:
         return pages.join(total, "query_zip").select("query_zip", "page", F.to_json(F.struct(
             F.col("total").alias("totalResultCount"), F.col("items").alias("data"))).alias("body"))
 
+    def all_pages(self, feed: str) -> DataFrame:
+        """Parsed pages, empty ones among them."""
+        empty = self.input(f"empty_{feed}")
+        body = F.struct(F.col("total").alias("totalResultCount")) if feed == "b" else F.struct(F.array().cast("array<string>").alias("properties"))
+        bodies = self.pages(feed).unionByName(empty.select("query_zip", "page", F.to_json(body).alias("body")))
+        return landing.parse_pages(bodies, "body", feed)
+
     def landed(self, feed: str) -> DataFrame:
         parsed = landing.parse_pages(self.pages(feed), "body", feed)
         return landing.land_pages(parsed, feed, ("query_zip", "page"))

@@ -34,8 +34,9 @@ def listing_key(url: Column) -> Column:
 
 
 def natural_key(*columns: Column) -> Column:
-    """md5 over the parts; a missing part is marked apart from an empty text."""
-    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in columns]
+    """md5 over the parts, each with its length before it; a missing part is ``~``."""
+    texts = [c.cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts]
     return F.md5(F.concat_ws("|", *parts))
 
 

@@ -21,13 +21,26 @@ def _same(names: Sequence[str]) -> Column:
     return condition
 
 
-def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+CELLS = 4096
+
+
+def _ranked(bins: DataFrame, keys: list[str], order: list[str], count: str) -> DataFrame:
+    """Cumulative counts of small per-group tables."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bins.withColumn("_upto", F.sum(count).over(upto))
+
+
+def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = (),
+                weight: str | None = None) -> DataFrame:
     """Exact continuous percentiles of ``value`` per group; one output column per ``qs``.
 
-    1. Rows become a histogram (group, value, count) with map-side combine.
+    1. Rows become a histogram (group, value, count) with map-side combine; ``weight`` is
+       the number of times a row counts.
     2. Values are binned to three leading digits. Bin counts per group, a few thousand
        rows at most, tell which bins hold the wanted ranks.
-    3. Only those bins are opened to find the values, then interpolated.
+    3. The values of those bins are dealt into ``CELLS`` equal cells between their least and
+       their greatest one, however narrow that range; cell counts tell which hold the ranks.
+    4. Only those cells are opened to find the values, then interpolated.
 
     Groups without any value are absent, as with a grouped percentile over non-NULL rows.
     """
@@ -37,9 +50,10 @@ def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[st
     size = F.floor(F.log10(F.abs(v)))
     sign = F.signum(v).cast("int")
     bin_columns = ["_sign", "_size", "_lead"]
+    counted = F.sum(weight) if weight else F.count("*")
     histogram = (
-        df.select(*by, F.col(value).cast("double").alias("_v")).filter(v.isNotNull())
-        .groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+        df.select(*by, F.col(value).cast("double").alias("_v"), *([weight] if weight else [])).filter(v.isNotNull())
+        .groupBy(*by, "_v").agg(counted.alias("_n"))
         .withColumns({
             "_sign": sign,
             # Larger magnitudes of negative numbers come first.
@@ -47,12 +61,10 @@ def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[st
             "_lead": F.when(sign == 0, F.lit(0)).otherwise(F.floor(v / F.pow(F.lit(10.0), size - 2))),
         })
     )
-    group = Window.partitionBy(*by)
-    upto = group.orderBy(*bin_columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in qs.items()]))
+    counts = histogram.groupBy(*by, *bin_columns).agg(F.sum("_n").alias("_bin"))
     bins = (
-        histogram.groupBy(*by, *bin_columns).agg(F.sum("_n").alias("_bin"))
-        .withColumns({"_upto": F.sum("_bin").over(upto), "_total": F.sum("_bin").over(group)})
+        _ranked(counts, by, bin_columns, "_bin").withColumn("_total", F.sum("_bin").over(Window.partitionBy(*by)))
         .withColumn("_want", wanted)
         .withColumn("_rank", (F.col("_total") - 1) * F.col("_want.q"))
         .withColumns({"_lo": F.floor("_rank"), "_hi": F.ceil("_rank"), "_before": F.col("_upto") - F.col("_bin")})
@@ -60,14 +72,25 @@ def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[st
         .select(*by, *bin_columns, "_before", "_lo", "_hi", "_rank", F.col("_want.name").alias("_name"))
     )
     keys = by + bin_columns
-    # The opened bins are a sliver of the values; one exchange by group serves all the rest.
+    group = by + ["_name"]
     opened = histogram.join(_renamed(bins, keys), _same(keys)).select(
         *by, "_v", "_n", "_name", "_before", "_lo", "_hi", "_rank")
-    opened = opened.repartition(*by) if by else opened.repartition(1)
-    wanted_rank = Window.partitionBy(*by, "_name")
-    inside = wanted_rank.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Ranks next to each other lie in one bin or in two neighbours, so counts run on.
-    spans = opened.withColumn("_end", F.min("_before").over(wanted_rank) + F.sum("_n").over(inside))
+    ends = opened.groupBy(*group).agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"), F.min("_before").alias("_base"))
+    cell = F.when(F.col("_to") > F.col("_from"), F.least(
+        F.floor((v - F.col("_from")) / (F.col("_to") - F.col("_from")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    dealt = opened.drop("_before").join(_renamed(ends, group), _same(group)).withColumn("_cell", cell).select(
+        *group, "_v", "_n", "_lo", "_hi", "_rank", "_base", "_cell")
+    cells = dealt.groupBy(*group, "_cell", "_base", "_lo", "_hi").agg(F.sum("_n").alias("_in"))
+    kept = (
+        _ranked(cells, group, ["_cell"], "_in").withColumn("_before", F.col("_base") + F.col("_upto") - F.col("_in"))
+        .filter((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_base") + F.col("_upto")))
+        .select(*group, "_cell", "_before"))
+    at = group + ["_cell"]
+    few = dealt.join(_renamed(kept, at), _same(at)).select(*group, "_v", "_n", "_lo", "_hi", "_rank", "_before")
+    wanted_rank = Window.partitionBy(*group)
+    inside = wanted_rank.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = few.withColumn("_end", F.min("_before").over(wanted_rank) + F.sum("_n").over(inside))
     start = F.col("_end") - F.col("_n")
     at_lo = (start <= F.col("_lo")) & (F.col("_lo") < F.col("_end"))
     at_hi = (start <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))
@@ -78,25 +101,29 @@ def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[st
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, result)).alias(n) for n in names])
 
 
-def column_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def column_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], weight: str | None = None) -> DataFrame:
     """One row of percentiles over several columns: ``{out: (column, q)}``."""
     columns = sorted({c for c, _ in wanted.values()})
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
-    tall = df.select(pairs.alias("p")).select(F.col("p.column").alias("column"), F.col("p.value").alias("value"))
+    kept = [weight] if weight else []
+    tall = df.select(pairs.alias("p"), *kept).select(F.col("p.column").alias("column"), F.col("p.value").alias("value"), *kept)
     qs = {f"q{i}": q for i, q in enumerate(sorted({q for _, q in wanted.values()}))}
     label = {q: name for name, q in qs.items()}
-    per_column = percentiles(tall, "value", qs, by=["column"])
+    per_column = percentiles(tall, "value", qs, by=["column"], weight=weight)
     return per_column.agg(*[
         F.max(F.when(F.col("column") == c, F.col(label[q]))).alias(out) for out, (c, q) in wanted.items()])
 
 
-def impute_group_median(df: DataFrame, column: str, by: Sequence[str], out: str) -> DataFrame:
+def impute_group_median(df: DataFrame, column: str, by: Sequence[str], out: str, over: DataFrame | None = None,
+                        weight: str | None = None) -> DataFrame:
     """Fill ``column`` with the median of its group; drop rows that stay empty.
 
-    A NULL in a grouping column never finds its group, as in an SQL equality join.
+    Medians are taken over ``over`` (``df`` itself by default), whose rows count ``weight``
+    times. A NULL in a grouping column never finds its group, as in an SQL equality join.
     """
-    medians = percentiles(df.dropna(subset=list(by)), column, {"_median": 0.5}, by)
+    source = df if over is None else over
+    medians = percentiles(source.dropna(subset=list(by)), column, {"_median": 0.5}, by, weight)
     condition = F.lit(True)
     for b in by:
         condition = condition & (F.col(b) == F.col(f"_r_{b}"))
@@ -107,11 +134,12 @@ def impute_group_median(df: DataFrame, column: str, by: Sequence[str], out: str)
     )
 
 
-def trim_outliers(df: DataFrame, fences: dict[str, tuple[float, float]], caps: dict[str, float]) -> DataFrame:
+def trim_outliers(df: DataFrame, fences: dict[str, tuple[float, float]], caps: dict[str, float],
+                  over: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Keep rows inside every fence and at or below every cap.
 
-    All cutoffs are taken once over the whole input and enter the filter as one
-    scalar subquery.
+    All cutoffs are taken once over the whole of ``over`` (``df`` itself by default), whose
+    rows count ``weight`` times, and enter the filter as one scalar subquery.
     """
     wanted: dict[str, tuple[str, float]] = {}
     for c, (low, high) in fences.items():
@@ -119,7 +147,7 @@ def trim_outliers(df: DataFrame, fences: dict[str, tuple[float, float]], caps: d
         wanted[f"{c}_high"] = (c, high)
     for c, high in caps.items():
         wanted[f"{c}_cap"] = (c, high)
-    cutoffs = column_percentiles(df, wanted)
+    cutoffs = column_percentiles(df if over is None else over, wanted, weight)
     cut = cutoffs.select(F.struct(*cutoffs.columns)).scalar()
     keep = F.lit(True)
     for c in fences:

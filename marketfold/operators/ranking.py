@@ -27,16 +27,16 @@ def sequence(df: DataFrame, key: str, ts: str, ties: Sequence[str], *, number: s
     Rows are windowed per (key, ``grain`` bucket of the time) and a small table with
     one row per key and bucket carries counts and edge times across buckets. A key
     that owns a third of all rows is thus spread over as many groups as it has days,
-    where a plain window per key would sort it in one task. ``key`` and ``ts`` must
-    not be NULL.
+    where a plain window per key would sort it in one task. Rows without a time come last
+    within their key and are numbered by ``ties``; a NULL key is a key like any other.
     """
     bucket = "_bucket"
     rows = df.withColumn(bucket, F.date_trunc(grain, F.col(ts)).cast("date"))
-    local = Window.partitionBy(key, bucket).orderBy(ts, *ties)
+    local = Window.partitionBy(key, bucket).orderBy(F.asc_nulls_last(ts), *ties)
     edges = rows.groupBy(key, bucket).agg(
         F.count("*").alias("_rows"), F.min(ts).alias("_low"), F.max(ts).alias("_high"))
     whole = Window.partitionBy(key)
-    along = whole.orderBy(bucket)
+    along = whole.orderBy(F.asc_nulls_last(bucket))
 
     local_columns: dict[str, Column] = {}
     edge_columns: list[Column] = []
@@ -50,17 +50,17 @@ def sequence(df: DataFrame, key: str, ts: str, ties: Sequence[str], *, number: s
         edge_columns.append(F.min("_low").over(whole).alias("_first"))
         final[first] = F.col("_first")
     if previous:
-        local_columns["_p"] = F.lag(ts).over(local)
+        local_columns["_p"] = F.lag(F.struct(F.col(ts).alias("at"))).over(local)
         edge_columns.append(F.lag("_high").over(along).alias("_last_high"))
-        final[previous] = F.coalesce(F.col("_p"), F.col("_last_high"))
+        final[previous] = F.when(F.col("_p").isNotNull(), F.col("_p.at")).otherwise(F.col("_last_high"))
     if following:
-        local_columns["_x"] = F.lead(ts).over(local)
+        local_columns["_x"] = F.lead(F.struct(F.col(ts).alias("at"))).over(local)
         edge_columns.append(F.lead("_low").over(along).alias("_next_low"))
-        final[following] = F.coalesce(F.col("_x"), F.col("_next_low"))
+        final[following] = F.when(F.col("_x").isNotNull(), F.col("_x.at")).otherwise(F.col("_next_low"))
 
-    carried = edges.select(key, bucket, *edge_columns)
-    joined = rows.withColumns(local_columns).join(carried, [key, bucket]) if local_columns else rows.join(
-        carried, [key, bucket])
+    carried = edges.select(F.col(key).alias("_k"), F.col(bucket).alias("_b"), *edge_columns)
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(bucket).eqNullSafe(F.col("_b"))
+    joined = rows.withColumns(local_columns).join(carried, same)
     return joined.select(*df.columns, *[c.alias(name) for name, c in final.items()])
 
 

@@ -60,7 +60,9 @@ def corridor_late_rate(corridors: DataFrame, min_orders: int = 1) -> DataFrame:
 
 def peak_week_multiple(kpis: DataFrame) -> DataFrame:
     peak = kpis.agg(
-        F.max("gross_revenue").alias("peak_revenue"), F.max_by("week_start", "gross_revenue").alias("peak_week"),
+        F.max("gross_revenue").alias("peak_revenue"),
+        # The earliest of several weeks with the same revenue.
+        F.max_by("week_start", F.struct("gross_revenue", -F.unix_date("week_start"))).alias("peak_week"),
         F.round(F.avg(F.col("gross_revenue").cast("decimal(28,8)")), 2).alias("mean_revenue"))
     return peak.withColumn("multiple", rate(F.col("peak_revenue"), F.col("mean_revenue"), 4))
 

@@ -25,6 +25,11 @@ SQFT_FENCE = (0.05, 0.95)
 UPPER_CAP = 0.95
 
 
+def _rest(raw: DataFrame, first: str) -> list:
+    """All columns as tie-breakers, so that the order is total."""
+    return [F.asc_nulls_last(c) for c in [first, *sorted(set(raw.columns) - {first})]]
+
+
 def clean_a(raw: DataFrame, rules: AddressRules, area: str, require_area: bool = False,
             nulls_newest: bool = False) -> DataFrame:
     """Newest usable record per id of the single-price feed, with street and unit keys.
@@ -34,8 +39,7 @@ def clean_a(raw: DataFrame, rules: AddressRules, area: str, require_area: bool =
     """
     required = ["listing_id", "zip_code", "url"] + ([area] if require_area else [])
     date = F.desc_nulls_first("list_date") if nulls_newest else F.desc_nulls_last("list_date")
-    newest = first_per_key(
-        raw.dropna(subset=required), ["listing_id"], [date, F.asc("url"), F.asc_nulls_last("list_price")])
+    newest = first_per_key(raw.dropna(subset=required), ["listing_id"], [date, F.asc("url"), *_rest(raw, "list_price")])
     return split_address(newest, "address_line", rules).select(
         "listing_id", "list_price", "beds", strip_non_numeric(F.col("baths")).alias("baths"), "sqft", "zip_code", area,
         "address_line_1", "address_line_2", "latitude", "longitude", "url", "pet_cats", "pet_dogs", "list_date")
@@ -44,7 +48,7 @@ def clean_a(raw: DataFrame, rules: AddressRules, area: str, require_area: bool =
 def clean_b(raw: DataFrame, rules: AddressRules, area: str, require_area: bool = False) -> DataFrame:
     """One record per id of the range feed, ranges reduced to their midpoint."""
     required = ["listing_id", "zip_code", "url"] + ([area] if require_area else [])
-    one = first_per_key(raw.dropna(subset=required), ["listing_id"], [F.asc("url"), F.asc_nulls_last("price_min")])
+    one = first_per_key(raw.dropna(subset=required), ["listing_id"], [F.asc("url"), *_rest(raw, "price_min")])
     return split_address(one, "address_line", rules).select(
         "listing_id",
         midpoint_int(F.col("price_min"), F.col("price_max")).alias("price_avg"),
@@ -99,8 +103,12 @@ B_PROFILE = ["b_zip_code", "b_address_line_1", "b_unit", "b_latitude", "b_longit
 
 
 def best_matches(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOLERANCE,
-                 price_tol: float = PRICE_TOLERANCE, stage: Stage = write_once) -> tuple[DataFrame, DataFrame]:
-    """The best partner of each A listing, and the B urls that any A listing matches.
+                 price_tol: float = PRICE_TOLERANCE, stage: Stage = write_once) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best partner of each A listing, the B urls that any A listing matches, and all pairs
+    for statistics.
+
+    The third frame has the columns that statistics need of every pair, folded to one row
+    per combination of values with ``weight``, the number of pairs it stands for.
 
     The best partner has the smallest price gap, then the smallest url. Listings with
     one profile match alike, so profiles are matched instead of listings: a group of
@@ -118,7 +126,15 @@ def best_matches(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOL
     best = first_per_key(pairs, A_PROFILE, [gap.asc(), F.asc("b_url")])
     matches = _paired(left.join(best, A_PROFILE), area)
     taken = right.join(pairs.select(*B_PROFILE), B_PROFILE, "left_semi").select("b_url")
-    return matches, taken
+    a_values = left.groupBy(*A_PROFILE, "beds", "baths", "sqft").agg(F.count("*").alias("_times_a"))
+    b_values = right.groupBy(*B_PROFILE, *carried[:3]).agg(F.count("*").alias("_times_b"))
+    every = pairs.select(*A_PROFILE, *B_PROFILE).join(a_values, A_PROFILE).join(b_values, B_PROFILE)
+    values = every.select(
+        "zip_code", F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"), F.col("list_price").alias("rent"),
+        F.coalesce("b_beds_avg", F.col("beds").cast("double")).alias("beds"),
+        F.coalesce("b_baths_avg", F.col("baths").cast("double")).alias("baths"), F.coalesce("b_sqft_avg", "sqft").alias("sqft"),
+        (F.col("_times_a") * F.col("_times_b")).alias("weight"))
+    return matches, taken, values
 
 
 MERGED = ["listing_id", "zip_code", "latitude", "longitude", "rent", "beds", "baths", "sqft", "pet_cats", "pet_dogs",
@@ -151,13 +167,28 @@ def merge_listings(a: DataFrame, b: DataFrame, matches: DataFrame, area: str,
         subset=["rent", "beds", "baths", "latitude", "longitude"])
 
 
-def fill_sqft(merged: DataFrame) -> DataFrame:
-    return impute_group_median(merged, "sqft", ["zip_code", "beds", "baths"], "sqft_filled")
+STATISTICS = ["zip_code", "rent", "beds", "baths", "sqft", "weight"]
+
 
+def statistics(merged: DataFrame, values: DataFrame) -> DataFrame:
+    """What medians and cutoffs are taken over where ``merged`` holds one pair per listing:
+    the folded values of all pairs, and the listings without a partner."""
+    alone = merged.filter(F.col("match_url").isNull()).withColumn("weight", F.lit(1).cast("long"))
+    complete = values.dropna(subset=["rent", "beds", "baths", "latitude", "longitude"])
+    return union_by_name([alone.select(*STATISTICS), complete.select(*STATISTICS)])
 
-def trim_listings(filled: DataFrame) -> DataFrame:
+
+def fill_sqft(merged: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """Missing sizes filled with the median of all pairs; ``over`` as from ``statistics``."""
+    return impute_group_median(merged, "sqft", ["zip_code", "beds", "baths"], "sqft_filled", over,
+                               None if over is None else "weight")
+
+
+def trim_listings(filled: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """Rows inside the cutoffs of all pairs; ``over`` is ``statistics`` after ``fill_sqft``."""
     return trim_outliers(
-        filled, {"sqft_filled": SQFT_FENCE}, {"rent": UPPER_CAP, "beds": UPPER_CAP, "baths": UPPER_CAP})
+        filled, {"sqft_filled": SQFT_FENCE}, {"rent": UPPER_CAP, "beds": UPPER_CAP, "baths": UPPER_CAP}, over,
+        None if over is None else "weight")
 
 
 def locate(trimmed: DataFrame, polygons: DataFrame, edges: str = "edges", cell: float = 0.02) -> DataFrame:
@@ -218,10 +249,12 @@ def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate:
 
 
 def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
-                partners: str = "best", stage: Stage = write_once) -> DataFrame:
-    """Clean, match and merge one city's feeds.
+                partners: str = "best", stage: Stage = write_once) -> tuple[DataFrame, DataFrame | None]:
+    """Clean, match and merge one city's feeds; what statistics are to be taken over.
 
-    ``partners`` is ``best`` for one partner per A listing or ``all`` for every pair.
+    ``partners`` is ``best`` for one partner per A listing or ``all`` for every pair. Either
+    way medians and cutoffs follow from all pairs: with ``best`` the second frame has them,
+    folded; with ``all`` it is None, and the first frame serves.
     ``stage`` writes what is read again: cleaned feeds and matches three times, merged
     and filled rows twice. Left lazy, those reads multiply into a dozen runs of the
     match, each from the raw feeds.
@@ -229,36 +262,43 @@ def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: s
     a = stage(clean_a(raw_a, rules, area, require_area), "clean_a")
     b = stage(clean_b(raw_b, rules, area, require_area), "clean_b")
     if partners == "all":
-        matches, taken = stage(match_listings(a, b, area), "matches"), None
+        matches, taken, values = stage(match_listings(a, b, area), "matches"), None, None
     else:
-        matches, taken = best_matches(a, b, area, stage=stage)
+        matches, taken, values = best_matches(a, b, area, stage=stage)
         matches = stage(matches, "matches")
-    return stage(merge_listings(a, b, matches, area, taken), "merged")
+    merged = stage(merge_listings(a, b, matches, area, taken), "merged")
+    return merged, None if values is None else stage(statistics(merged, values), "statistics")
+
+
+def fill(merged: DataFrame, over: DataFrame | None, stage: Stage = write_once) -> tuple[DataFrame, DataFrame | None]:
+    """Both frames of ``merge_feeds`` with filled sizes."""
+    filled = stage(fill_sqft(merged, over), "filled")
+    return filled, None if over is None else stage(fill_sqft(over, over), "filled_statistics")
 
 
-def publish_boston(filled: DataFrame, on_duplicate: str = "error") -> DataFrame:
-    return publish_city(trim_listings(filled), "Boston", {"Neighborhood": "neighborhood"}, on_duplicate)
+def publish_boston(filled: DataFrame, on_duplicate: str = "error", over: DataFrame | None = None) -> DataFrame:
+    return publish_city(trim_listings(filled, over), "Boston", {"Neighborhood": "neighborhood"}, on_duplicate)
 
 
 def publish_new_york(filled: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
-                     cell: float = 0.02) -> DataFrame:
+                     cell: float = 0.02, over: DataFrame | None = None) -> DataFrame:
     areas = {"Borough": "borough", "NTA2020": "nta2020", "Neighborhood": "nta_name"}
-    return publish_city(locate(trim_listings(filled), polygons, cell=cell), "New York City", areas, on_duplicate)
+    return publish_city(locate(trim_listings(filled, over), polygons, cell=cell), "New York City", areas, on_duplicate)
 
 
 def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = write_once) -> DataFrame:
     """Published Boston listings; raw feeds carry a ``neighborhood``."""
     partners = "best" if on_duplicate == "best" else "all"
-    merged = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, partners, stage)
-    return publish_boston(stage(fill_sqft(merged), "filled"), on_duplicate)
+    filled, over = fill(*merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, partners, stage), stage)
+    return publish_boston(filled, on_duplicate, over)
 
 
 def new_york(raw_a: DataFrame, raw_b: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
              stage: Stage = write_once, cell: float = 0.02) -> DataFrame:
     """Published New York listings; raw feeds carry a ``borough``, areas come from polygons."""
     partners = "best" if on_duplicate == "best" else "all"
-    merged = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, partners, stage)
-    return publish_new_york(stage(fill_sqft(merged), "filled"), polygons, on_duplicate, cell)
+    filled, over = fill(*merge_feeds(raw_a, raw_b, LOOSE, "borough", False, partners, stage), stage)
+    return publish_new_york(filled, polygons, on_duplicate, cell, over)
 
 
 def publish_unified(cities: Sequence[DataFrame], refreshed_at: str | None = None) -> DataFrame:

@@ -129,21 +129,25 @@ def dedupe_by_id_keep_first(df: DataFrame, key: str, order: list[str]) -> DataFr
     return first_per_key(df.filter(F.col(key).isNotNull()), [key], [F.col(c).asc_nulls_last() for c in order])
 
 
-def landing_completeness(landed: DataFrame, group: list[str], page: str | None = None, expected: str | None = None,
+def landing_completeness(pages: DataFrame, feed: str, group: list[str], page: str | None = None,
                          page_limit: int = PAGE_LIMIT) -> DataFrame:
     """Rows fetched per group and whether the fetch ended where it should.
 
-    With ``expected`` (feed B) a group is complete once it holds the total announced on
-    its first page. Otherwise (feed A) its last page must be shorter than the limit.
+    Works on pages, so empty ones count: a missing or empty list is a page of 0 rows. Where
+    the feed announces a total (feed B), a group is complete once it holds the total of its
+    first page. Otherwise (feed A) its last page must be shorter than the limit. A NULL page
+    number comes before all others.
     """
-    page_column = F.col(page) if page else F.lit(1)
-    per_page = landed.groupBy(*group, page_column.alias("_page")).agg(
-        F.count("*").alias("_rows"), *([F.max(expected).alias("_expected")] if expected else []))
+    held, total = F.col(FEEDS[feed]["list"]), FEEDS[feed]["total"]
+    number = F.coalesce(F.col(page), F.lit(-1)) if page else F.lit(1)
+    per_page = pages.groupBy(*group, number.alias("_page")).agg(
+        F.sum(F.coalesce(F.when(held.isNotNull(), F.size(held)), F.lit(0))).alias("_rows"),
+        *([F.max(total).alias("_expected")] if total else []))
     out = per_page.groupBy(*group).agg(
         F.sum("_rows").alias("fetched"), F.count("*").alias("pages"),
         F.max_by("_rows", "_page").alias("last_page_rows"),
-        *([F.min_by("_expected", "_page").alias("expected")] if expected else []))
-    if expected:
+        *([F.min_by("_expected", "_page").alias("expected")] if total else []))
+    if total:
         return out.withColumn("complete", F.col("fetched") >= F.col("expected"))
     return out.withColumn("complete", F.col("last_page_rows") < page_limit)
 

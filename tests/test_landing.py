@@ -58,10 +58,25 @@ def test_first_fetched_wins(frame):
     assert rows(kept) == [("1", "02108", 1, 0)]
 
 
+def pages(frame, feed, *found):
+    df = frame("query_zip string, page int, body string", *[(z, n, json.dumps(p)) for z, n, p in found])
+    return landing.parse_pages(df, "body", feed)
+
+
 def test_completeness(frame):
-    df = landed(frame, "b", ("10001", 1, PAGE_B), ("10002", 1, {"totalResultCount": 1, "data": [PAGE_B["data"][0]]}))
-    out = landing.landing_completeness(df, ["query_zip"], "page", "total_result_count")
-    assert rows(out, "query_zip", "fetched", "expected", "complete") == [("10001", 2, 3, False), ("10002", 1, 1, True)]
+    df = pages(frame, "b", ("10001", 1, PAGE_B), ("10002", 1, {"totalResultCount": 1, "data": [PAGE_B["data"][0]]}),
+               ("10003", 1, {"totalResultCount": 50}), ("10004", 1, {"totalResultCount": 0, "data": []}))
+    out = landing.landing_completeness(df, "b", ["query_zip"], "page")
+    assert rows(out, "query_zip", "fetched", "expected", "complete") == [
+        ("10001", 2, 3, False), ("10002", 1, 1, True), ("10003", 0, 50, False), ("10004", 0, 0, True)]
+
+
+def test_an_empty_last_page_ends_a_fetch(frame):
+    full = {"properties": [{"listing_id": str(i)} for i in range(3)]}
+    df = pages(frame, "a", ("02108", 1, full), ("02108", 2, {"properties": []}), ("02109", 1, full), ("02110", 1, {}))
+    out = landing.landing_completeness(df, "a", ["query_zip"], "page", page_limit=3)
+    assert rows(out, "query_zip", "fetched", "pages", "complete") == [
+        ("02108", 3, 2, True), ("02109", 3, 1, False), ("02110", 0, 1, True)]
 
 
 def test_pages_from_files(spark, tmp_path):

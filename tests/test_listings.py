@@ -95,18 +95,38 @@ def test_best_partner_equals_best_of_all_pairs(spark):
     ca = listings.clean_a(spark.createDataFrame(left, A), LOOSE, "borough")
     cb = listings.clean_b(spark.createDataFrame(right, B), LOOSE, "borough")
     every = stage(listings.match_listings(ca, cb, "borough"), "every")
-    best, taken = listings.best_matches(ca, cb, "borough")
+    best, taken, values = listings.best_matches(ca, cb, "borough")
     wanted = first_per_key(every, ["a_url", "rent"], [F.asc("price_gap"), F.asc("b_url")])
     columns = ["a_url", "rent", "b_url", "price_gap", "beds", "sqft"]
     assert set(rows(best, *columns)) == set(rows(wanted, *columns))
     assert set(rows(taken.distinct())) == set(rows(every.select("b_url").distinct()))
     assert every.count() > 20 * best.count()
+    assert values.agg(F.sum("weight")).first()[0] == every.count() and values.count() < every.count()
+    # Medians and cutoffs are those of all pairs, though only best pairs are published.
+    full = listings.merge_listings(ca, cb, every, "borough")
+    one = stage(listings.merge_listings(ca, cb, stage(best, "b"), "borough", taken), "one")
+    over = stage(listings.statistics(one, values), "over")
+    want_filled, got_filled = listings.fill_sqft(full), listings.fill_sqft(one, over)
+    kept = {r["url"] for r in listings.trim_listings(stage(got_filled, "f"), listings.fill_sqft(over, over)).collect()}
+    wanted_urls = {(r["url"], r["match_url"]) for r in listings.trim_listings(stage(want_filled, "w")).collect()}
+    assert kept == {r["url"] for r in got_filled.collect() if (r["url"], r["match_url"]) in wanted_urls}
+
+
+def test_imputed_size_counts_every_partner(frame):
+    left = [a("1"), a("9", address="3 Oak", sqft=None, beds=1.5)]
+    right = [b("1", sqft=(600, 600)), b("2", sqft=(1000, 1000))]
+    ca = listings.clean_a(frame(A, *left), LOOSE, "borough")
+    cb = listings.clean_b(frame(B, *right), LOOSE, "borough")
+    best, taken, values = listings.best_matches(ca, cb, "borough")
+    one = listings.merge_listings(ca, cb, stage(best, "b"), "borough", taken)
+    filled = listings.fill_sqft(one, listings.statistics(one, values))
+    assert rows(filled.filter("url = 'a/9'"), "sqft_filled") == [(800.0,)]
 
 
 def test_merge_covers_every_row_once(tables):
     from pyspark.sql import functions as F
     ca, cb = tables.clean("new_york")
-    out = tables.merged("new_york")
+    out, _ = tables.merged("new_york")
     matched = out.filter(F.col("match_url").isNotNull()).count()
     assert out.count() == ca.count() + cb.count() - matched
 

@@ -71,6 +71,30 @@ def test_sequence_equals_plain_window(spark):
     assert rows(got) == rows(want)
 
 
+def test_sequence_places_missing_times_and_keys(spark):
+    data = [("a", None, 1), ("a", "2024-01-02 00:00:00", 2), ("a", None, 0), ("a", "2024-01-01 00:00:00", 3), (None, None, 4),
+            (None, "2024-01-01 00:00:00", 5)]
+    df = spark.createDataFrame(data, "k string, t string, id int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = ranking.sequence(df, "k", "t", ["id"], number="n", first="f", previous="p", following="x")
+    w = Window.partitionBy("k").orderBy(F.asc_nulls_last("t"), "id")
+    want = df.select("*", F.row_number().over(w).cast("bigint").alias("n"), F.min("t").over(Window.partitionBy("k")).alias("f"),
+                     F.lag("t").over(w).alias("p"), F.lead("t").over(w).alias("x"))
+    assert rows(got) == rows(want)
+
+
+def test_percentiles_of_a_narrow_range_open_few_rows(spark):
+    df = spark.range(20_000).select((F.lit(40.5) + F.pmod(F.hash("id"), F.lit(1 << 20)) / (1 << 20) * 0.4).alias("v"))
+    got = quantiles.percentiles(df, "v", {"m": 0.5, "h": 0.95})
+    want = df.select(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.95)).alias("h"))
+    assert rows(got.select(F.round("m", 9), F.round("h", 9))) == rows(want.select(F.round("m", 9), F.round("h", 9)))
+    assert "repartition" not in got._jdf.queryExecution().logical().toString().lower()
+
+
+def test_weighted_percentiles(frame):
+    df = frame("g string, v double, w long", ("a", 1.0, 3), ("a", 5.0, 1), ("a", 9.0, 2), ("b", None, 4), ("b", 2.0, 1))
+    assert rows(quantiles.percentiles(df, "v", {"m": 0.5, "h": 0.9}, ["g"], "w")) == [("a", 3.0, 9.0), ("b", 2.0, 2.0)]
+
+
 def test_band_join_against_brute_force(spark):
     rng = random.Random(11)
 

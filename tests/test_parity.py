@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from marketfold.bindings.registry import REGISTRY
 from conftest import SMALL
 from parity import compare, database
 
@@ -14,10 +15,14 @@ def con(tables):
     return database(SMALL)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+# Of these the smallest directory has no row to show.
+EMPTY = {"corridor_late_rate"}
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, con, name):
     problem, _, _ = compare(spark, con, SMALL, name)
-    assert problem in ("", "no rows")
+    assert problem == ("no rows" if name in EMPTY else "")
 
 
 def test_entry(spark, tables):

@@ -18,7 +18,7 @@ def test_no_python_and_no_cartesian(tables):
                  "mart_experience_retention_90d", "mart_new_vs_returning_weekly", "fct_order_financials"):
         text = plan(tables.model[name])
         assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text, name
-    text = plan(listings.publish_new_york(tables.filled("new_york"), tables.polygons, "best"))
+    text = plan(tables.published("new_york"))
     assert "Python" not in text and "Cartesian" not in text and "NestedLoop" not in text
 
 
@@ -53,5 +53,5 @@ def test_orders_are_not_joined_to_themselves(tables):
 
 
 def test_scalar_cutoffs_are_a_subquery(tables):
-    text = plan(listings.trim_listings(tables.filled("new_york")).select(F.col("rent")))
+    text = plan(tables.trimmed("new_york").select(F.col("rent")))
     assert "Subquery" in text and "NestedLoop" not in text
