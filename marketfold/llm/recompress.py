@@ -138,7 +138,7 @@ def anchors(hashes: np.ndarray, word_at: np.ndarray, first: np.ndarray, own: np.
     for k in range(level.max() + 1):
         here = np.flatnonzero(level == k)
         best[here] = np.minimum(least[at[here]], least[to[here] - (1 << k)])
-        least = np.minimum(least[:len(least) - (1 << k)], least[1 << k:])
+        least = np.minimum(least[:max(len(least) - (1 << k), 0)], least[1 << k:])
     return np.where(at < to, mix(best + U(1)), mix(own + U(2)))
 
 
