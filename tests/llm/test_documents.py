@@ -252,6 +252,21 @@ def test_automaton_is_a_distribution_and_matches_recursion(spark, docs):
         assert backoff.traverse(model, places, at)[0] == pytest.approx(want)
 
 
+def test_scores_keep_every_ngram_that_occurs_twice(spark, docs, monkeypatch):
+    """Scores are those of the automaton of all kept n-grams, also where hardly a key is broadcast."""
+    lines = [(i, prose(12, 900) + " " + prose(150, 1000 + i)) for i in range(40)] + [(r.doc_id, r.text) for r in docs.collect()]
+    frame = spark.createDataFrame(lines, "doc_id long, text string")
+    model, _ = backoff.train(frame.select("text"))
+    hashes, at = backoff.tokens(pa.array([t for _, t in lines]))
+    want = sorted(zip([-1 if d is None else d for d, _ in lines], backoff.traverse(model, model.places(hashes), at)))
+    for share in (1e-6, 3e-3, 1.0):
+        monkeypatch.setattr(backoff, "SHARE", share)
+        got = backoff.scores(frame, F.lit(False)).collect()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want])
+
+
 def test_leaks(spark, benchmark, docs, none):
     item = prose(40, 100).split()
     rephrased = [w if i % 7 else "instead" for i, w in enumerate(item)]
