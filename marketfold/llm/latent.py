@@ -1,17 +1,23 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by subsequences, with latent semantic likeness.
 
-Passages of the documents (``BLOCK`` words each) and the benchmark items are vectors of term
-frequency times squared inverse passage frequency over the words of the benchmark; other
-words cannot match an item. A randomised SVD of
-all passages, one distributed pass over a random test matrix with a Nystrom step on the
-driver, gives a latent space of ``RANK`` dimensions. Each window of two adjacent passages
-is compared with all items by cosine; candidates are verified by the longest common
-subsequence of the item's words with stretches of text around the window, and by the
-item's answer, its last ``ANSWER`` words. A document leaks an item if the subsequence holds
-``COPIED`` of the item's words, or ``REPHRASED`` of them and the answer as well.
+A document leaks an item if the longest common subsequence of the item's words with a stretch
+of text half as long again holds ``COPIED`` of them, or ``REPHRASED`` of them and the item's
+answer, its last ``ANSWER`` words, as well.
 
-The benchmark is a stated query set: it is taken in blocks of ``ITEMS`` items, and what
-reaches the driver and the broadcast is bounded by the words of one block of it.
+Stretches are sought in windows of adjacent cells of ``GRID`` words, as many as any stretch
+for an item of its length can touch. A subsequence is no longer than the number of places of
+the window that hold a word of the item, nor than the number of the item's places whose word the
+window holds; windows in which either is below ``REPHRASED`` are passed over, which loses no
+leak. In the others all stretches are compared.
+
+Passages of the documents (``BLOCK`` words each) and the items are also vectors of term
+frequency times squared inverse passage frequency over the words of the benchmark. A randomised
+SVD of all passages, one distributed pass over a random test matrix with a Nystrom step on
+the driver, gives a latent space of ``RANK`` dimensions, in which the cosine of an item and the
+stretch that leaks it is reported; nothing is decided by it.
+
+The benchmark is a stated query set: it is taken in blocks of about ``ITEMS`` items of usual
+length, and what reaches the driver and the broadcast is bounded by the words of one block of it.
 
 Defined results: null and empty texts leak nothing; items without a word are ignored,
 repeated ones are reported each. Upper and lower case and ASCII punctuation do not count.
@@ -22,6 +28,7 @@ hash of its text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,8 @@ RANK = 128
 EXTRA = 8  # further columns of the random test matrix
 COMMON, FEW = 0.02, 30  # words in a larger share of the passages, and in more than a few, have no weight
 ITEMS = 500
-COSINE = 0.55
+GRID = 8
+CELLS, PAIRS = 4096, 8192  # cells, and windows with an item, that are held at once
 COPIED = 0.75
 REPHRASED = 0.55
 ANSWER = 5
@@ -57,6 +65,34 @@ class Space:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at + 1, 0).astype(np.int32)
 
+    @cached_property
+    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each word among an item's words from 0, by item and place (their number if
+        it has none of them); whether an item has a word, by place and item; how often it has it."""
+        own = [np.unique(w, return_counts=True) for w in self.words]
+        width = max(len(w) for w, _ in own)
+        number = np.full((len(own), len(self.terms) + 1), width, np.int32)
+        times = np.zeros((len(own), width + 1), np.int32)
+        for k, (word, n) in enumerate(own):
+            number[k, word], times[k, :len(word)] = np.arange(len(word)), n
+        return number, np.ascontiguousarray((number[:, 1:] < width).T.astype(np.uint8)), times
+
+    @cached_property
+    def least(self) -> np.ndarray:
+        """Words of each item that a leak has in common with it, at least."""
+        return np.ceil(REPHRASED * np.array([len(w) for w in self.words]) - 1e-9).astype(int)
+
+    @cached_property
+    def classes(self) -> list[tuple[int, np.ndarray]]:
+        """Cells that a stretch can touch, and the items for which it is so."""
+        cells = np.array([-(-(stretch(len(w)) - 1) // GRID) + 1 for w in self.words])
+        return [(int(m), np.flatnonzero(cells == m)) for m in np.unique(cells)]
+
+
+def stretch(n: int) -> int:
+    """Words of text that are compared with an item of n words."""
+    return n + n // 2
+
 
 def read_items(rows: list) -> Space:
     words = Words(pa.array([r.text for r in rows], pa.string()), plain=True)
@@ -69,13 +105,13 @@ def read_items(rows: list) -> Space:
     return space
 
 
-def passages(places: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def passages(places: np.ndarray, word_at: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known words and the passage of each; the first passage of each text, then their number."""
     n = np.diff(word_at)
-    blocks = -(-n // BLOCK)
+    blocks = -(-n // size)
     block_at = np.concatenate([[0], np.cumsum(blocks)])
     text = np.repeat(np.arange(len(n)), n)
-    block = block_at[text] + (np.arange(len(places)) - word_at[text]) // BLOCK
+    block = block_at[text] + (np.arange(len(places)) - word_at[text]) // size
     known = places > 0
     return places[known] - 1, block[known], block_at
 
@@ -195,64 +231,97 @@ def bits(words: np.ndarray) -> dict[int, int]:
     return found
 
 
-def compare(item: np.ndarray, text: np.ndarray) -> tuple[float, float]:
-    """Of the stretches of ``text`` about as long as the item: the largest share of the item's
-    words in a common subsequence, and of its answer's words within that stretch."""
-    n = len(item)
+def accepts(share: float, answer: float) -> bool:
+    return share >= COPIED or share >= REPHRASED and answer >= 0.8
+
+
+def compare(item: np.ndarray, text: np.ndarray) -> tuple[float, float, int]:
+    """Of the stretches of ``text``, one that leaks the item if there is any, of those the one
+    with the largest share of the item's words in a common subsequence: that share, that of
+    its answer's words, and the place."""
+    n, tail = len(item), min(len(item), ANSWER)
     whole, answer = bits(item), bits(item[-ANSWER:])
-    span, step = n + n // 2, max(1, n // 4)
-    best = (0.0, 0.0)
+    span, step = stretch(n), max(1, n // 4)
+    best = (False, 0.0, 0.0, 0)
     for at in range(0, max(len(text) - span, 0) + step, step):
         piece = text[at:at + span]
         share = common_subsequence(whole, piece, n) / n
-        if share > best[0]:
-            best = (share, common_subsequence(answer, piece, min(n, ANSWER)) / min(n, ANSWER))
-    return best
+        if share >= REPHRASED:
+            held = common_subsequence(answer, piece, tail) / tail
+            best = max(best, (accepts(share, held), share, held, -at))
+    return best[1], best[2], -best[3]
+
+
+def windows(space: Space, places: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item, first word and end of the windows in which enough of an item's words are."""
+    number, member, times = space.index
+    term, cell, cell_at = passages(places, word_at, GRID)
+    n, found = int(cell_at[-1]), [np.zeros((4, 0), np.int64)]
+    text_of = np.repeat(np.arange(len(word_at) - 1), np.diff(cell_at))
+    first = word_at[text_of] + (np.arange(n) - cell_at[text_of]) * GRID
+    for base in range(0, n, CELLS):
+        last = min(n, base + CELLS + space.classes[-1][0])
+        some = slice(*np.searchsorted(cell, (base, last)))
+        counts = summed(member[term[some]], cell[some] - base, last - base)
+        starts = np.arange(base, min(base + CELLS, n))
+        for m, items in space.classes:
+            ends = np.minimum(starts + m, cell_at[text_of[starts] + 1])
+            total = np.zeros((last - base + 1, len(items)), np.int32)
+            np.cumsum(counts[:, items], axis=0, out=total[1:])
+            at, k = np.nonzero(total[ends - base] - total[starts - base] >= space.least[items])
+            at, k, width = starts[at], items[k], m * GRID
+            step = max(1, PAIRS * 64 // max(width, times.shape[1]))
+            for low in range(0, len(at), step):
+                a, i = at[low:low + step], k[low:low + step]
+                where, end = first[a, None] + np.arange(width), np.minimum(first[a] + width, word_at[text_of[a] + 1])
+                word = np.where(where < end[:, None], places[np.minimum(where, len(places) - 1)], 0)
+                there = np.zeros((len(a), times.shape[1]), bool)
+                there[np.arange(len(a))[:, None], number[i[:, None], word]] = True
+                good = (there * times[i]).sum(axis=1) >= space.least[i]
+                found.append(np.stack([text_of[a[good]], i[good], first[a[good]], end[good]]))
+    text, item, first, end = np.concatenate(found, axis=1)
+    return text, item, first, end
 
 
 def leaks(space: Space, places: np.ndarray, word_at: np.ndarray) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, cosine, share, answer) for each item that a text leaks, best window of each."""
-    term, block, block_at = passages(places, word_at)
-    n = int(block_at[-1])
-    if not n or not space.items:
+    """(text, item, cosine, share, answer) for each item that a text leaks, best stretch of each."""
+    if not len(places) or not space.items:
         return []
-    weighs = space.weights.any(axis=1)[term]
-    vector = summed(space.weights[term[weighs]], block[weighs], n)
-    next_ = np.ones(n, bool)
-    next_[block_at[1:][np.diff(block_at) > 0] - 1] = False
-    vector[:-1] += np.where(next_[:-1, None], vector[1:], 0)
-    size = np.linalg.norm(vector, axis=1)
-    found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    text_of = np.repeat(np.arange(len(word_at) - 1), np.diff(block_at))
-    for base in range(0, n, 4096):
-        near = vector[base:base + 4096] @ space.latent.T
-        for b, k in zip(*np.nonzero(near >= COSINE * np.maximum(size[base:base + 4096], 1e-9)[:, None])):
-            at, item = base + int(b), space.words[k]
-            text = int(text_of[at])
-            first = int(word_at[text]) + (at - int(block_at[text])) * BLOCK
-            reach = max(len(item), BLOCK)
-            piece = places[max(first - reach, int(word_at[text])):min(first + 2 * BLOCK + reach, int(word_at[text + 1]))]
-            # More words in common than the bag holds there cannot be.
-            if np.isin(item, piece).mean() < REPHRASED:
-                continue
-            share, answer = compare(item, piece)
-            if share >= COPIED or share >= REPHRASED and answer >= 0.8:
-                cosine = float(near[b, k] / max(size[at], 1e-12))
-                found[text, k] = max(found.get((text, k), (0.0, 0.0, 0.0)), (share, answer, cosine))
-    return [(t, int(k), c, s, a) for (t, k), (s, a, c) in sorted(found.items())]
-
-
-def _spaces(docs: DataFrame, benchmark: DataFrame):
-    """Fitted spaces of the benchmark's blocks, and the documents as places of their words."""
-    spark = docs.sparkSession
-    blocks = max(1, -(-benchmark.count() // ITEMS))
+    text, item, first, end = windows(space, places, word_at)
+    order = np.lexsort((first, item, text))
+    text, item, first, end = text[order], item[order], first[order], end[order]
+    # Windows that overlap are compared as one piece.
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] > end[:-1])
+    head = np.flatnonzero(new)
+    found: dict[tuple[int, int], tuple[bool, float, float, int]] = {}
+    for a, b in zip(head, np.append(head[1:], len(text)) - 1):
+        share, answer, at = compare(space.words[item[a]], places[first[a]:end[b]])
+        if accepts(share, answer):
+            key = int(text[a]), int(item[a])
+            found[key] = max(found.get(key, (0.0, 0.0, 0)), (share, answer, int(first[a]) + at))
+    return [(t, k, cosine(space, k, places[at:min(at + stretch(len(space.words[k])), int(word_at[t + 1]))]), share, answer)
+            for (t, k), (share, answer, at) in sorted(found.items())]
+
+
+def cosine(space: Space, item: int, piece: np.ndarray) -> float:
+    """In the latent space, where that was fitted."""
+    if space.weights is None:
+        return 0.0
+    vector = space.weights[piece[piece > 0] - 1].sum(axis=0)
+    return float(vector @ space.latent[item] / max(np.linalg.norm(vector), 1e-12))
+
+
+def _spaces(benchmark: DataFrame):
+    """The blocks of the benchmark, by items and by characters."""
+    items, characters = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-items // ITEMS), -(-characters // (ITEMS * 500)))
     numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn(
         "block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for number in range(blocks):
         space = read_items(numbered.where(F.col("block") == number).orderBy("item_id", "text").collect())
         if space.items:
-            space, coded = fit(docs, space)
-            yield spark.sparkContext.broadcast(space), coded
+            yield space
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -262,7 +331,10 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()),
                        ("share", pa.float64()), ("answer", pa.float64())])
     found = docs.sparkSession.createDataFrame([], schema)
-    for shared, coded in _spaces(base, benchmark):
+    for space in _spaces(benchmark):
+        space, coded = fit(base, space)
+        shared = docs.sparkSession.sparkContext.broadcast(space)
+
         def run(batches, shared=shared):
             space = shared.value
             for part, places, word_at in _coded(batches):
@@ -277,8 +349,9 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns; texts don't move."""
-    base = docs.select(row_key().alias("id"), "text")
-    for shared, _ in _spaces(base, benchmark):
+    for space in _spaces(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(space)
+
         def run(batches, shared=shared):
             space = shared.value
             for batch in batches:

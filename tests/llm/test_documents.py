@@ -281,6 +281,31 @@ def test_leaks(spark, benchmark, docs, none):
     assert latent.search(none, benchmark).count() == 0 and latent.search(docs, benchmark.limit(0)).count() == 0
 
 
+def test_no_leak_is_passed_over():
+    """Paraphrases that keep 0.55 to 0.75 of short and long items, wherever they stand, against
+    the comparison of all stretches of the text."""
+    rng = random.Random(21)
+    items = [rng.choices(VOCABULARY, k=n) for n in (15, 20, 31, 45, 59, 59, 110, 240)]
+    row = collections.namedtuple("row", "item_id text")
+    space = latent.read_items([row(i, " ".join(w)) for i, w in enumerate(items)])
+    texts, want = [], set()
+    for t in range(240):
+        k, kept = t % len(items), (0.55, 0.6, 0.65, 0.75)[t // len(items) % 4]
+        body = items[k][:-5]
+        stay = set(rng.sample(range(len(body)), max(0, -int(-kept * len(items[k]) // 1) + 1 - 5)))
+        texts.append(" ".join(rng.choices(VOCABULARY, k=rng.randint(0, 200)) + [w if i in stay else "other" for i, w in enumerate(body)]
+                              + items[k][-5:] + rng.choices(VOCABULARY, k=rng.randint(0, 200))))
+        want.add((t, k))
+    words = Words(pa.array(texts), plain=True)
+    places = space.places(words.hashes())
+    found = {(t, k) for t, k, *_ in latent.leaks(space, places, words.word_at)}
+    assert len(want & found) >= 0.98 * len(want)
+    for t in range(0, 240, 3):
+        text = places[words.word_at[t]:words.word_at[t + 1]]
+        for k in range(len(items)):
+            assert not latent.accepts(*latent.compare(space.words[k], text)[:2]) or (t, k) in found
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
