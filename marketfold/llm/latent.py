@@ -41,7 +41,6 @@ from .words import U, Words, lists, slices
 BLOCK = 16
 RANK = 128
 EXTRA = 8  # further columns of the random test matrix
-COMMON, FEW = 0.02, 30  # words in a larger share of the passages, and in more than a few, have no weight
 ITEMS = 500
 GRID = 8
 CELLS, PAIRS = 4096, 8192  # cells, and windows with an item, that are held at once
@@ -173,7 +172,6 @@ def _sketch(shared, width: int):
         total = np.zeros((len(idf), width))
         for _, places, word_at in _coded(batches):
             term, block, block_at = passages(places, word_at)
-            term, block = term[idf[term] > 0], block[idf[term] > 0]
             z = summed(test[term], block, int(block_at[-1]))
             order = np.argsort(term, kind="stable")
             total += summed(z[block[order]], term[order], len(idf))
@@ -190,8 +188,7 @@ def fit(docs: DataFrame, space: Space, seed: int = 0) -> tuple[Space, DataFrame]
     found = np.zeros(n + 1)
     for term, passages_ in counted.collect():  # a row for each word of the benchmark
         found[term + 1] = passages_
-    idf = np.log((found[0] + 1) / (found[1:] + 1)) ** 2
-    idf[found[1:] > max(COMMON * found[0], FEW)] = 0
+    idf = np.log(1 + (found[0] + 1) / (found[1:] + 1)) ** 2  # above 0 for every word, however common
     width = min(RANK + EXTRA, n)
     test = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
     schema = "term long, " + ", ".join(f"c{i} double" for i in range(width))

@@ -306,6 +306,20 @@ def test_no_leak_is_passed_over():
             assert not latent.accepts(*latent.compare(space.words[k], text)[:2]) or (t, k) in found
 
 
+def test_leaks_of_an_item_in_many_documents_and_of_common_words(spark):
+    """How often an item or its words occur doesn't hide it."""
+    common = [f"c{i}" for i in range(40)]
+    rng = random.Random(12)
+    frequent = rng.sample(common, 30)
+    text = lambda i: prose(70, 400 + i) + " " + " ".join(rng.sample(common, 40)) + " " + prose(40, 800 + i)
+    texts = [(i, prose(50, 1400 + i) + " " + prose(40, 100) + " " + prose(40, 1800 + i) if i % 3 == 0 else text(i)) for i in range(150)]
+    texts += [(500, prose(60, 501) + " " + " ".join(frequent) + " " + prose(60, 502))]
+    items = spark.createDataFrame([(1, prose(40, 100)), (2, " ".join(frequent))], "item_id long, text string")
+    got = latent.search(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(i, 1) for i in range(0, 150, 3)} | {(500, 2)}
+    assert all(r.share < 1 or r.cosine > 0 for r in got)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
