@@ -84,12 +84,15 @@ def plan(docs: DataFrame, repeat: float = REPEAT, entropy: float = ENTROPY) -> D
     totals = save(counted, "sources")
     a = exponent(totals, repeat, entropy)
     everything = Window.partitionBy(F.lit(0))  # one row per source
-    power = F.round(F.pow(F.col("tokens") / F.sum("tokens").over(everything), F.lit(a)), 9)
+    power = F.pow(F.col("tokens") / F.sum("tokens").over(everything), F.lit(a))
     powered = totals.withColumn("power", F.when(F.col("tokens") > 0, power))
-    scaled = powered.withColumn("weight", F.round(F.col("power") / F.sum("power").over(everything), WEIGHT_DIGITS))
+    scaled = powered.withColumn("exact", F.col("power") / F.sum("power").over(everything))
     # The budget at which tokens * epochs = budget * weight with epochs of 1 for the scarcest use.
-    unit = F.max(F.col("tokens") / F.col("weight")).over(everything)
-    sized = scaled.withColumn("budget", F.greatest(F.floor(F.col("weight") * unit), F.col("tokens"))).withColumn(
+    unit = F.max(F.col("tokens") / F.col("exact")).over(everything)
+    rounded = F.round("exact", WEIGHT_DIGITS)
+    sized = scaled.withColumn("budget", F.greatest(F.floor(F.col("exact") * unit), F.col("tokens"))).withColumn(
+        # Only what is reported is rounded, and a weight too small for the digits isn't.
+        "weight", F.when(rounded > 0, rounded).otherwise(F.col("exact"))).withColumn(
         "blocks", F.least(F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)), F.col("docs")))
     return sized.select("source_name", "tokens", "docs", "weight", F.coalesce("budget", F.lit(0)).cast("long").alias("budget"), "blocks")
 

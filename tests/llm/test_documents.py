@@ -100,6 +100,15 @@ def test_mixture(spark, docs, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_a_very_small_source_keeps_its_weight(spark):
+    sizes = {"hot": 10 ** 11, "other": 5 * 10 ** 10, "small": 1500, "none": 0}
+    planned = {r.source_name: r for r in mixing.plan(spark.createDataFrame(list(sizes.items()), "source string, n_tokens long")).collect()}
+    assert planned["none"].weight is None and planned["none"].budget == 0
+    assert all(planned[k].weight > 0 and n <= planned[k].budget <= 2.001 * n for k, n in sizes.items() if n)
+    assert planned["small"].budget > 1.9 * sizes["small"] and planned["small"].weight == pytest.approx(2e-8, rel=0.05)
+    assert planned["hot"].budget == pytest.approx(sizes["hot"], rel=1e-9)
+
+
 @pytest.mark.parametrize("entropy, least", [(1.0, 0.0), (0.6, 0.5)])
 def test_exponent(spark, entropy, least):
     totals = spark.createDataFrame([(str(i), 10 ** (2 + i)) for i in range(5)], "source_name string, tokens long")
