@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bagminhash, chat, dom, imatch, labelled, langid, latent, mixing, recompress, warc
+from . import backoff, bagminhash, chat, dom, imatch, labelled, langid, latent, merkle, mixing, recompress, warc
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,65 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each turn of the repaired conversations."""
     return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf, its proof and its verification for each document."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("siblings")
+
+
+# crc32 of a decimal number, one bit at a time: -1 in the list stands for a shift.
+_CRC = """list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, len({0}) + 1), lambda i: list_concat(
+    [cast(ascii(substr({0}, cast(i as integer), 1)) as bigint)], list_transform(range(0, 8), lambda k: -1::bigint))))),
+    lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)"""
+
+
+def crc(text: str) -> str:
+    return f"xor({_CRC.format(text)}, 4294967295::bigint)"
+
+
+_FRAMED = "case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || {0} end"
+_LEAF = "sha256(concat({}))"
+
+
+def _leaf(n_chars: str) -> str:
+    return _LEAF.format(", ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", f"({n_chars})", "text")))
+
+
+_PAIRS = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+
+SQL["op11_merkle_manifest"] = f"""
+with recursive leaves as (
+    select doc_id, lang, {_leaf('n_chars')} as leaf,
+           case when {crc('cast(doc_id as varchar)')} % 7 = 0 then {_leaf('n_chars + 1')} else {_leaf('n_chars')} end as changed
+    from documents),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place from leaves),
+levels as (
+    select lang, 0 as level, list(leaf order by place) as nodes from placed group by lang
+    union all select lang, level + 1, {_PAIRS} from levels where len(nodes) > 1),
+tops as (select lang, nodes[1] as subroot from levels where len(nodes) = 1),
+ranked as (select *, row_number() over (order by lang nulls first) - 1 as rank from tops),
+uppers as (
+    select 0 as level, list(subroot order by rank) as nodes from ranked
+    union all select level + 1, {_PAIRS} from uppers where len(nodes) > 1),
+top as (select nodes[1] as root from uppers where len(nodes) = 1),
+steps as (
+    select ranked.lang, rank, subroot, list(levels.nodes order by level) as own, (select list(nodes order by level) from uppers) as outer_nodes
+    from ranked join levels on ranked.lang is not distinct from levels.lang group by ranked.lang, rank, subroot),
+sides as (
+    select p.*, s.subroot,
+           list_concat(list_transform(range(0, len(own) - 1), lambda l: struct_pack(at := (place >> l) & 1, other := own[l + 1][xor(place >> l, 1) + 1])),
+                       list_transform(range(0, len(outer_nodes) - 1), lambda l: struct_pack(at := (rank >> l) & 1, other := outer_nodes[l + 1][xor(rank >> l, 1) + 1])))
+               as way
+    from placed p join steps s on p.lang is not distinct from s.lang),
+folded as (
+    select doc_id, leaf, subroot, changed as node, way, 0 as level from sides
+    union all
+    select doc_id, leaf, subroot,
+           sha256(case when way[level + 1].at = 1 then way[level + 1].other || node else node || coalesce(way[level + 1].other, '') end),
+           way, level + 1
+    from folded where level < len(way))
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_filter(list_transform(way, lambda s: s.other), lambda o: o is not null), '')) as proof_sha256,
+       node as folded_root, node = root as verified
+from folded, top where level = len(way)"""
