@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bagminhash, chat, dom, imatch, labelled, langid, latent, merkle, mixing, recompress, warc
+from . import backoff, bagminhash, bpe, chat, dom, imatch, labelled, langid, latent, merkle, mixing, recompress, warc
 from .common import crc_of_id, table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -206,3 +208,15 @@ folded as (
 select doc_id, leaf, subroot, root, sha256(array_to_string(list_filter(list_transform(way, lambda s: s.other), lambda o: o is not null), '')) as proof_sha256,
        node as folded_root, node = root as verified
 from folded, top where level = len(way)"""
+
+
+@register
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document and the text they decode to, as counts and hashes."""
+    import public_tokenizers
+
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
