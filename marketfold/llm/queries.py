@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, bagminhash, bpe, chat, dom, imatch, labelled, langid, latent, merkle, mixing, recompress, warc
+from . import backoff, bagminhash, bpe, chat, dom, imatch, labelled, langid, latent, merkle, mixing, recompress, trie, warc
 from .common import crc_of_id, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -220,3 +220,34 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per node of the conversations' prefix trie."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_prefix_trie"] = f"""
+with original as (
+    select conv_id as c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''),
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as turns
+    from conversations where conv_id is not null group by conv_id),
+headed as (select *, {crc('cast(c as varchar)')} % 6 as h from original),
+whole as (
+    select o.c, list_concat(coalesce(b.turns, [])[:o.h], o.turns[o.h + 1:]) as turns
+    from headed o left join original b on b.c = o.c - o.c % 100),
+starts as (select c, turns, unnest(range(0, len(turns) + 1)) as depth from whole),
+named as (select c, depth, turns[:depth] as prefix, len(turns) = depth as last from starts),
+nodes as (
+    select prefix, depth, min(c) as conv_id, count(*) as n_convs, max(case when depth > 0 then length(prefix[depth].t) else 0 end) as chars,
+           coalesce(string_agg(cast(c as varchar), ',' order by c) filter (last), '') as members
+    from named group by prefix, depth),
+children as (select prefix[:depth - 1] as prefix, count(*) as n from nodes where depth > 0 group by 1),
+above as (
+    select w.prefix[:up] as prefix, sum((n_convs - 1) * chars) as saved, sum(case when c.n is null then 1 else 0 end) as leaves
+    from (select *, unnest(range(0, depth + 1)) as up from nodes) w left join children c on c.prefix = w.prefix group by 1)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(c.n, 0) as n_children, cast(a.leaves as bigint) as n_leaves,
+       cast(a.saved as bigint) as saved_tokens, sha256(v.members) as ends_sha256
+from nodes v join above a on a.prefix = v.prefix left join children c on c.prefix = v.prefix
+left join nodes p on v.depth > 0 and p.prefix = v.prefix[:v.depth - 1]"""
