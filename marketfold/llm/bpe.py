@@ -1,15 +1,17 @@
 """Byte-level BPE over a corpus: each distinct word is encoded once.
 
 1. Tasks split texts into words by the tokenizer's rule and number the distinct words of each
-   chunk of about ``CHUNK`` characters; a text becomes the numbers of its words, packed.
-2. The words of all chunks meet in a table of distinct words, each encoded once.
-3. A join brings the ids back to (chunk, word number); the distinct ids of a chunk are joined with
-   the table of pieces, which has a row per id of the vocabulary. Each chunk is cogrouped with
-   both: ids by position of the words, then the text from the pieces of the ids.
+   chunk of about ``CHUNK`` characters, bucket by bucket of a hash; a text becomes the numbers
+   of its words, and a chunk leaves one row of words per bucket. Lists are packed.
+2. The rows of a bucket, from all chunks, meet in one partition, in a table of the bucket's
+   distinct words; each is encoded when it is first seen, and every row gets its ids.
+3. Each chunk is cogrouped with its rows of ids: ids by position of the words, then pieces by id.
+   The table of pieces, with a row per id of the vocabulary, goes to every task.
 
 A word is sent once per chunk, however often it occurs, so frequent words are no hot keys, and no
 row per token is ever shuffled. A chunk has a bounded size; only a text longer than ``CHUNK`` makes
-a longer one.
+a longer one. There are ``BUCKETS`` buckets per shuffle partition, so the words held at once are a
+share of the corpus's distinct words that falls with the width of the job.
 
 The tokenizer is the content of a ``tokenizers`` JSON file with a BPE model behind byte-level
 splitting; strings of its added tokens are found in texts first, as that library does. Ids,
@@ -24,18 +26,20 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save_bucketed
 from .words import slices
 
 CHUNK = 32 << 20
+BUCKETS = 4
 
 # The published splitting rule of this kind of byte-level BPE.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,7 +47,7 @@ RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 # are split by the library itself, which may know fewer or more letters.
 AGREED = r"[\x00-\u0530\u0561-\u0587\u2000-\u2064\u20A0-\u20B5\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]*"
 
-SPLIT = "chunk long, doc_id long, places binary, words array<string>"
+SPLIT = "chunk long, bucket int, doc_id long, n long, packed binary"
 
 
 class Split:
@@ -77,9 +81,9 @@ class Split:
         return found
 
 
-def pack(places: list[int]) -> bytes:
+def pack(numbers) -> bytes:
     """Numbers by byte plane, compressed."""
-    planes = np.array(places, "<u4").view(np.uint8).reshape(-1, 4).T
+    planes = np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
@@ -88,49 +92,89 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-def _splitter(spec, size: int):
+def pack_lists(lengths, content: bytes) -> bytes:
+    """Lengths of lists and what they hold, one after the other."""
+    sizes = pack(lengths)
+    return b"".join([len(sizes).to_bytes(4, "little"), len(content).to_bytes(8, "little"), sizes,
+                     pa.compress(content, codec="zstd", asbytes=True)])
+
+
+def unpack_lists(packed: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    sizes, length = int.from_bytes(packed[:4], "little"), int.from_bytes(packed[4:12], "little")
+    return unpack(packed[12:12 + sizes], n), pa.decompress(packed[12 + sizes:], decompressed_size=length, codec="zstd", asbytes=True)
+
+
+def _rows(schema: pa.Schema, *rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+class Numbers(dict):
+    """Numbers of distinct words: the k-th word of bucket b has the number k * buckets + b."""
+
+    def __init__(self, buckets: int):
+        self.words: list[list[bytes]] = [[] for _ in range(buckets)]
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode()
+        bucket = zlib.crc32(raw) % len(self.words)
+        self[word] = number = len(self.words[bucket]) * len(self.words) + bucket
+        self.words[bucket].append(raw)
+        return number
+
+
+def _splitter(spec, buckets: int, size: int):
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+
     def run(batches):
-        split, part = Split(json.loads(spec.value)), TaskContext.get().partitionId() << 32
-        schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
-        known: dict[str, int] = {}
-        held = chunk = 0
+        split, chunk = Split(json.loads(spec.value)), TaskContext.get().partitionId() << 32
+        known, held = Numbers(buckets), 0
 
         def dictionary():
-            return pa.RecordBatch.from_arrays([pa.array([part + chunk]), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
-                                               pa.array([list(known)], pa.list_(pa.string()))], schema=schema)
+            rows = [(chunk, b, None, len(w), pack_lists([len(x) for x in w], b"".join(w))) for b, w in enumerate(known.words) if w]
+            return _rows(schema, *rows)
         for batch in batches:
-            for piece in slices(batch, "text"):
-                texts = [t or "" for t in piece.column(1).to_pylist()]
+            for piece in slices(batch, "text", min(size, 2 << 20)):
                 rows = []
-                for text in texts:
-                    places = [known.setdefault(w, len(known)) for w in split(text)]
-                    rows.append(len(places).to_bytes(8, "little") + pack(places))
-                held += sum(map(len, texts))
-                yield pa.RecordBatch.from_arrays([pa.array([part + chunk] * len(rows)), piece.column(0), pa.array(rows, pa.binary()),
-                                                  pa.nulls(len(rows), pa.list_(pa.string()))], schema=schema)
+                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    places = [known[w] for w in split(text or "")]
+                    rows.append((chunk, None, doc_id, len(places), pack(places)))
+                    held += len(text or "")
+                yield _rows(schema, *rows)
                 if held >= size:
-                    yield dictionary()
-                    known, held, chunk = {}, 0, chunk + 1
-        if held or known:
+                    if known:
+                        yield dictionary()
+                    known, held, chunk = Numbers(buckets), 0, chunk + 1
+        if known:
             yield dictionary()
     return run
 
 
 def _encoder(spec):
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("packed", pa.binary())])
+
     def run(batches):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         plan = json.loads(spec.value)
-        added = {a["content"]: a["id"] for a in plan["added_tokens"]}
+        added = {a["content"].encode(): [a["id"]] for a in plan["added_tokens"]}
         # Words are split already: only the bytes are still to be mapped.
         plan["pre_tokenizer"]["use_regex"], plan["added_tokens"] = False, []
         tokenizer = Tokenizer.from_str(json.dumps(plan))
+        ids_of, current = {}, None
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-            ids = [[added[w]] if w in added else i for w, i in zip(words, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            for chunk, bucket, n, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != current:
+                    ids_of, current = dict(added), bucket
+                lengths, content = unpack_lists(packed, n)
+                ends = np.cumsum(lengths).tolist()
+                words = [content[a:b] for a, b in zip([0, *ends], ends)]
+                new = [w for w in words if w not in ids_of]
+                for word, found in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
+                    ids_of[word] = found.ids
+                lists = [ids_of[w] for w in words]
+                flat = np.fromiter((i for ids in lists for i in ids), "<u4")
+                yield _rows(schema, (chunk, bucket, n, pack_lists([len(x) for x in lists], len(flat).to_bytes(8, "little") + pack(flat))))
     return run
 
 
@@ -142,68 +186,77 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def pieces(spark: SparkSession, spec: dict) -> DataFrame:
-    """(id, piece): the bytes of each id; as many rows as the vocabulary has."""
+def pieces(spec: dict) -> pa.BinaryArray:
+    """The bytes of each id, in order of the ids; as many as the vocabulary has."""
     byte_of = _byte_of()
-    rows = [(i, bytes(byte_of[c] for c in p)) for p, i in spec["model"]["vocab"].items()]
-    rows += [(a["id"], a["content"].encode()) for a in spec["added_tokens"]]
-    table = pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.binary())})
-    return spark.createDataFrame(table)
-
-
-def _assemble(docs: pa.Table, entries: pa.Table) -> pa.Table:
-    """Ids and decoded text of the documents of a chunk."""
-    entries = entries.combine_chunks()
-    is_word = np.asarray(entries["piece"].is_null().to_numpy(zero_copy_only=False))
-    no = entries["no"].to_numpy()
-    words = entries["ids"].filter(pa.array(is_word)).combine_chunks()
-    rank = np.empty(int(is_word.sum()), np.int64)
-    rank[no[is_word]] = np.arange(len(rank))
-    words = words.take(pa.array(rank))
-    flat, at = words.flatten().to_numpy(), np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    piece_of = dict(zip(no[~is_word].tolist(), entries["piece"].filter(pa.array(~is_word)).to_pylist()))
-
-    keys, all_ids, ends, texts = docs["doc_id"].combine_chunks(), [], [0], []
-    for packed in docs["places"].to_pylist():
-        places = unpack(packed[8:], int.from_bytes(packed[:8], "little"))
-        counts = at[places + 1] - at[places] if len(places) else np.zeros(0, np.int64)
-        shift = np.repeat(at[places] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(places) else counts
-        ids = flat[shift + np.arange(len(shift))] if len(places) else np.zeros(0, np.int32)
-        all_ids.append(ids)
-        ends.append(ends[-1] + len(ids))
-        texts.append(b"".join([piece_of[i] for i in ids.tolist()]).decode("utf-8", "replace"))
-    values = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values, pa.int32()))
-    return pa.table({"doc_id": keys, "ids": lists, "decoded": pa.array(texts, pa.string())})
-
-
-def split(docs: DataFrame, spec, size: int = CHUNK) -> DataFrame:
-    """(chunk, doc_id, places) per document and (chunk, words) per chunk, in one table."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(spec, size), SPLIT)
-
-
-def distinct_words(places: DataFrame, spec) -> DataFrame:
-    """(word, ids): each word of the corpus once."""
-    words = places.select(F.explode("words").alias("word")).distinct()
-    return words.mapInArrow(_encoder(spec), "word string, ids array<int>")
+    found = {i: bytes(byte_of[c] for c in p) for p, i in spec["model"]["vocab"].items()}
+    found |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+    return pa.array([found.get(i) for i in range(max(found) + 1)], pa.binary())
+
+
+def _assembler(table, buckets: int):
+    """Ids and decoded texts of the documents of a chunk."""
+    def run(docs: pa.Table, entries: pa.Table) -> pa.Table:
+        flats, at = [], 0
+        rows = list(zip(*(entries[c].to_pylist() for c in ("bucket", "n", "packed"))))
+        size = max([b + (n - 1) * buckets + 1 for b, n, _ in rows], default=0)
+        lengths, starts = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for bucket, n, packed in rows:
+            counts, content = unpack_lists(packed, n)
+            counts = counts.astype(np.int64)
+            lengths[bucket::buckets][:n] = counts
+            starts[bucket::buckets][:n] = at + np.cumsum(counts) - counts
+            flats.append(unpack(content[8:], int.from_bytes(content[:8], "little")))
+            at += len(flats[-1])
+        flat = np.concatenate([*flats, np.zeros(0, "<u4")]).astype(np.int32)
+
+        all_ids, ends, texts = [], [0], []
+        for n, packed in zip(docs["n"].to_pylist(), docs["packed"].to_pylist()):
+            places = unpack(packed, n)
+            counts = lengths[places]
+            shift = np.repeat(starts[places] - np.cumsum(counts) + counts, counts)
+            ids = flat[shift + np.arange(len(shift))]
+            all_ids.append(ids)
+            ends.append(ends[-1] + len(ids))
+            texts.append(_content(table.value.take(pa.array(ids))))
+        values = np.concatenate([*all_ids, np.zeros(0, np.int32)])
+        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(values, pa.int32()))
+        decoded = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "ids": lists, "decoded": decoded})
+    return run
+
+
+def _content(array: pa.BinaryArray) -> bytes:
+    """The values of an array without nulls, one after the other."""
+    if not len(array):
+        return b""
+    _, offsets, data = array.buffers()
+    where = np.frombuffer(offsets, np.int32)
+    return bytes(memoryview(data)[where[array.offset]:where[array.offset + len(array)]])
+
+
+def split(docs: DataFrame, spec, buckets: int, size: int = CHUNK) -> DataFrame:
+    """(chunk, doc_id, places) per document and (chunk, bucket, words) per chunk, in one table; ``packed``
+    holds ``n`` places or words."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_splitter(spec, buckets, size), SPLIT)
+
+
+def encode_words(words: DataFrame, spec) -> DataFrame:
+    """(chunk, bucket, ids of its words): a bucket's distinct words are encoded once."""
+    dealt = words.select("chunk", "bucket", "n", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_encoder(spec), "chunk long, bucket int, n long, packed binary")
 
 
 def round_trip(docs: DataFrame, path: str, size: int = CHUNK) -> DataFrame:
     """doc_id, ids and the text decoded from them, for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with open(path, encoding="utf-8") as file:
         content = file.read()
-    spec = spark.sparkContext.broadcast(content)
-    parts = save(split(docs, spec, size), "splits")
-    chunks = parts.where("words is not null")
-    known = save(distinct_words(chunks, spec), "words")
-    used = chunks.select("chunk", F.posexplode("words").alias("no", "word")).join(known, "word").select("chunk", "no", "ids")
-    used = save(used, "used")
-    # The vocabulary bounds the table of pieces; a chunk needs each of its ids once.
-    decoding = used.select("chunk", F.explode("ids").alias("id")).distinct().join(
-        F.broadcast(pieces(spark, json.loads(content))), "id").select("chunk", F.col("id").alias("no"), "piece")
-    entries = used.withColumn("piece", F.lit(None).cast("binary")).unionByName(
-        decoding.withColumn("ids", F.lit(None).cast("array<int>")))
-    rows = parts.where("words is null").select("chunk", "doc_id", "places")
-    return rows.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(
-        _assemble, "doc_id long, ids array<int>, decoded string")
+    spec, table = spark.sparkContext.broadcast(content), spark.sparkContext.broadcast(pieces(json.loads(content)))
+    # Documents stay where their chunk was cut: only words and ids are exchanged.
+    parts = save_bucketed(split(docs, spec, buckets, size), "splits", "chunk")
+    ids = encode_words(parts.where("bucket is not null"), spec)
+    rows = parts.where("bucket is null").select("chunk", "doc_id", "n", "packed")
+    return rows.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(
+        _assembler(table, buckets), "doc_id long, ids array<int>, decoded string")
