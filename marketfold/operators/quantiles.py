@@ -1,4 +1,4 @@
-"""Exact interpolated percentiles that never gather a group in one task."""
+"""Exact interpolated percentiles from one written, range-partitioned histogram."""
 
 from __future__ import annotations
 
@@ -8,97 +8,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import KEY, PART, SEGMENT, placed
+
 
 def _renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({n: f"_r_{n}" for n in names})
 
 
-def _same(names: Sequence[str]) -> Column:
-    """Equality with the renamed side, NULL keys included."""
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
-    return condition
-
-
-CELLS = 4096
-
-
-def _ranked(bins: DataFrame, keys: list[str], order: list[str], count: str) -> DataFrame:
-    """Cumulative counts of small per-group tables."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return bins.withColumn("_upto", F.sum(count).over(upto))
-
-
 def percentiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = (),
-                weight: str | None = None) -> DataFrame:
+                weight: str | None = None, count: str | None = None) -> DataFrame:
     """Exact continuous percentiles of ``value`` per group; one output column per ``qs``.
 
     1. Rows become a histogram (group, value, count) with map-side combine; ``weight`` is
-       the number of times a row counts.
-    2. Values are binned to three leading digits. Bin counts per group, a few thousand
-       rows at most, tell which bins hold the wanted ranks.
-    3. The values of those bins are dealt into ``CELLS`` equal cells between their least and
-       their greatest one, however narrow that range; cell counts tell which hold the ranks.
-    4. Only those cells are opened to find the values, then interpolated.
-
-    Groups without any value are absent, as with a grouped percentile over non-NULL rows.
+       the number of times a row counts. It is dealt by range of (group, value) and written.
+    2. Each segment, the part of a group inside one partition, has a total. Running totals
+       along a group, at most one row per partition, name the segments that hold the wanted ranks.
+    3. Only those segments are opened: running counts inside them find the values, which are
+       then interpolated.
+
+    The input is read once, whatever the number of percentiles, and a group is never gathered in
+    one task. ``count`` names an output with the number of counted values. Groups without any
+    value are absent, as with a grouped percentile over non-NULL rows.
     """
     by = list(by)
-    names = list(qs)
-    v = F.col("_v")
-    size = F.floor(F.log10(F.abs(v)))
-    sign = F.signum(v).cast("int")
-    bin_columns = ["_sign", "_size", "_lead"]
     counted = F.sum(weight) if weight else F.count("*")
     histogram = (
-        df.select(*by, F.col(value).cast("double").alias("_v"), *([weight] if weight else [])).filter(v.isNotNull())
-        .groupBy(*by, "_v").agg(counted.alias("_n"))
-        .withColumns({
-            "_sign": sign,
-            # Larger magnitudes of negative numbers come first.
-            "_size": F.when(sign == 0, F.lit(0)).otherwise(sign * size),
-            "_lead": F.when(sign == 0, F.lit(0)).otherwise(F.floor(v / F.pow(F.lit(10.0), size - 2))),
-        })
-    )
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q")) for n, q in qs.items()]))
-    counts = histogram.groupBy(*by, *bin_columns).agg(F.sum("_n").alias("_bin"))
-    bins = (
-        _ranked(counts, by, bin_columns, "_bin").withColumn("_total", F.sum("_bin").over(Window.partitionBy(*by)))
-        .withColumn("_want", wanted)
-        .withColumn("_rank", (F.col("_total") - 1) * F.col("_want.q"))
-        .withColumns({"_lo": F.floor("_rank"), "_hi": F.ceil("_rank"), "_before": F.col("_upto") - F.col("_bin")})
-        .filter((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_upto")))
-        .select(*by, *bin_columns, "_before", "_lo", "_hi", "_rank", F.col("_want.name").alias("_name"))
-    )
-    keys = by + bin_columns
-    group = by + ["_name"]
-    opened = histogram.join(_renamed(bins, keys), _same(keys)).select(
-        *by, "_v", "_n", "_name", "_before", "_lo", "_hi", "_rank")
-    # Ranks next to each other lie in one bin or in two neighbours, so counts run on.
-    ends = opened.groupBy(*group).agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"), F.min("_before").alias("_base"))
-    cell = F.when(F.col("_to") > F.col("_from"), F.least(
-        F.floor((v - F.col("_from")) / (F.col("_to") - F.col("_from")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
-    dealt = opened.drop("_before").join(_renamed(ends, group), _same(group)).withColumn("_cell", cell).select(
-        *group, "_v", "_n", "_lo", "_hi", "_rank", "_base", "_cell")
-    cells = dealt.groupBy(*group, "_cell", "_base", "_lo", "_hi").agg(F.sum("_n").alias("_in"))
-    kept = (
-        _ranked(cells, group, ["_cell"], "_in").withColumn("_before", F.col("_base") + F.col("_upto") - F.col("_in"))
-        .filter((F.col("_before") <= F.col("_hi")) & (F.col("_lo") < F.col("_base") + F.col("_upto")))
-        .select(*group, "_cell", "_before"))
-    at = group + ["_cell"]
-    few = dealt.join(_renamed(kept, at), _same(at)).select(*group, "_v", "_n", "_lo", "_hi", "_rank", "_before")
-    wanted_rank = Window.partitionBy(*group)
-    inside = wanted_rank.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = few.withColumn("_end", F.min("_before").over(wanted_rank) + F.sum("_n").over(inside))
-    start = F.col("_end") - F.col("_n")
-    at_lo = (start <= F.col("_lo")) & (F.col("_lo") < F.col("_end"))
-    at_hi = (start <= F.col("_hi")) & (F.col("_hi") < F.col("_end"))
-    found = spans.filter(at_lo | at_hi).groupBy(*by, "_name").agg(
-        F.max(F.when(at_lo, v)).alias("_low"), F.max(F.when(at_hi, v)).alias("_high"),
-        F.max(F.col("_rank") - F.col("_lo")).alias("_part"))
-    result = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, result)).alias(n) for n in names])
+        df.select(*by, F.col(value).cast("double").alias("_v"), *([weight] if weight else [])).filter(F.col("_v").isNotNull())
+        .groupBy(*by, "_v").agg(counted.alias("_n")))
+    dealt = placed(histogram, by, ["_v"])
+
+    across = Window.partitionBy(KEY)
+    upto = F.sum("_held").over(across.orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    segments = dealt.groupBy(*SEGMENT).agg(F.sum("_n").alias("_held")).select(
+        *SEGMENT, (upto - F.col("_held")).alias("_before"), upto.alias("_upto"), F.sum("_held").over(across).alias("_total"))
+
+    def rank(q: float) -> Column:
+        return (F.col("_total") - 1) * F.lit(q)
+
+    holds = F.lit(False)
+    for q in qs.values():
+        holds = holds | ((F.col("_before") <= F.ceil(rank(q))) & (F.floor(rank(q)) < F.col("_upto")))
+    opened = dealt.select(*SEGMENT, "_v", "_n").join(segments.filter(holds).drop("_upto"), SEGMENT)
+    inside = Window.partitionBy(*SEGMENT).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = opened.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+
+    def at(place: Column) -> Column:
+        here = (F.col("_end") - F.col("_n") <= place) & (place < F.col("_end"))
+        return F.max(F.when(here, F.col("_v")))
+
+    found = spans.groupBy(KEY).agg(
+        F.max("_total").alias("_total"),
+        *[c for i, q in enumerate(qs.values()) for c in (
+            at(F.floor(rank(q))).alias(f"_low{i}"), at(F.ceil(rank(q))).alias(f"_high{i}"))])
+    results = [
+        (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (rank(q) - F.floor(rank(q)))).alias(name)
+        for i, (name, q) in enumerate(qs.items())]
+    return found.select(
+        *[F.col(KEY)[f"k{i}"].alias(b) for i, b in enumerate(by)], *results,
+        *([F.col("_total").alias(count)] if count else []))
 
 
 def column_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], weight: str | None = None) -> DataFrame:

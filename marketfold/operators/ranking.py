@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.sinks import stage
+from .scan import scan
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
     """One row per key: the first under ``order_by``, which must be total.
@@ -20,65 +23,48 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
 
 
 def sequence(df: DataFrame, key: str, ts: str, ties: Sequence[str], *, number: str | None = None,
-             first: str | None = None, previous: str | None = None, following: str | None = None,
-             grain: str = "day") -> DataFrame:
+             first: str | None = None, previous: str | None = None, following: str | None = None) -> DataFrame:
     """Number each key's rows by ``(ts, ties)``; add first, previous and next time.
 
-    Rows are windowed per (key, ``grain`` bucket of the time) and a small table with
-    one row per key and bucket carries counts and edge times across buckets. A key
-    that owns a third of all rows is thus spread over as many groups as it has days,
-    where a plain window per key would sort it in one task. Rows without a time come last
-    within their key and are numbered by ``ties``; a NULL key is a key like any other.
+    A segmented scan: the input is read once, and a key that owns a third of all rows is
+    spread over as many tasks as its rows have range partitions. Rows without a time come
+    last within their key and are numbered by ``ties``; a NULL key is a key like any other.
     """
-    bucket = "_bucket"
-    rows = df.withColumn(bucket, F.date_trunc(grain, F.col(ts)).cast("date"))
-    local = Window.partitionBy(key, bucket).orderBy(F.asc_nulls_last(ts), *ties)
-    edges = rows.groupBy(key, bucket).agg(
-        F.count("*").alias("_rows"), F.min(ts).alias("_low"), F.max(ts).alias("_high"))
-    whole = Window.partitionBy(key)
-    along = whole.orderBy(F.asc_nulls_last(bucket))
-
-    local_columns: dict[str, Column] = {}
-    edge_columns: list[Column] = []
-    final: dict[str, Column] = {}
-    if number:
-        local_columns["_n"] = F.row_number().over(local)
-        before = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
-        edge_columns.append(F.coalesce(before, F.lit(0)).alias("_before"))
-        final[number] = F.col("_before") + F.col("_n")
-    if first:
-        edge_columns.append(F.min("_low").over(whole).alias("_first"))
-        final[first] = F.col("_first")
-    if previous:
-        local_columns["_p"] = F.lag(F.struct(F.col(ts).alias("at"))).over(local)
-        edge_columns.append(F.lag("_high").over(along).alias("_last_high"))
-        final[previous] = F.when(F.col("_p").isNotNull(), F.col("_p.at")).otherwise(F.col("_last_high"))
-    if following:
-        local_columns["_x"] = F.lead(F.struct(F.col(ts).alias("at"))).over(local)
-        edge_columns.append(F.lead("_low").over(along).alias("_next_low"))
-        final[following] = F.when(F.col("_x").isNotNull(), F.col("_x.at")).otherwise(F.col("_next_low"))
-
-    carried = edges.select(F.col(key).alias("_k"), F.col(bucket).alias("_b"), *edge_columns)
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(bucket).eqNullSafe(F.col("_b"))
-    joined = rows.withColumns(local_columns).join(carried, same)
-    return joined.select(*df.columns, *[c.alias(name) for name, c in final.items()])
+    def of_time(out: str | None) -> dict[str, str]:
+        return {out: ts} if out else {}
+
+    return scan(df, [key], [F.asc_nulls_last(ts), *ties], number=number, first=of_time(first),
+                previous=of_time(previous), following=of_time(following))
 
 
 def rolling_avg(df: DataFrame, order: str, columns: dict[str, str], rows: int = 4, by: Sequence[str] = (),
                 scale: int = 2) -> DataFrame:
     """Rounded average of ``{out: column}`` over the current and ``rows - 1`` preceding rows.
 
-    Counts rows, not calendar periods. Meant for rollups of a few thousand periods:
-    without ``by`` the window runs in one task.
+    Counts rows, not calendar periods; NULLs count for nothing. For tables of any length, with or
+    without ``by``; ``rollup_avg`` is shorter work for a rollup that is known to be small.
     """
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - rows, Window.currentRow)
+    exact = {f"_v_{out}": F.col(c).cast("decimal(28,8)") for out, c in columns.items()}
+    framed = scan(df.withColumns(exact), by, [order], frames={f"_f_{out}": (f"_v_{out}", rows) for out in columns})
+    zero = F.lit(0).cast("decimal(38,8)")
+    averages = {}
+    for out in columns:
+        held = F.filter(F.col(f"_f_{out}"), lambda x: x["v"].isNotNull())
+        total = F.aggregate(held, zero, lambda s, x: (s + x["v"]).cast("decimal(38,8)"))
+        averages[out] = F.round(F.when(F.size(held) > 0, total.cast("decimal(30,8)") / F.size(held)), scale)
+    return framed.withColumns(averages).drop(*exact, *[f"_f_{out}" for out in columns])
+
+
+def rollup_avg(df: DataFrame, order: str, columns: dict[str, str], rows: int = 4, scale: int = 2) -> DataFrame:
+    """``rolling_avg`` of a rollup with one row per period, a few thousand at most, in one task."""
+    frame = Window.partitionBy().orderBy(order).rowsBetween(1 - rows, Window.currentRow)
     return df.withColumns({
         out: F.round(F.avg(F.col(c).cast("decimal(28,8)")).over(frame), scale) for out, c in columns.items()})
 
 
 def running_sum(df: DataFrame, order: str, column: str, by: Sequence[str], out: str) -> DataFrame:
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(column).over(frame))
+    """Sum of ``column`` up to and with each row along ``order``, for keys of any size."""
+    return scan(df, by, [order], running={out: column})
 
 
 def order_nulls(df: DataFrame, *spec: tuple[str, str]) -> DataFrame:
@@ -89,18 +75,23 @@ def order_nulls(df: DataFrame, *spec: tuple[str, str]) -> DataFrame:
 
 def top_k(df: DataFrame, by: str, value: str, k: int) -> DataFrame:
     """The ``k`` groups with the largest total; the name breaks ties."""
-    totals = df.groupBy(by).agg(F.sum(value).alias("total"))
+    return _leaders(df.groupBy(by).agg(F.sum(value).alias("total")), by, k)
+
+
+def _leaders(totals: DataFrame, by: str, k: int) -> DataFrame:
     return totals.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last(by)).limit(k)
 
 
 def top_k_share(df: DataFrame, by: str, value: str, ks: Sequence[int]) -> DataFrame:
     """Share of the grand total held by the ``k`` largest groups, one row per ``k``.
 
-    The largest groups come from a distributed top-k; only ``max(ks)`` rows are ranked.
+    Both the largest groups, from a distributed top-k, and the grand total come from the totals
+    per group; only ``max(ks)`` rows are ranked.
     """
-    leaders = top_k(df, by, value, max(ks))
+    totals = stage(df.groupBy(by).agg(F.sum(value).alias("total")), "totals")
+    leaders = _leaders(totals, by, max(ks))
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last(by)))
-    whole = df.agg(F.sum(value)).scalar()
+    whole = totals.agg(F.sum("total")).scalar()
     cuts = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     return (
         leaders.withColumn("_place", place).select("total", "_place", cuts)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.numbers import count_where, money_avg, or_zero, rate, sum_or_zero, sum_where
 from ..functions.text import has_text
 from ..functions.times import days_between, month_index, month_start, week_start, within_interval
-from ..operators.ranking import first_per_key, order_nulls, rolling_avg, running_sum, sequence
+from ..operators.ranking import first_per_key, order_nulls, rollup_avg, sequence
 
 
 def order_reviews_one_row(reviews: DataFrame) -> DataFrame:
@@ -37,6 +37,12 @@ def orders_experience(orders: DataFrame, reviews_one: DataFrame) -> DataFrame:
     return timed.join(review, "order_id", "left")
 
 
+def _named_products(products: DataFrame, translation: DataFrame) -> DataFrame:
+    """Products with both names of their category: the dimensions meet before the facts come in."""
+    return products.select("product_id", "product_category_name").join(
+        translation.select("product_category_name", "product_category_name_english"), "product_category_name", "left")
+
+
 def order_items_enriched(items: DataFrame, orders: DataFrame, customers: DataFrame, sellers: DataFrame,
                          products: DataFrame, translation: DataFrame) -> DataFrame:
     """Items with customer, seller and category attributes; orphans drop out.
@@ -46,10 +52,8 @@ def order_items_enriched(items: DataFrame, orders: DataFrame, customers: DataFra
     """
     described = (
         items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
-        .join(products.select("product_id", "product_category_name"), "product_id")
-        .join(sellers.select("seller_id", "seller_state"), "seller_id")
-        .join(translation.select("product_category_name", "product_category_name_english"),
-              "product_category_name", "left"))
+        .join(_named_products(products, translation), "product_id")
+        .join(sellers.select("seller_id", "seller_state"), "seller_id"))
     placed = (
         orders.select("order_id", "customer_id", "order_purchase_timestamp", "order_status")
         .join(customers.select("customer_id", "customer_state"), "customer_id"))
@@ -154,7 +158,7 @@ def kpis_weekly(financials: DataFrame, rows: int = 4) -> DataFrame:
             money_avg(F.col("item_rows")).alias("items_per_order"),
             rate(count_where(F.col("order_status") == "delivered"), F.count("*")).alias("delivered_rate"),
             rate(count_where(F.col("order_status") == "canceled"), F.count("*")).alias("canceled_rate")))
-    rolled = rolling_avg(weekly, "week_start", {
+    rolled = rollup_avg(weekly, "week_start", {
         "orders_4wk_avg": "orders", "revenue_4wk_avg": "gross_revenue", "aov_4wk_avg": "aov"}, rows)
     return rolled.orderBy("week_start")
 
@@ -167,8 +171,7 @@ def category_sales(orders: DataFrame, items: DataFrame, products: DataFrame, tra
         placed = placed.filter(F.col("order_status") == status)
     described = (
         items.select("order_id", "product_id", "price", "freight_value")
-        .join(products.select("product_id", "product_category_name"), "product_id")
-        .join(translation, "product_category_name", "left"))
+        .join(_named_products(products, translation), "product_id"))
     week = week_start(F.col("order_purchase_timestamp")).alias("week_start")
     return described.join(placed.select("order_id", week), "order_id")
 
@@ -292,8 +295,9 @@ def cohort_ltv_monthly(orders: DataFrame, customers: DataFrame, financials: Data
             F.round(F.sum("revenue"), 2).alias("gross_revenue")))
     acquired = F.max(F.when(F.col("month_index") == 0, F.col("active_customers"))).over(
         Window.partitionBy("cohort_month"))
-    sized = running_sum(
-        monthly.withColumn("cohort_size", acquired), "month_index", "gross_revenue", ["cohort_month"], "_cumulative")
+    # A cohort has a row per month at most.
+    upto = Window.partitionBy("cohort_month").orderBy("month_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = monthly.withColumns({"cohort_size": acquired, "_cumulative": F.sum("gross_revenue").over(upto)})
     return sized.select(
         "cohort_month", "month_index", "cohort_size", "active_customers", "orders", "gross_revenue",
         rate(F.col("active_customers"), F.col("cohort_size"), 4).alias("retention_rate"),

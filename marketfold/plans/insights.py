@@ -102,8 +102,8 @@ def category_aov_vs_revenue(sales: DataFrame) -> DataFrame:
 
 # --- listings, over the published contract -------------------------------------------
 
-def _median(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    return percentiles(df, value, {out: 0.5}, by).withColumn(out, quantized(F.col(out)))
+def _median(df: DataFrame, value: str, by: list[str], out: str, count: str | None = None) -> DataFrame:
+    return percentiles(df, value, {out: 0.5}, by, count=count).withColumn(out, quantized(F.col(out)))
 
 
 def area(df: DataFrame) -> DataFrame:
@@ -122,9 +122,7 @@ def rent_median_by_city(listings: DataFrame) -> DataFrame:
 def rent_by_bedrooms(listings: DataFrame, base: str = "Boston", other: str = "New York City") -> DataFrame:
     """Listings and median rent per bedroom count in two cities, and their ratio."""
     rows = area(listings).withColumn("beds", F.col("Beds").cast("double"))
-    counts = rows.groupBy("city", "beds").agg(F.count("*").alias("listings"))
-    medians = _median(rows, "rent", ["city", "beds"], "median_rent")
-    both = counts.join(medians, ["city", "beds"])
+    both = _median(rows, "rent", ["city", "beds"], "median_rent", count="listings")
     in_base, in_other = F.col("city") == base, F.col("city") == other
     wide = both.groupBy("beds").agg(
         F.max(F.when(in_base, F.col("listings"))).alias("base_listings"),
@@ -180,8 +178,5 @@ def days_on_market(listings: DataFrame) -> DataFrame:
     """Median days from list date to refresh per area; undated listings are left out."""
     rows = area(listings).filter(F.col("`List Date`").isNotNull()).withColumn(
         "days", F.datediff(F.col("`Last Updated`").cast("date"), F.col("`List Date`")))
-    counts = rows.groupBy("city", "area").agg(F.count("*").alias("listings"))
-    medians = _median(rows, "days", ["city", "area"], "median_days")
-    named = medians.withColumnsRenamed({"city": "_city", "area": "_area"})
-    same = F.col("city").eqNullSafe(F.col("_city")) & F.col("area").eqNullSafe(F.col("_area"))
-    return counts.join(named, same).select("city", "area", "listings", "median_days")
+    return _median(rows, "days", ["city", "area"], "median_days", count="listings").select(
+        "city", "area", "listings", "median_days")

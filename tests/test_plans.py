@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from marketfold.operators.quantiles import percentiles
+from marketfold.operators.ranking import sequence, top_k_share
 from marketfold.plans import commerce, listings
 
 
@@ -55,3 +57,30 @@ def test_orders_are_not_joined_to_themselves(tables):
 def test_scalar_cutoffs_are_a_subquery(tables):
     text = plan(tables.trimmed("new_york").select(F.col("rent")))
     assert "Subquery" in text and "NestedLoop" not in text
+
+
+def test_percentiles_read_a_written_histogram(spark, frame, tmp_path):
+    path = str(tmp_path / "values")
+    frame("g string, v double", *[("a", float(i)) for i in range(50)]).write.parquet(path)
+    text = plan(percentiles(spark.read.parquet(path), "v", {"low": 0.05, "mid": 0.5, "high": 0.95}, ["g"], count="n"))
+    assert path not in text  # read once, before the histogram was written
+    assert text.count("FileScan") == 2 and text.count("Exchange") <= 8 and "NestedLoop" not in text
+
+
+def test_sequences_have_no_window_without_a_segment(spark, frame, tmp_path):
+    path = str(tmp_path / "events")
+    frame("k string, t timestamp_ntz, id int").write.parquet(path)
+    text = plan(sequence(spark.read.parquet(path), "k", "t", ["id"], number="n", first="f", previous="p", following="x"))
+    assert path not in text and "SinglePartition" not in text and "_scan_part" in text
+
+
+def test_top_k_share_takes_the_total_from_the_groups(spark, frame, tmp_path):
+    path = str(tmp_path / "sales")
+    frame("g string, v double", ("a", 1.0)).write.parquet(path)
+    assert path not in plan(top_k_share(spark.read.parquet(path), "g", "v", [1]))
+
+
+def test_product_names_meet_before_the_facts(tables):
+    for name in ("int_order_items_enriched", "mart_category_weekly"):
+        text = plan(tables.model[name])
+        assert text.count("lineitem.parquet") == 1, name
