@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import commerce, insights, landing, listings, quality, relational, scalars  # noqa: F401
+from . import commerce, ingest, insights, landing, listings, quality, relational, scalars  # noqa: F401

@@ -46,15 +46,25 @@ def landing_completeness(t):
 
 
 @query("landing_completeness_by_page", "query_zip varchar, fetched bigint, pages bigint, last_page_rows bigint, "
-       "complete boolean", """
+       "missing_pages bigint, complete boolean", """
     select query_zip, sum(n) as fetched, count(*) as pages, arg_max(n, page) as last_page_rows,
-           arg_max(n, page) < 20 as complete
+           max(page) - min(page) + 1 - count(*) as missing_pages,
+           arg_max(n, page) < 20 and max(page) - min(page) + 1 = count(*) as complete
     from (select query_zip, page, count(*) as n from x_landed_a group by 1, 2
           union all select query_zip, page, 0 from empty_a) as p group by query_zip""")
 def landing_completeness_by_page(t):
     return landing.landing_completeness(t.all_pages("a"), "a", ["query_zip"], "page", page_limit=20)
 
 
+@query("landing_page_gaps", "query_zip varchar, first_missing bigint, last_missing bigint", """
+    select query_zip, before + 1 as first_missing, page - 1 as last_missing
+    from (select query_zip, page, lag(page) over (partition by query_zip order by page) as before
+          from (select distinct query_zip, page from landed_a union select query_zip, page from empty_a) as d) as g
+    where page > before + 1""")
+def landing_page_gaps(t):
+    return landing.page_gaps(t.all_pages("a"), ["query_zip"], "page")
+
+
 @query("safe_get", "event_id bigint, k integer, missing varchar",
        "select event_id, cast(props->>'$.k' as integer) as k, cast(null as varchar) as missing from events")
 def safe_get(t):

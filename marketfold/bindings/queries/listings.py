@@ -33,14 +33,14 @@ def split_sql(column: str, strict: bool) -> tuple[str, str]:
             f"lower(trim(regexp_replace(substr({column}, {at}), '(^|\\s)(Apt|Unit|Ste|Ph|Fl|#)\\s*', '', 'gi')))")
 
 
-def _clean_steps(city: str, area: str, lookup_a: str, lookup_b: str, strict: bool, required: str) -> None:
+def clean_steps(city: str, area: str, source_a: str, source_b: str, strict: bool, required: str) -> None:
     street, unit = split_sql("address_line", strict)
     STEPS[f"x_{city}_a"] = f"""
         select listing_id, list_price, beds,
                cast(nullif(regexp_replace(cast(baths as varchar), '[^0-9.]', '', 'g'), '') as float) as baths, sqft,
                zip_code, {area}, {street} as address_line_1, {unit} as address_line_2, latitude, longitude, url,
                pet_cats, pet_dogs, list_date
-        from {city}_feed_a left join {lookup_a} on zip = zip_code
+        from {source_a}
         where listing_id is not null and zip_code is not null and url is not null {required}
         qualify row_number() over (partition by listing_id order by list_date desc nulls last, url) = 1"""
     STEPS[f"x_{city}_b"] = f"""
@@ -48,7 +48,7 @@ def _clean_steps(city: str, area: str, lookup_a: str, lookup_b: str, strict: boo
                cast(beds_min + beds_max as double) / 2 as beds_avg, cast(baths_min + baths_max as double) / 2 as baths_avg,
                (sqft_min + sqft_max) // 2 as sqft_avg, zip_code, {area}, {street} as address_line_1,
                {unit} as address_line_2, latitude, longitude, url
-        from {city}_feed_b left join {lookup_b} on zip = zip_code
+        from {source_b}
         where listing_id is not null and zip_code is not null and url is not null {required}
         qualify row_number() over (partition by listing_id order by url) = 1"""
     STEPS[f"x_{city}_pairs"] = f"""
@@ -88,27 +88,39 @@ def _clean_steps(city: str, area: str, lookup_a: str, lookup_b: str, strict: boo
         where sqft_filled between s05 and s95 and rent <= r95 and beds <= d95 and baths <= t95"""
 
 
-_clean_steps("ny", "borough", "x_boroughs_a", "x_boroughs_b", False, "")
-_clean_steps("bos", "neighborhood", "x_neighborhoods", "x_neighborhoods", True, "and neighborhood is not null")
+def _labelled(feed: str, lookup: str) -> str:
+    return f"{feed} left join {lookup} on zip = zip_code"
+
+
+clean_steps("ny", "borough", _labelled("ny_feed_a", "x_boroughs_a"), _labelled("ny_feed_b", "x_boroughs_b"), False, "")
+clean_steps("bos", "neighborhood", _labelled("bos_feed_a", "x_neighborhoods"), _labelled("bos_feed_b", "x_neighborhoods"), True,
+            "and neighborhood is not null")
 
 STEPS["x_edges"] = """
     select area_id, lon as x1, lat as y1,
            coalesce(lead(lon) over ring, first_value(lon) over ring) as x2,
            coalesce(lead(lat) over ring, first_value(lat) over ring) as y2
     from ring_corners window ring as (partition by area_id order by corner)"""
-STEPS["x_ny_located"] = """
+LOCATED = """
     select t.*, boroname as borough_name, ntaname as nta_name, ntaabbrev as nta_abbrev, nta2020
-    from x_ny_trimmed as t
-    join (select listing_id, match_url, area_id
-          from x_ny_trimmed, x_edges
+    from {trimmed} as t
+    join (select latitude, longitude, area_id
+          from (select distinct latitude, longitude from {trimmed}) as p, x_edges
           where (y1 > cast(latitude as double)) <> (y2 > cast(latitude as double))
             and cast(longitude as double) < (x2 - x1) * (cast(latitude as double) - y1) / (y2 - y1) + x1
-          group by all having count(*) % 2 = 1) as h
-      on h.listing_id = t.listing_id and h.match_url is not distinct from t.match_url
+          group by all having count(*) % 2 = 1) as h using (latitude, longitude)
     join ring_areas using (area_id)"""
+STEPS["x_ny_located"] = LOCATED.format(trimmed="x_ny_trimmed")
+
+
+# Listings of one id: the best partner, then all columns in turn.
+_ORDER = ", ".join(f"{c} nulls last" for c in (
+    "price_gap", "match_url", "zip_code", "{area}", "latitude", "longitude", "rent", "beds", "baths", "sqft", "pet_cats", "pet_dogs",
+    "list_date", "url"))
 
 
-def _publish(city: str, source: str, borough: str, nta: str, hood: str) -> str:
+def publish_sql(city: str, source: str, borough: str, nta: str, hood: str) -> str:
+    area = "neighborhood" if hood == "neighborhood" else "borough"
     return f"""
         select listing_id as "Listing ID", '{city}' as "City", {borough} as "Borough", {nta} as "NTA2020",
                zip_code as "ZIP Code", {hood} as "Neighborhood", latitude as "Latitude", longitude as "Longitude",
@@ -116,11 +128,11 @@ def _publish(city: str, source: str, borough: str, nta: str, hood: str) -> str:
                cast(round_even(sqft_filled, 0) as integer) as "SqFt", pet_cats as "Cats Allowed",
                pet_dogs as "Dogs Allowed", list_date as "List Date", url as "URL"
         from {source}
-        qualify row_number() over (partition by listing_id order by price_gap nulls last, match_url nulls last) = 1"""
+        qualify row_number() over (partition by listing_id order by {_ORDER.format(area=area)}) = 1"""
 
 
-STEPS["x_ny_final"] = _publish("New York City", "x_ny_located", "borough", "nta2020", "nta_name")
-STEPS["x_bos_final"] = _publish("Boston", "x_bos_trimmed", "cast(null as varchar)", "cast(null as varchar)",
+STEPS["x_ny_final"] = publish_sql("New York City", "x_ny_located", "borough", "nta2020", "nta_name")
+STEPS["x_bos_final"] = publish_sql("Boston", "x_bos_trimmed", "cast(null as varchar)", "cast(null as varchar)",
                                 "neighborhood")
 STEPS["x_unified"] = """
     select *, timestamp '2025-12-08 09:30:01' as "Last Updated"
@@ -134,7 +146,7 @@ _CLEAN_B = ("listing_id varchar, price_avg integer, beds_avg double, baths_avg d
 _MERGED = ("listing_id varchar, zip_code varchar, borough varchar, latitude double, longitude double, rent integer, "
            "beds double, baths double, sqft integer, pet_cats boolean, pet_dogs boolean, list_date date, url varchar, "
            "price_gap integer, match_url varchar")
-_CONTRACT = ("Listing ID: varchar, City varchar, Borough varchar, NTA2020 varchar, ZIP Code: varchar, "
+CONTRACT = ("Listing ID: varchar, City varchar, Borough varchar, NTA2020 varchar, ZIP Code: varchar, "
              "Neighborhood varchar, Latitude double, Longitude double, Rent integer, Beds double, Baths double, "
              "SqFt integer, Cats Allowed: boolean, Dogs Allowed: boolean, List Date: date, URL varchar")
 _SPLIT = "listing_id varchar, address_line_1 varchar, address_line_2 varchar"
@@ -196,22 +208,34 @@ def match_listings(t):
 
 @query("merge_listings", _MERGED, "select * from x_ny_merged")
 def merge_listings(t):
-    return t.merged_pairs("new_york")
+    return listings.expand(*t.merged("new_york"), "borough")
 
 
-@query("merge_listings_best", _MERGED, "select * from x_ny_merged")
+_BEST = ("price_gap nulls last, match_url nulls last, zip_code, latitude nulls last, longitude nulls last, rent nulls last, "
+         "beds nulls last, baths nulls last, sqft nulls last")
+
+
+@query("merge_listings_best", _MERGED, f"""
+    select * from x_ny_merged qualify row_number() over (partition by listing_id order by {_BEST}) = 1""")
 def merge_listings_best(t):
-    return t.merged("new_york")[0]
+    return listings.best(*t.merged("new_york"), "borough")
+
+
+@query("match_pairs_folded", "zip_code varchar, price_gap integer, pairs bigint", """
+    select zip_code, price_gap, count(*) as pairs from x_ny_pairs group by zip_code, price_gap""")
+def match_pairs_folded(t):
+    """Pairs counted from their factors, without any of them being made."""
+    return t.merged("new_york")[1].pairs.groupBy("zip_code", "price_gap").agg(F.sum("weight").alias("pairs"))
 
 
 @query("impute_group_median", _MERGED + ", sqft_filled double", "select * from x_ny_filled")
 def impute_group_median(t):
-    return listings.fill_sqft(*t.merged("new_york"))
+    return t.every_pair(lambda filled: filled)
 
 
 @query("trim_outliers", _MERGED + ", sqft_filled double", "select * from x_ny_trimmed")
 def trim_outliers(t):
-    return t.trimmed("new_york")
+    return t.every_pair(listings.trim_listings)
 
 
 @query("make_point", "listing_id varchar, point_lon double, point_lat double", """
@@ -222,10 +246,11 @@ def make_point_query(t):
 
 
 _HELD = """
-    select listing_id, nta2020 from ny_feed_a, x_edges join ring_areas using (area_id)
-    where (y1 > cast(latitude as double)) <> (y2 > cast(latitude as double))
-      and cast(longitude as double) < (x2 - x1) * (cast(latitude as double) - y1) / (y2 - y1) + x1
-    group by all having count(*) % 2 = 1"""
+    select listing_id, nta2020 from (
+        select url, listing_id, nta2020 from ny_feed_a, x_edges join ring_areas using (area_id)
+        where (y1 > cast(latitude as double)) <> (y2 > cast(latitude as double))
+          and cast(longitude as double) < (x2 - x1) * (cast(latitude as double) - y1) / (y2 - y1) + x1
+        group by all having count(*) % 2 = 1) as h"""
 
 
 @query("join_spatial_within", "listing_id varchar, nta2020 varchar", _HELD)
@@ -239,7 +264,7 @@ def join_spatial_within(t):
        "nta2020 varchar, rent integer",
        "select listing_id, borough_name, nta_name, nta_abbrev, nta2020, rent from x_ny_located")
 def spatial_join_points_polygons(t):
-    return listings.locate(t.trimmed("new_york"), t.polygons).select(
+    return t.every_pair(lambda filled: listings.locate(listings.trim_listings(filled), t.polygons)).select(
         "listing_id", "borough_name", "nta_name", "nta_abbrev", "nta2020", "rent")
 
 
@@ -276,17 +301,17 @@ def reproject_boundaries(t):
         "area_id", "corner", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
-@query("publish_city", _CONTRACT, "select * from x_ny_final")
+@query("publish_city", CONTRACT, "select * from x_ny_final")
 def publish_city(t):
     return t.published("new_york")
 
 
-@query("publish_city_strict", _CONTRACT, "select * from x_bos_final")
+@query("publish_city_strict", CONTRACT, "select * from x_bos_final")
 def publish_city_strict(t):
     return t.published("boston")
 
 
-@query("publish_unified", _CONTRACT + ", Last Updated: timestamp", "select * from x_unified")
+@query("publish_unified", CONTRACT + ", Last Updated: timestamp", "select * from x_unified")
 def publish_unified(t):
     return listings.publish_unified(t.both_cities(), REFRESHED_AT)
 

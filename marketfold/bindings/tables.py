@@ -12,7 +12,7 @@ from ..operators.joins import enrich_lookup
 from ..plans import commerce, listings
 from ..plans.staging import SOURCE_OF, staging
 from ..session import prepare
-from ..sources import landing, lookups
+from ..sources import ingest, landing, lookups
 from ..sources.boundaries import assemble_rings
 from ..sources.sinks import stage
 from .inputs import STATEMENTS, TABLES
@@ -142,12 +142,13 @@ class Tables:
 
     # The merged and filled steps and the unified table are written once and then read,
     # as a weekly refresh would do, however many queries follow.
-    def merged(self, city: str) -> tuple[DataFrame, DataFrame]:
-        """Merged rows, and what statistics are taken over."""
+    def merged(self, city: str) -> tuple[DataFrame, listings.Matches]:
+        """Merged rows with matches in factors, and the factors."""
         return self._once(f"merged-{city}", lambda: self._merge(city))
 
-    def filled(self, city: str) -> tuple[DataFrame, DataFrame]:
-        return self._once(f"filled-{city}", lambda: listings.fill(*self.merged(city), stage))
+    def filled(self, city: str) -> tuple[DataFrame, listings.Matches]:
+        merged, matches = self.merged(city)
+        return self._once(f"filled-{city}", lambda: stage(listings.fill_sqft(merged), "filled")), matches
 
     def unified(self) -> DataFrame:
         return self._once("unified", lambda: stage(
@@ -165,18 +166,16 @@ class Tables:
             self._written[name] = build()
         return self._written[name]
 
-    def _merge(self, city: str, partners: str = "best") -> tuple[DataFrame, DataFrame | None]:
+    def _merge(self, city: str) -> tuple[DataFrame, listings.Matches]:
         a, b = self.feeds(city)
         if city == "boston":
-            return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True, partners)
-        return listings.merge_feeds(a, b, listings.LOOSE, "borough", False, partners)
+            return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True)
+        return listings.merge_feeds(a, b, listings.LOOSE, "borough", False)
 
-    def merged_pairs(self, city: str) -> DataFrame:
-        """Merged rows with every pair of a match."""
-        return self._merge(city, "all")[0]
-
-    def trimmed(self, city: str) -> DataFrame:
-        return listings.trim_listings(*self.filled(city))
+    def every_pair(self, step, city: str = "new_york") -> DataFrame:
+        """``step`` of a city's filled rows, with every pair."""
+        filled, matches = self.filled(city)
+        return listings.expand(step(filled), matches, ingest.AREA[city])
 
     @cached_property
     def polygons(self) -> DataFrame:
@@ -186,25 +185,44 @@ class Tables:
 
     def published(self, city: str) -> DataFrame:
         if city == "boston":
-            filled, over = self.filled(city)
-            return listings.publish_boston(filled, "best", over)
-        filled, over = self.filled(city)
-        return listings.publish_new_york(filled, self.polygons, "best", over=over)
+            return listings.publish_boston(*self.filled(city), "best")
+        return listings.publish_new_york(*self.filled(city), self.polygons, "best")
 
     # landed pages
     def pages(self, feed: str) -> DataFrame:
         """(query_zip, page, body): records nested and packed into JSON pages."""
-        rows = self.input(f"landed_{feed}")
-        record = _record_a() if feed == "a" else _record_b()
-        packed = rows.select("query_zip", "page", F.struct("ordinal", record.alias("record")).alias("r"))
-        ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["record"])
-        pages = packed.groupBy("query_zip", "page").agg(ordered.alias("items"))
+        pages = self._packed(f"landed_{feed}", feed)
         if feed == "a":
             return pages.select("query_zip", "page", F.to_json(F.struct(F.col("items").alias("properties"))).alias("body"))
         total = self.input("announced_b")
         return pages.join(total, "query_zip").select("query_zip", "page", F.to_json(F.struct(
             F.col("total").alias("totalResultCount"), F.col("items").alias("data"))).alias("body"))
 
+    def _packed(self, name: str, feed: str) -> DataFrame:
+        """(query_zip, page, items): the records of each page in order."""
+        record = _record_a() if feed == "a" else _record_b()
+        packed = self.input(name).select("query_zip", "page", F.struct("ordinal", record.alias("record")).alias("r"))
+        ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["record"])
+        return packed.groupBy("query_zip", "page").agg(ordered.alias("items"))
+
+    def fetched(self, city: str, feed: str) -> DataFrame:
+        """Parsed pages of a city's fetch."""
+        items = F.struct(F.col("items").alias(landing.FEEDS[feed]["list"]))
+        bodies = self._packed(f"fetched_{city}_{feed}", feed).select("query_zip", "page", F.to_json(items).alias("body"))
+        return landing.parse_pages(bodies, "body", feed)
+
+    def ingested(self, city: str, feed: str) -> DataFrame:
+        return self._once(f"ingested-{city}-{feed}", lambda: stage(ingest.ingest(self.fetched(city, feed), feed, city), "ingested"))
+
+    def published_from_pages(self) -> DataFrame:
+        """New York listings, all the way from its pages."""
+        return listings.new_york(self.ingested("new_york", "a"), self.ingested("new_york", "b"), self.polygons, "best")
+
+    def suspicious_pages(self, feed: str) -> DataFrame:
+        """Pages parsed strictly, broken bodies among them."""
+        bodies = self.pages(feed).unionByName(self.input("broken_pages"))
+        return ingest.parse_pages_strictly(bodies, "body", feed)
+
     def all_pages(self, feed: str) -> DataFrame:
         """Parsed pages, empty ones among them."""
         empty = self.input(f"empty_{feed}")

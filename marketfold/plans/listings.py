@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,123 +73,139 @@ def _in_band(left: DataFrame, right: DataFrame, geo_tol: float, price_tol: float
                ("list_price", "b_price_avg"): price_tol})
 
 
-def _paired(rows: DataFrame, area: str) -> DataFrame:
-    """The columns of a match: position and known sizes from B, the rest from A."""
-    return rows.select(
-        listing_key(F.col("url")).alias("a_key"), listing_key(F.col("b_url")).alias("b_key"),
-        "address_line_1", "address_line_2", "zip_code", area,
-        F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"),
-        F.col("list_price").alias("rent"),
+# What decides whether a listing matches and how well, and what a match takes from it besides.
+A_PROFILE = ["zip_code", "address_line_1", "unit", "latitude", "longitude", "list_price"]
+B_PROFILE = ["b_zip_code", "b_address_line_1", "b_unit", "b_latitude", "b_longitude", "b_price_avg"]
+A_VALUES = ["beds", "baths", "sqft"]
+B_VALUES = ["b_beds_avg", "b_baths_avg", "b_sqft_avg"]
+
+
+@dataclass(frozen=True)
+class Matches:
+    """All matches of two feeds, in factors.
+
+    Listings that agree in everything that matters to a match are one class. ``pairs`` has a row
+    per pair of matching classes, with ``weight``, the number of pairs of listings it stands for,
+    and the least url of its B class; ``a`` and ``b`` are the listings with their classes. n copies
+    facing m copies are n + m rows and one pair until something asks for each of them.
+    """
+
+    pairs: DataFrame
+    a: DataFrame
+    b: DataFrame
+
+
+def factorise(a: DataFrame, b: DataFrame, geo_tol: float = GEO_TOLERANCE, price_tol: float = PRICE_TOLERANCE,
+              stage: Stage = write_once) -> Matches:
+    """Matches of the two feeds with equal ZIP, street and unit inside all tolerances."""
+    # Structs are equal when their NULLs are.
+    left = a.withColumn("unit", empty_as_key(F.col("address_line_2"))).withColumn("a_class", F.struct(*A_PROFILE, *A_VALUES))
+    right = _b_named(b).withColumn("b_class", F.struct(*B_PROFILE, *B_VALUES))
+    a_classes = left.groupBy("a_class").agg(F.count("*").alias("times_a")).select("a_class", "a_class.*", "times_a")
+    b_classes = right.groupBy("b_class").agg(F.count("*").alias("times_b"), F.min("b_url").alias("b_url")).select(
+        "b_class", "b_class.*", "times_b", "b_url")
+    profiles = _in_band(a_classes.select(*A_PROFILE).distinct(), b_classes.select(*B_PROFILE).distinct(), geo_tol, price_tol)
+    both = profiles.join(a_classes, A_PROFILE).join(b_classes, B_PROFILE)
+    pairs = both.select(
+        "a_class", "b_class", (F.col("times_a") * F.col("times_b")).alias("weight"), "zip_code",
+        *_values_of_pair(), "b_url")
+    return Matches(stage(pairs, "pairs"), left, right)
+
+
+def _values_of_pair() -> list:
+    """What a match shows: position and known sizes from B, the rest from A."""
+    return [
+        F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"), F.col("list_price").alias("rent"),
         F.coalesce("b_beds_avg", F.col("beds").cast("double")).alias("beds"),
         F.coalesce("b_baths_avg", F.col("baths").cast("double")).alias("baths"),
         F.coalesce("b_sqft_avg", "sqft").alias("sqft"),
-        "pet_cats", "pet_dogs", "list_date", F.col("url").alias("a_url"), F.col("b_url").alias("b_url"),
-        F.abs(F.col("list_price") - F.col("b_price_avg")).alias("price_gap"))
+        F.abs(F.col("list_price") - F.col("b_price_avg")).alias("price_gap")]
 
 
 def match_listings(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOLERANCE,
-                   price_tol: float = PRICE_TOLERANCE) -> DataFrame:
+                   price_tol: float = PRICE_TOLERANCE, matches: Matches | None = None) -> DataFrame:
     """Every pair of the two feeds with equal ZIP, street and unit inside all tolerances.
 
     Copies of one listing on both sides pair off with each other in full, which is what
-    "every pair" means; ``best_matches`` gives one partner each without those pairs.
-    """
-    left = a.withColumn("unit", empty_as_key(F.col("address_line_2")))
-    return _paired(_in_band(left, _b_named(b), geo_tol, price_tol), area)
-
-
-# What decides whether a listing matches, and how well.
-A_PROFILE = ["zip_code", "address_line_1", "unit", "latitude", "longitude", "list_price"]
-B_PROFILE = ["b_zip_code", "b_address_line_1", "b_unit", "b_latitude", "b_longitude", "b_price_avg"]
-
-
-def best_matches(a: DataFrame, b: DataFrame, area: str, geo_tol: float = GEO_TOLERANCE,
-                 price_tol: float = PRICE_TOLERANCE, stage: Stage = write_once) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The best partner of each A listing, the B urls that any A listing matches, and all pairs
-    for statistics.
-
-    The third frame has the columns that statistics need of every pair, folded to one row
-    per combination of values with ``weight``, the number of pairs it stands for.
-
-    The best partner has the smallest price gap, then the smallest url. Listings with
-    one profile match alike, so profiles are matched instead of listings: a group of
-    copies is one row on either side, folded before the join by a map-side combine,
-    and n copies facing m copies cost n + m rows instead of n * m pairs.
+    "every pair" means; ``Matches`` holds them in factors.
     """
-    left, right = a.withColumn("unit", empty_as_key(F.col("address_line_2"))), _b_named(b)
-    carried = ["b_beds_avg", "b_baths_avg", "b_sqft_avg", "b_url"]
-    b_profiles = right.groupBy(*B_PROFILE).agg(
-        F.min(F.struct("b_url", "b_listing_id", "b_beds_avg", "b_baths_avg", "b_sqft_avg")).alias("_first")).select(
-        *B_PROFILE, *[F.col(f"_first.{c}").alias(c) for c in carried])
-    a_profiles = left.select(*A_PROFILE).distinct()
-    pairs = stage(_in_band(a_profiles, b_profiles, geo_tol, price_tol), "profiles")
-    gap = F.abs(F.col("list_price") - F.col("b_price_avg"))
-    best = first_per_key(pairs, A_PROFILE, [gap.asc(), F.asc("b_url")])
-    matches = _paired(left.join(best, A_PROFILE), area)
-    taken = right.join(pairs.select(*B_PROFILE), B_PROFILE, "left_semi").select("b_url")
-    a_values = left.groupBy(*A_PROFILE, "beds", "baths", "sqft").agg(F.count("*").alias("_times_a"))
-    b_values = right.groupBy(*B_PROFILE, *carried[:3]).agg(F.count("*").alias("_times_b"))
-    every = pairs.select(*A_PROFILE, *B_PROFILE).join(a_values, A_PROFILE).join(b_values, B_PROFILE)
-    values = every.select(
-        "zip_code", F.col("b_latitude").alias("latitude"), F.col("b_longitude").alias("longitude"), F.col("list_price").alias("rent"),
-        F.coalesce("b_beds_avg", F.col("beds").cast("double")).alias("beds"),
-        F.coalesce("b_baths_avg", F.col("baths").cast("double")).alias("baths"), F.coalesce("b_sqft_avg", "sqft").alias("sqft"),
-        (F.col("_times_a") * F.col("_times_b")).alias("weight"))
-    return matches, taken, values
+    found = factorise(a, b, geo_tol, price_tol) if matches is None else matches
+    every = found.pairs.select("a_class", "b_class").join(found.a, "a_class").join(found.b, "b_class")
+    return every.select(
+        listing_key(F.col("url")).alias("a_key"), listing_key(F.col("b_url")).alias("b_key"),
+        "address_line_1", "address_line_2", "zip_code", area, *_values_of_pair(),
+        "pet_cats", "pet_dogs", "list_date", F.col("url").alias("a_url"), F.col("b_url").alias("b_url"))
 
 
 MERGED = ["listing_id", "zip_code", "latitude", "longitude", "rent", "beds", "baths", "sqft", "pet_cats", "pet_dogs",
           "list_date", "url", "price_gap", "match_url"]
+COMPLETE = ["rent", "beds", "baths", "latitude", "longitude"]
+FACTORS = ["weight", "a_class", "b_class"]
 
 
-def merge_listings(a: DataFrame, b: DataFrame, matches: DataFrame, area: str,
-                   taken: DataFrame | None = None) -> DataFrame:
-    """Matched pairs, A without a match, B without a match; incomplete rows dropped.
+def merge_listings(a: DataFrame, b: DataFrame, matches: Matches, area: str) -> DataFrame:
+    """Matched classes, A without a match, B without a match; incomplete rows dropped.
 
-    Being matched is decided by url, so two ids that share one url are both consumed.
-    ``taken`` lists the matched B urls where ``matches`` does not hold every pair.
-    ``price_gap`` and ``match_url`` tell pairs of one listing apart.
+    Being matched is decided by url, so two ids that share one url are both consumed. Matches stay
+    in factors: their rows have a weight and no listing until ``expand`` or ``best`` names it.
     """
-    taken = matches if taken is None else taken
     columns = [*MERGED[:2], area, *MERGED[2:]]
-    paired = matches.withColumns({"listing_id": F.col("a_key"), "url": F.col("a_url"), "match_url": F.col("b_url")})
-    a_only = unmatched(a, matches.select(F.col("a_url").alias("url")), ["url"]).select(
+    consumed = matches.a.join(matches.pairs.select("a_class"), "a_class", "left_semi").select("url")
+    taken = matches.b.join(matches.pairs.select("b_class"), "b_class", "left_semi").select(F.col("b_url").alias("url"))
+    a_only = unmatched(a, consumed, ["url"]).select(
         listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
         F.col("list_price").alias("rent"), F.col("beds").cast("double").alias("beds"),
-        F.col("baths").cast("double").alias("baths"), "sqft", "pet_cats", "pet_dogs", "list_date", "url",
-        F.lit(None).cast("int").alias("price_gap"), F.lit(None).cast("string").alias("match_url"))
-    b_only = unmatched(b, taken.select(F.col("b_url").alias("url")), ["url"]).select(
+        F.col("baths").cast("double").alias("baths"), "sqft", "pet_cats", "pet_dogs", "list_date", "url")
+    b_only = unmatched(b, taken, ["url"]).select(
         listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
         F.col("price_avg").alias("rent"), F.col("beds_avg").alias("beds"), F.col("baths_avg").alias("baths"),
-        F.col("sqft_avg").alias("sqft"), F.lit(None).cast("boolean").alias("pet_cats"),
-        F.lit(None).cast("boolean").alias("pet_dogs"), F.lit(None).cast("date").alias("list_date"), "url",
-        F.lit(None).cast("int").alias("price_gap"), F.lit(None).cast("string").alias("match_url"))
-    return union_by_name([paired.select(*columns), a_only, b_only]).dropna(
-        subset=["rent", "beds", "baths", "latitude", "longitude"])
+        F.col("sqft_avg").alias("sqft"), "url")
+    alone = union_by_name([a_only, b_only], fill_missing=True).withColumn("weight", F.lit(1).cast("long"))
+    paired = matches.pairs.withColumnRenamed("b_url", "match_url")
+    return paired.unionByName(alone, allowMissingColumns=True).select(*columns, *FACTORS).dropna(subset=COMPLETE)
 
 
-STATISTICS = ["zip_code", "rent", "beds", "baths", "sqft", "weight"]
+def _with_listing(rows: DataFrame, members: DataFrame, area: str) -> DataFrame:
+    """Rows of classes with each A listing of theirs."""
+    named = members.select("a_class", listing_key(F.col("url")).alias("listing_id"), area, "pet_cats", "pet_dogs", "list_date", "url")
+    return rows.drop("listing_id", area, "pet_cats", "pet_dogs", "list_date", "url").join(named, "a_class")
 
 
-def statistics(merged: DataFrame, values: DataFrame) -> DataFrame:
-    """What medians and cutoffs are taken over where ``merged`` holds one pair per listing:
-    the folded values of all pairs, and the listings without a partner."""
-    alone = merged.filter(F.col("match_url").isNull()).withColumn("weight", F.lit(1).cast("long"))
-    complete = values.dropna(subset=["rent", "beds", "baths", "latitude", "longitude"])
-    return union_by_name([alone.select(*STATISTICS), complete.select(*STATISTICS)])
+def expand(folded: DataFrame, matches: Matches, area: str) -> DataFrame:
+    """A row for every pair and every listing alone; ``folded`` may have been filled, trimmed or located."""
+    columns = [c for c in folded.columns if c not in FACTORS]
+    paired = folded.filter(F.col("a_class").isNotNull()).drop("match_url")
+    urls = matches.b.select("b_class", F.col("b_url").alias("match_url"))
+    every = _with_listing(paired, matches.a, area).join(urls, "b_class")
+    return folded.filter(F.col("a_class").isNull()).select(*columns).unionByName(every.select(*columns))
 
 
-def fill_sqft(merged: DataFrame, over: DataFrame | None = None) -> DataFrame:
-    """Missing sizes filled with the median of all pairs; ``over`` as from ``statistics``."""
-    return impute_group_median(merged, "sqft", ["zip_code", "beds", "baths"], "sqft_filled", over,
-                               None if over is None else "weight")
+def best(folded: DataFrame, matches: Matches, area: str) -> DataFrame:
+    """A row for every A listing with a partner, the best of those still in ``folded``, and every listing alone.
 
+    The best partner has the smallest price gap, then the smallest url. As it is chosen among
+    rows that are still there, a listing is lost only if all its pairs are.
+    """
+    columns = [c for c in folded.columns if c not in FACTORS]
+    paired = folded.filter(F.col("a_class").isNotNull())
+    order = [F.asc_nulls_last(c) for c in ("price_gap", "match_url", "latitude", "longitude", "beds", "baths", "sqft")]
+    chosen = _with_listing(first_per_key(paired, ["a_class"], order), matches.a, area)
+    return folded.filter(F.col("a_class").isNull()).select(*columns).unionByName(chosen.select(*columns))
 
-def trim_listings(filled: DataFrame, over: DataFrame | None = None) -> DataFrame:
-    """Rows inside the cutoffs of all pairs; ``over`` is ``statistics`` after ``fill_sqft``."""
-    return trim_outliers(
-        filled, {"sqft_filled": SQFT_FENCE}, {"rent": UPPER_CAP, "beds": UPPER_CAP, "baths": UPPER_CAP}, over,
-        None if over is None else "weight")
+
+def _weight(df: DataFrame) -> str | None:
+    return "weight" if "weight" in df.columns else None
+
+
+def fill_sqft(merged: DataFrame) -> DataFrame:
+    """Missing sizes filled with the median of their group, over all pairs."""
+    return impute_group_median(merged, "sqft", ["zip_code", "beds", "baths"], "sqft_filled", weight=_weight(merged))
+
+
+def trim_listings(filled: DataFrame) -> DataFrame:
+    """Rows inside the cutoffs, which are taken over all pairs."""
+    return trim_outliers(filled, {"sqft_filled": SQFT_FENCE}, {"rent": UPPER_CAP, "beds": UPPER_CAP, "baths": UPPER_CAP},
+                         weight=_weight(filled))
 
 
 def locate(trimmed: DataFrame, polygons: DataFrame, edges: str = "edges", cell: float = 0.02) -> DataFrame:
@@ -249,56 +266,43 @@ def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate:
 
 
 def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
-                partners: str = "best", stage: Stage = write_once) -> tuple[DataFrame, DataFrame | None]:
-    """Clean, match and merge one city's feeds; what statistics are to be taken over.
-
-    ``partners`` is ``best`` for one partner per A listing or ``all`` for every pair. Either
-    way medians and cutoffs follow from all pairs: with ``best`` the second frame has them,
-    folded; with ``all`` it is None, and the first frame serves.
-    ``stage`` writes what is read again: cleaned feeds and matches three times, merged
-    and filled rows twice. Left lazy, those reads multiply into a dozen runs of the
-    match, each from the raw feeds.
+                stage: Stage = write_once) -> tuple[DataFrame, Matches]:
+    """Clean, match and merge one city's feeds; matches stay in factors.
+
+    ``stage`` writes what is read again: cleaned feeds and matched classes, merged and filled rows.
+    Left lazy, those reads multiply into a dozen runs of the match, each from the raw feeds.
     """
     a = stage(clean_a(raw_a, rules, area, require_area), "clean_a")
     b = stage(clean_b(raw_b, rules, area, require_area), "clean_b")
-    if partners == "all":
-        matches, taken, values = stage(match_listings(a, b, area), "matches"), None, None
-    else:
-        matches, taken, values = best_matches(a, b, area, stage=stage)
-        matches = stage(matches, "matches")
-    merged = stage(merge_listings(a, b, matches, area, taken), "merged")
-    return merged, None if values is None else stage(statistics(merged, values), "statistics")
+    matches = factorise(a, b, stage=stage)
+    return stage(merge_listings(a, b, matches, area), "merged"), matches
 
 
-def fill(merged: DataFrame, over: DataFrame | None, stage: Stage = write_once) -> tuple[DataFrame, DataFrame | None]:
-    """Both frames of ``merge_feeds`` with filled sizes."""
-    filled = stage(fill_sqft(merged, over), "filled")
-    return filled, None if over is None else stage(fill_sqft(over, over), "filled_statistics")
+def _publish(folded: DataFrame, matches: Matches, area: str, city: str, areas: dict[str, str], on_duplicate: str) -> DataFrame:
+    rows = best(folded, matches, area) if on_duplicate == "best" else expand(folded, matches, area)
+    return publish_city(rows, city, areas, on_duplicate)
 
 
-def publish_boston(filled: DataFrame, on_duplicate: str = "error", over: DataFrame | None = None) -> DataFrame:
-    return publish_city(trim_listings(filled, over), "Boston", {"Neighborhood": "neighborhood"}, on_duplicate)
+def publish_boston(filled: DataFrame, matches: Matches, on_duplicate: str = "error") -> DataFrame:
+    return _publish(trim_listings(filled), matches, "neighborhood", "Boston", {"Neighborhood": "neighborhood"}, on_duplicate)
 
 
-def publish_new_york(filled: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
-                     cell: float = 0.02, over: DataFrame | None = None) -> DataFrame:
+def publish_new_york(filled: DataFrame, matches: Matches, polygons: DataFrame, on_duplicate: str = "error") -> DataFrame:
     areas = {"Borough": "borough", "NTA2020": "nta2020", "Neighborhood": "nta_name"}
-    return publish_city(locate(trim_listings(filled, over), polygons, cell=cell), "New York City", areas, on_duplicate)
+    return _publish(locate(trim_listings(filled), polygons), matches, "borough", "New York City", areas, on_duplicate)
 
 
 def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = write_once) -> DataFrame:
     """Published Boston listings; raw feeds carry a ``neighborhood``."""
-    partners = "best" if on_duplicate == "best" else "all"
-    filled, over = fill(*merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, partners, stage), stage)
-    return publish_boston(filled, on_duplicate, over)
+    merged, matches = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, stage)
+    return publish_boston(stage(fill_sqft(merged), "filled"), matches, on_duplicate)
 
 
 def new_york(raw_a: DataFrame, raw_b: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
-             stage: Stage = write_once, cell: float = 0.02) -> DataFrame:
+             stage: Stage = write_once) -> DataFrame:
     """Published New York listings; raw feeds carry a ``borough``, areas come from polygons."""
-    partners = "best" if on_duplicate == "best" else "all"
-    filled, over = fill(*merge_feeds(raw_a, raw_b, LOOSE, "borough", False, partners, stage), stage)
-    return publish_new_york(filled, polygons, on_duplicate, cell, over)
+    merged, matches = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, stage)
+    return publish_new_york(stage(fill_sqft(merged), "filled"), matches, polygons, on_duplicate)
 
 
 def publish_unified(cities: Sequence[DataFrame], refreshed_at: str | None = None) -> DataFrame:

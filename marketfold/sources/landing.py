@@ -9,7 +9,9 @@ from ..functions.numbers import extract_number, strip_plus
 from ..functions.text import sanitize_zip
 from ..functions.times import coerce_date
 from ..operators.ranking import first_per_key
+from ..operators.scan import scan
 
+# The shape of a record of each feed.
 # Fields that may hold text or a number ("2+", "Studio", 1.5) are read as text.
 RECORD_A = (
     "struct<listing_id: string, list_price: string, list_date: string, permalink: string, "
@@ -34,6 +36,7 @@ FEEDS = {
 URL_PREFIX = {"a": "https://www.realtor.com/rentals/details/", "b": "https://www.redfin.com"}
 PAGE_LIMIT = 200
 
+# Where each column stands in a record of its feed, and the types of the contract.
 FIELDS_A = {
     "listing_id": "listing_id",
     "list_price": "list_price",
@@ -135,8 +138,9 @@ def landing_completeness(pages: DataFrame, feed: str, group: list[str], page: st
 
     Works on pages, so empty ones count: a missing or empty list is a page of 0 rows. Where
     the feed announces a total (feed B), a group is complete once it holds the total of its
-    first page. Otherwise (feed A) its last page must be shorter than the limit. A NULL page
-    number comes before all others.
+    first page. Otherwise (feed A) its last page must be shorter than the limit, and no page
+    number between its first and its last one may be missing. A NULL page number comes before
+    all others.
     """
     held, total = F.col(FEEDS[feed]["list"]), FEEDS[feed]["total"]
     number = F.coalesce(F.col(page), F.lit(-1)) if page else F.lit(1)
@@ -146,10 +150,22 @@ def landing_completeness(pages: DataFrame, feed: str, group: list[str], page: st
     out = per_page.groupBy(*group).agg(
         F.sum("_rows").alias("fetched"), F.count("*").alias("pages"),
         F.max_by("_rows", "_page").alias("last_page_rows"),
+        (F.max("_page") - F.min(F.when(F.col("_page") >= 0, F.col("_page"))) + 1
+         - F.count(F.when(F.col("_page") >= 0, 1))).alias("missing_pages"),
         *([F.min_by("_expected", "_page").alias("expected")] if total else []))
     if total:
-        return out.withColumn("complete", F.col("fetched") >= F.col("expected"))
-    return out.withColumn("complete", F.col("last_page_rows") < page_limit)
+        return out.drop("missing_pages").withColumn("complete", F.col("fetched") >= F.col("expected"))
+    whole = F.coalesce("missing_pages", F.lit(0)) == 0
+    return out.withColumns({"missing_pages": F.coalesce("missing_pages", F.lit(0)).cast("long"),
+                            "complete": (F.col("last_page_rows") < page_limit) & whole})
+
+
+def page_gaps(pages: DataFrame, group: list[str], page: str) -> DataFrame:
+    """Runs of missing page numbers: (group, first_missing, last_missing), by a segmented scan."""
+    numbers = pages.where(F.col(page).isNotNull()).select(*group, page).distinct()
+    after = scan(numbers, group, [page], previous={"_before": page})
+    return after.where(F.col(page) > F.col("_before") + 1).select(
+        *group, (F.col("_before") + 1).alias("first_missing"), (F.col(page) - 1).alias("last_missing"))
 
 
 def typed_listings(landed: DataFrame, feed: str, keep: tuple[str, ...] = (), city: str = "boston",
@@ -160,13 +176,19 @@ def typed_listings(landed: DataFrame, feed: str, keep: tuple[str, ...] = (), cit
     baths, New York strips the plus sign of baths and shortens feed B ZIP codes.
     """
     flat = normalize_listings(landed, feed, keep, url_prefix=url_prefix)
+    return flat.withColumns(typed_columns(feed, city))
+
+
+def typed_columns(feed: str, city: str) -> dict[str, Column]:
+    """The contract columns of a feed, cleaned as the city does; what does not fit becomes NULL."""
+    contract = CONTRACT_A if feed == "a" else CONTRACT_B
+    cleaned = {c: F.col(c) for c in contract}
     if feed == "a":
-        flat = flat.withColumn("list_date", coerce_date(F.col("list_date")))
+        cleaned["list_date"] = coerce_date(F.col("list_date"))
         if city == "boston":
-            flat = flat.withColumns({"beds": extract_number(F.col("beds")), "baths": extract_number(F.col("baths"))})
+            cleaned |= {"beds": extract_number(F.col("beds")), "baths": extract_number(F.col("baths"))}
         else:
-            flat = flat.withColumn("baths", strip_plus(F.col("baths")))
-        return lenient_cast(flat, CONTRACT_A)
-    if city != "boston":
-        flat = flat.withColumn("zip_code", sanitize_zip(F.col("zip_code")))
-    return lenient_cast(flat, CONTRACT_B)
+            cleaned["baths"] = strip_plus(F.col("baths"))
+    elif city != "boston":
+        cleaned["zip_code"] = sanitize_zip(F.col("zip_code"))
+    return {c: cleaned[c].try_cast(kind) for c, kind in contract.items()}

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from conftest import rows
-from marketfold.sources import commerce, landing, lookups, sinks
+from marketfold.sources import commerce, ingest, landing, lookups, sinks
 
 PAGE_A = {"properties": [
     {"listing_id": "1", "list_price": 2000, "list_date": "2024-05-01T00:00:00", "permalink": "p1",
@@ -118,3 +118,46 @@ def test_sinks(spark, frame, tmp_path):
     sinks.append_run_log(spark, log, "SUCCESS", "", "2025-01-01 00:00:00")
     assert sinks.append_run_log(spark, log, "FAILURE", "why", "2025-01-08 00:00:00").count() == 2
     assert rows(sinks.stage(df, "step")) == rows(df)
+
+
+def fetched(frame, feed, *pages):
+    df = frame("query_zip string, page int, body string", *[(z, n, p if isinstance(p, str) else json.dumps(p)) for z, n, p in pages])
+    return landing.parse_pages(df, "body", feed)
+
+
+def record_a(listing_id, own_zip, permalink):
+    return {"listing_id": listing_id, "permalink": permalink, "location": {"address": {"postal_code": own_zip}}}
+
+
+def test_ingest_keeps_the_first_fetched_and_the_queried_borough(frame):
+    # Queens is fetched before Brooklyn, although its ZIP codes are greater.
+    pages = fetched(
+        frame, "a", ("11201", 1, {"properties": [record_a("1", "11201", "brooklyn"), record_a("2", "10001", "b2")]}),
+        ("11354", 2, {"properties": [record_a("1", "11201", "late")]}),
+        ("11354", 1, {"properties": [record_a(None, "11354", "none"), record_a("1", "10001", "queens")]}),
+        ("99999", 1, {"properties": [record_a("3", "10001", "unplanned")]}))
+    out = ingest.ingest(pages, "a", "new_york")
+    assert rows(out, "listing_id", "zip_code", "url", "borough") == [
+        ("1", "10001", landing.URL_PREFIX["a"] + "queens", "Queens"), ("2", "10001", landing.URL_PREFIX["a"] + "b2", "Brooklyn")]
+
+
+def test_ingest_of_boston_labels_by_the_own_zip(frame):
+    pages = fetched(frame, "a", ("02108", 1, {"properties": [record_a("1", "02128", "x"), record_a("2", "02128-0042", "y")]}))
+    assert rows(ingest.ingest(pages, "a", "boston"), "listing_id", "neighborhood") == [("1", "East Boston"), ("2", None)]
+
+
+def test_quarantine_has_every_value_that_would_vanish(frame):
+    df = frame("query_zip string, page int, body string", ("10001", 1, json.dumps(PAGE_A)), ("10002", 1, "cut {"), ("10003", 1, None))
+    pages = ingest.parse_pages_strictly(df, "body", "a")
+    assert rows(ingest.quarantine(pages, "a", "new_york")) == [
+        ("10001", 1, 0, "beds", "2+"), ("10001", 1, 1, "list_date", "soon"), ("10001", 1, 2, "beds", "Studio"),
+        ("10002", 1, None, None, "cut {")]
+
+
+def test_a_lost_page_makes_a_fetch_incomplete(frame):
+    full = {"properties": [{"listing_id": str(i)} for i in range(2)]}
+    short = {"properties": [{"listing_id": "9"}]}
+    pages = fetched(frame, "a", ("1", 1, full), ("1", 2, full), ("1", 3, short), ("2", 1, full), ("2", 3, short), ("3", 1, full))
+    out = landing.landing_completeness(pages, "a", ["query_zip"], "page", page_limit=2)
+    assert rows(out, "query_zip", "missing_pages", "complete") == [("1", 0, True), ("2", 1, False), ("3", 0, False)]
+    assert rows(landing.page_gaps(pages, ["query_zip"], "page")) == [("2", 2, 2)]

@@ -31,8 +31,8 @@ def cleaned(frame, left, right):
 
 def merged(frame, left, right):
     ca, cb = cleaned(frame, left, right)
-    matches = stage(listings.match_listings(ca, cb, "borough"), "matches")
-    return stage(listings.merge_listings(ca, cb, matches, "borough"), "merged")
+    matches = listings.factorise(ca, cb)
+    return stage(listings.expand(listings.merge_listings(ca, cb, matches, "borough"), matches, "borough"), "merged")
 
 
 def pairs(frame, left, right):
@@ -85,7 +85,6 @@ def test_shared_url_consumes_both_ids(frame):
 def test_best_partner_equals_best_of_all_pairs(spark):
     import random
     from pyspark.sql import functions as F
-    from marketfold.operators.ranking import first_per_key
     rng = random.Random(4)
     # A third of each feed are copies of one listing.
     left = [a(str(i), 1000 if i % 3 == 0 else rng.randint(700, 1700), url=f"a/{i // 2 if i % 7 == 0 else i}")
@@ -95,21 +94,32 @@ def test_best_partner_equals_best_of_all_pairs(spark):
     ca = listings.clean_a(spark.createDataFrame(left, A), LOOSE, "borough")
     cb = listings.clean_b(spark.createDataFrame(right, B), LOOSE, "borough")
     every = stage(listings.match_listings(ca, cb, "borough"), "every")
-    best, taken, values = listings.best_matches(ca, cb, "borough")
-    wanted = first_per_key(every, ["a_url", "rent"], [F.asc("price_gap"), F.asc("b_url")])
-    columns = ["a_url", "rent", "b_url", "price_gap", "beds", "sqft"]
-    assert set(rows(best, *columns)) == set(rows(wanted, *columns))
-    assert set(rows(taken.distinct())) == set(rows(every.select("b_url").distinct()))
-    assert every.count() > 20 * best.count()
-    assert values.agg(F.sum("weight")).first()[0] == every.count() and values.count() < every.count()
-    # Medians and cutoffs are those of all pairs, though only best pairs are published.
-    full = listings.merge_listings(ca, cb, every, "borough")
-    one = stage(listings.merge_listings(ca, cb, stage(best, "b"), "borough", taken), "one")
-    over = stage(listings.statistics(one, values), "over")
-    want_filled, got_filled = listings.fill_sqft(full), listings.fill_sqft(one, over)
-    kept = {r["url"] for r in listings.trim_listings(stage(got_filled, "f"), listings.fill_sqft(over, over)).collect()}
-    wanted_urls = {(r["url"], r["match_url"]) for r in listings.trim_listings(stage(want_filled, "w")).collect()}
-    assert kept == {r["url"] for r in got_filled.collect() if (r["url"], r["match_url"]) in wanted_urls}
+    matches = listings.factorise(ca, cb)
+    assert matches.pairs.agg(F.sum("weight")).first()[0] == every.count() > 2 * matches.pairs.count()
+    folded = stage(listings.merge_listings(ca, cb, matches, "borough"), "folded")
+    full = stage(listings.expand(folded, matches, "borough"), "full")
+    assert full.filter("match_url is not null").count() == every.count()
+    # Medians and cutoffs are those of all pairs; the best partner is one of those that they leave.
+    filled = stage(listings.fill_sqft(folded), "filled")
+    wanted_fill = stage(listings.fill_sqft(full), "w")
+    assert rows(listings.expand(filled, matches, "borough"), *wanted_fill.columns) == rows(wanted_fill)
+    wanted = stage(listings.trim_listings(wanted_fill), "t")
+    trimmed = listings.trim_listings(filled)
+    assert rows(listings.expand(trimmed, matches, "borough"), *wanted.columns) == rows(wanted)
+    got = listings.best(trimmed, matches, "borough").filter("match_url is not null")
+    columns = ["url", "rent", "match_url", "price_gap", "sqft_filled"]
+    assert set(rows(got, *columns)) <= set(rows(wanted, *columns))
+    best_gap = wanted.filter("match_url is not null").groupBy("url", "rent").agg(F.min("price_gap").alias("price_gap"))
+    assert set(rows(got.groupBy("url", "rent").agg(F.min("price_gap").alias("price_gap")))) == set(rows(best_gap))
+
+
+def test_a_listing_keeps_a_partner_that_is_complete(frame):
+    # The nearest partner has no beds; the next one completes the listing.
+    left, right = [a("1", beds=None)], [b("1", 1000, beds=(None, None)), b("2", 1100, beds=(1.0, 2.0))]
+    ca, cb = listings.clean_a(frame(A, *left), LOOSE, "borough"), listings.clean_b(frame(B, *right), LOOSE, "borough")
+    matches = listings.factorise(ca, cb)
+    out = listings.best(listings.merge_listings(ca, cb, matches, "borough"), matches, "borough")
+    assert rows(out, "url", "match_url", "beds", "price_gap") == [("a/1", "b/2", 1.5, 100)]
 
 
 def test_imputed_size_counts_every_partner(frame):
@@ -117,18 +127,24 @@ def test_imputed_size_counts_every_partner(frame):
     right = [b("1", sqft=(600, 600)), b("2", sqft=(1000, 1000))]
     ca = listings.clean_a(frame(A, *left), LOOSE, "borough")
     cb = listings.clean_b(frame(B, *right), LOOSE, "borough")
-    best, taken, values = listings.best_matches(ca, cb, "borough")
-    one = listings.merge_listings(ca, cb, stage(best, "b"), "borough", taken)
-    filled = listings.fill_sqft(one, listings.statistics(one, values))
-    assert rows(filled.filter("url = 'a/9'"), "sqft_filled") == [(800.0,)]
+    matches = listings.factorise(ca, cb)
+    filled = listings.fill_sqft(listings.merge_listings(ca, cb, matches, "borough"))
+    assert rows(listings.expand(filled, matches, "borough").filter("url = 'a/9'"), "sqft_filled") == [(800.0,)]
 
 
 def test_merge_covers_every_row_once(tables):
     from pyspark.sql import functions as F
+    # Every complete row of either feed is in the result, in a pair or alone; ids may repeat.
     ca, cb = tables.clean("new_york")
-    out, _ = tables.merged("new_york")
-    matched = out.filter(F.col("match_url").isNotNull()).count()
-    assert out.count() == ca.count() + cb.count() - matched
+    out = listings.expand(*tables.merged("new_york"), "borough")
+    complete_a = ca.dropna(subset=["list_price", "beds", "baths", "latitude", "longitude"]).select("url")
+    complete_b = cb.dropna(subset=["price_avg", "beds_avg", "baths_avg", "latitude", "longitude"]).select("url")
+    named = out.select("url").union(out.select(F.col("match_url").alias("url"))).distinct()
+    assert complete_a.join(named, "url", "left_anti").count() == 0
+    assert complete_b.join(named, "url", "left_anti").count() == 0
+    partners = out.filter("match_url is not null").groupBy("url").count()
+    assert partners.filter("count > 1").count() > 0  # several partners are in the test data
+    assert out.filter("match_url is not null").select("price_gap").distinct().count() > 20
 
 
 def test_incomplete_rows_drop_out(frame):

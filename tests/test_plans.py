@@ -55,7 +55,7 @@ def test_orders_are_not_joined_to_themselves(tables):
 
 
 def test_scalar_cutoffs_are_a_subquery(tables):
-    text = plan(tables.trimmed("new_york").select(F.col("rent")))
+    text = plan(listings.trim_listings(tables.filled("new_york")[0]).select(F.col("rent")))
     assert "Subquery" in text and "NestedLoop" not in text
 
 
