@@ -188,8 +188,34 @@ def _landed_b(query_zip: str, own_zip: str) -> str:
         from {{orders}}"""
 
 
-# Corners of a concave ring, relative to its origin.
-RING_OFFSETS = ((0.0, 0.0), (0.05, 0.0), (0.05, 0.05), (0.02, 0.03), (0.0, 0.05))
+# Rings relative to the origin of an area, in degrees: (part, ring, which areas have it, corners). The outer one is
+# concave; some areas have a hole, some a second part above the dent.
+RINGS = (
+    (1, 1, "true", ((0.0, 0.0), (0.05, 0.0), (0.05, 0.05), (0.02, 0.03), (0.0, 0.05))),
+    (1, 2, "n_nationkey % 3 = 0", ((0.02, 0.005), (0.03, 0.005), (0.03, 0.02), (0.02, 0.02))),
+    (2, 1, "n_nationkey % 4 = 1", ((0.022, 0.043), (0.035, 0.043), (0.035, 0.048), (0.022, 0.048))),
+)
+
+
+def _corner(part: int, ring: int, has: str, i: int, dx: float, dy: float) -> str:
+    """A projected vertex, in feet; a degree is about 277,400 feet to the east and 364,500 to the north."""
+    return f"""
+        select {_AREA} as nta2020, {part} as part, {ring} as ring, {i} as corner,
+               cast(984250 + floor(n_nationkey / 5) * 13870 + {round(dx * 277400, 1)} as double) as x,
+               cast(121500 + (n_nationkey % 5) * 18225 + {round(dy * 364500, 1)} as double) as y
+        from {{nation}} where {has}"""
+
+
+_AREA = "concat('NT', lpad(cast(n_nationkey as varchar(4)), 4, '0'))"
+
+
+def _corners():
+    for part, ring, has, corners in RINGS:
+        for i, (dx, dy) in enumerate(corners, 1):
+            yield _corner(part, ring, has, i, dx, dy)
+        # Every other area repeats the first vertex of a ring at its end.
+        yield _corner(part, ring, f"{has} and n_nationkey % 2 = 0", len(corners) + 1, *corners[0])
+
 
 # A street with a dot tells the loose split from the strict one.
 LISTING_SQL = {
@@ -197,16 +223,14 @@ LISTING_SQL = {
     "ny_feed_b": _feed_b(10000),
     "bos_feed_a": _feed_a(2108, "Main St"),
     "bos_feed_b": _feed_b(2108),
-    # One five-cornered concave ring per nation; corner i runs from 1 to 5.
-    "ring_corners": " union all ".join(f"""
-        select n_nationkey as area_id, {i} as corner,
-               cast(-74.0 + floor(n_nationkey / 5) * 0.05 + {dx} as double) as lon,
-               cast(40.5 + (n_nationkey % 5) * 0.05 + {dy} as double) as lat
-        from {{nation}}""" for i, (dx, dy) in enumerate(RING_OFFSETS, 1)),
-    "ring_areas": """
-        select n_nationkey as area_id, r_name as boroname, concat('nta ', n_name) as ntaname,
-               substring(n_name, 1, 4) as ntaabbrev, concat('NT', lpad(cast(n_nationkey as varchar(4)), 4, '0')) as nta2020
-        from {nation} join {region} on n_regionkey = r_regionkey""",
+    "area_vertices": " union all ".join(_corners()),
+    # Attributes of the same areas, padded as in the boundary file.
+    "area_text": f"""
+        select concat('  ', n_regionkey + 1) as borocode, concat(r_name, '   ') as boroname,
+               lpad(cast(n_nationkey as varchar(3)), 3, '0') as countyfips, concat({_AREA}, '  ') as nta2020,
+               concat('nta ', n_name, '    ') as ntaname, concat(substring(n_name, 1, 4), ' ') as ntaabbrev, '0' as ntatype,
+               'CD' as cdta2020, 'CD' as cdtaname, ' 1.5' as shape_leng, ' 2.5' as shape_area
+        from {{nation}} join {{region}} on n_regionkey = r_regionkey""",
     # Boundary attributes as padded text, one row per supplier.
     "boundary_text": """
         select concat('  ', s_nationkey % 5 + 1) as borocode, concat(r_name, '   ') as boroname,

@@ -96,20 +96,22 @@ clean_steps("ny", "borough", _labelled("ny_feed_a", "x_boroughs_a"), _labelled("
 clean_steps("bos", "neighborhood", _labelled("bos_feed_a", "x_neighborhoods"), _labelled("bos_feed_b", "x_neighborhoods"), True,
             "and neighborhood is not null")
 
+STEPS["x_areas"] = """
+    select rtrim(nta2020) as nta2020, rtrim(boroname) as boroname, rtrim(ntaname) as ntaname, rtrim(ntaabbrev) as ntaabbrev from area_text"""
 STEPS["x_edges"] = """
-    select area_id, lon as x1, lat as y1,
+    select nta2020, lon as x1, lat as y1,
            coalesce(lead(lon) over ring, first_value(lon) over ring) as x2,
            coalesce(lead(lat) over ring, first_value(lat) over ring) as y2
-    from ring_corners window ring as (partition by area_id order by corner)"""
+    from x_area_corners window ring as (partition by nta2020, part, ring order by corner)"""
 LOCATED = """
     select t.*, boroname as borough_name, ntaname as nta_name, ntaabbrev as nta_abbrev, nta2020
     from {trimmed} as t
-    join (select latitude, longitude, area_id
+    join (select latitude, longitude, nta2020
           from (select distinct latitude, longitude from {trimmed}) as p, x_edges
           where (y1 > cast(latitude as double)) <> (y2 > cast(latitude as double))
             and cast(longitude as double) < (x2 - x1) * (cast(latitude as double) - y1) / (y2 - y1) + x1
           group by all having count(*) % 2 = 1) as h using (latitude, longitude)
-    join ring_areas using (area_id)"""
+    join x_areas using (nta2020)"""
 STEPS["x_ny_located"] = LOCATED.format(trimmed="x_ny_trimmed")
 
 
@@ -247,7 +249,7 @@ def make_point_query(t):
 
 _HELD = """
     select listing_id, nta2020 from (
-        select url, listing_id, nta2020 from ny_feed_a, x_edges join ring_areas using (area_id)
+        select url, listing_id, nta2020 from ny_feed_a, x_edges
         where (y1 > cast(latitude as double)) <> (y2 > cast(latitude as double))
           and cast(longitude as double) < (x2 - x1) * (cast(latitude as double) - y1) / (y2 - y1) + x1
         group by all having count(*) % 2 = 1) as h"""
@@ -268,7 +270,7 @@ def spatial_join_points_polygons(t):
         "listing_id", "borough_name", "nta_name", "nta_abbrev", "nta2020", "rent")
 
 
-def _inverse_conic_sql() -> str:
+def _inverse_conic_sql(source: str, kept: str) -> str:
     """The projection inverse in the checking dialect, from its textbook formulas."""
     e2 = "(2 / 298.257222101::double - 1 / (298.257222101::double * 298.257222101::double))"
 
@@ -288,14 +290,18 @@ def _inverse_conic_sql() -> str:
              k1 as (select *, (ln({m('k.p1')}) - ln({m('k.p2')})) / (ln({t('k.p1')}) - ln({t('k.p2')})) as n from k0 as k),
              k2 as (select *, 6378137.0::double * ({m('k.p1')}) / (k.n * pow({t('k.p1')}, k.n)) as f from k1 as k),
              k3 as (select *, k.f * pow({t('k.p0')}, k.n) as r0 from k2 as k),
-             plane as (select area_id, corner, (x - 984250) * 0.3048006096012192::double as dx,
-                              r0 - y * 0.3048006096012192::double as dy, e, n, f from projected_vertices, k3),
+             plane as (select {kept}, (x - 984250) * 0.3048006096012192::double as dx,
+                              r0 - y * 0.3048006096012192::double as dy, e, n, f from {source}, k3),
              polar as (select *, pow(sqrt(dx * dx + dy * dy) / f, 1 / n) as t from plane)
-        select area_id, corner, round(degrees(atan2(dx, dy)) / n - 74, 8) as lon, round(degrees(phi), 8) as lat
-        from ({inner}) as p"""
+        select {kept}, degrees(atan2(dx, dy)) / n - 74 as lon, degrees(phi) as lat from ({inner}) as p"""
 
 
-@query("reproject_boundaries", "area_id bigint, corner integer, lon double, lat double", _inverse_conic_sql())
+STEPS["x_area_corners"] = _inverse_conic_sql("area_vertices", "nta2020, part, ring, corner")
+
+
+@query("reproject_boundaries", "area_id bigint, corner integer, lon double, lat double", f"""
+    select area_id, corner, round(lon, 8) as lon, round(lat, 8) as lat
+    from ({_inverse_conic_sql('projected_vertices', 'area_id, corner')}) as v""")
 def reproject_boundaries(t):
     return reproject_vertices(t.input("projected_vertices"), "x", "y").select(
         "area_id", "corner", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))

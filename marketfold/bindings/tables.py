@@ -13,7 +13,7 @@ from ..plans import commerce, listings
 from ..plans.staging import SOURCE_OF, staging
 from ..session import prepare
 from ..sources import ingest, landing, lookups
-from ..sources.boundaries import assemble_rings
+from ..sources.boundaries import boundary_polygons
 from ..sources.sinks import stage
 from .inputs import STATEMENTS, TABLES
 
@@ -179,9 +179,9 @@ class Tables:
 
     @cached_property
     def polygons(self) -> DataFrame:
-        vertices = self.input("ring_corners").withColumn("ring", F.lit(1))
-        rings = assemble_rings(vertices, ["area_id"], "ring", "corner", "lon", "lat")
-        return self.input("ring_areas").join(rings, "area_id")
+        """Neighborhood areas from projected vertices and padded attributes, assembled once."""
+        return self._once("polygons", lambda: stage(
+            boundary_polygons(self.input("area_text"), self.input("area_vertices")), "polygons"))
 
     def published(self, city: str) -> DataFrame:
         if city == "boston":

@@ -1,4 +1,4 @@
-"""Points in polygons on a grid, and State Plane vertices to longitude/latitude."""
+"""Points in polygons by quadtree cells, and State Plane vertices to longitude/latitude."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
+
 
 def make_point(df: DataFrame, lon: str, lat: str, x: str = "point_lon", y: str = "point_lat") -> DataFrame:
     """Add the point as two double columns; rows without a full coordinate are dropped."""
@@ -16,50 +18,121 @@ def make_point(df: DataFrame, lon: str, lat: str, x: str = "point_lon", y: str =
         {x: F.col(lon).cast("double"), y: F.col(lat).cast("double")})
 
 
-def ring_edges(vertices: Column) -> Column:
-    """Edges (x1, y1, x2, y2) of a closed ring given as an array of (x, y) structs."""
-    following = F.concat(F.slice(vertices, 2, F.size(vertices)), F.slice(vertices, 1, 1))
-    return F.zip_with(vertices, following, lambda a, b: F.struct(
-        a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+# A cell of level l is ROOT / 2**l degrees wide. The origin is off any round number, so that
+# no vertex or point of ordinary data lies on a border between cells.
+ROOT = 0.32
+ORIGIN = -0.000000371294
+MOST_EDGES, DEEPEST = 16, 12
+
+
+def _side(level) -> Column:
+    return F.lit(ROOT) / F.pow(F.lit(2.0), level)
+
+
+def _flips(x, y, right, bottom, edges) -> Column:
+    """How many edges lie on the way from (x, y) along +x to the right border of a cell, and down
+    that border to its bottom: where that is odd, the ends of the way differ in being inside."""
+    def on_the_way(e):
+        straddles = (e["y1"] > y) != (e["y2"] > y)
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        meets = (e["x1"] > right) != (e["x2"] > right)
+        height = (e["y2"] - e["y1"]) * (right - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        across = (straddles & (x < at) & (right >= at)).cast("int")
+        return across + (meets & (height > bottom) & (height <= y)).cast("int")
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + on_the_way(e))
+
+
+def _touching(edges, left, bottom, side) -> Column:
+    """The edges that may reach into a cell; one too many does no harm."""
+    slack = side * F.lit(1e-6) + F.lit(1e-12)
+    west, east, south, north = left - slack, left + side + slack, bottom - slack, bottom + side + slack
+
+    def touches(e):
+        boxes = ((F.greatest(e["x1"], e["x2"]) >= west) & (F.least(e["x1"], e["x2"]) <= east)
+                 & (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
+
+        def beside(px, py):  # on which side of the edge's line a corner is
+            return (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
+        corners = [beside(px, py) for px in (west, east) for py in (south, north)]
+        return boxes & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+    return F.filter(edges, touches)
+
+
+def polygon_cells(polygons: DataFrame, edges: str, attributes: Sequence[str], most: int = MOST_EDGES,
+                  deepest: int = DEEPEST) -> DataFrame:
+    """A quadtree of cells per polygon: attributes, level, cx, cy, inside and edges.
+
+    ``inside`` tells whether the lower right corner of the cell is inside (0 or 1), ``edges`` has those that
+    reach into the cell. Cells with more than ``most`` edges are split, down to level ``deepest``; cells
+    without an edge are wholly inside, or left out. The state of a corner follows from that of the
+    parent cell, so only the first cells look at all edges of a polygon.
+    """
+    first = polygons.filter(F.size(edges) > 0).select(*attributes, F.col(edges).alias("_all")).withColumn("cx", _cell_range("x"))
+    first = first.withColumn("cy", _cell_range("y")).withColumn("level", F.lit(0))
+    left, bottom = F.col("cx") * F.lit(ROOT) + ORIGIN, F.col("cy") * F.lit(ROOT) + ORIGIN
+    right = (F.col("cx") + 1) * F.lit(ROOT) + ORIGIN
+
+    def beyond(e):  # a ray along +x from the corner meets the edge
+        at = (e["x2"] - e["x1"]) * (bottom - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((e["y1"] > bottom) != (e["y2"] > bottom)) & (right < at)
+    found = first.select(
+        *attributes, "level", "cx", "cy", (F.size(F.filter("_all", beyond)) % 2).alias("inside"),
+        _touching(F.col("_all"), left, bottom, F.lit(ROOT)).alias("edges"))
+    found = stage(found.filter(_useful()), "cells")
+    large = (F.size("edges") > most) & (F.col("level") < deepest)
+    while found.filter(large).limit(1).count():
+        found = stage(_split(found, attributes, large).filter(_useful()), "cells")
+    return found
+
+
+def _useful() -> Column:
+    return (F.size("edges") > 0) | (F.col("inside") == 1)
+
+
+def _cell_range(axis: str) -> Column:
+    low = F.array_min(F.transform("_all", lambda e: F.least(e[f"{axis}1"], e[f"{axis}2"])))
+    high = F.array_max(F.transform("_all", lambda e: F.greatest(e[f"{axis}1"], e[f"{axis}2"])))
+    return F.explode(F.sequence(F.floor((low - ORIGIN) / ROOT), F.floor((high - ORIGIN) / ROOT)))
+
+
+def _split(cells: DataFrame, attributes: Sequence[str], large: Column) -> DataFrame:
+    """Large cells in quarters, the others as they are."""
+    quarters = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)])
+    parent_right = (F.col("cx") + 1) * _side(F.col("level")) + ORIGIN
+    parent_bottom = F.col("cy") * _side(F.col("level")) + ORIGIN
+    kept = cells.filter(~large).select(*attributes, "level", "cx", "cy", "inside", "edges")
+    parts = cells.filter(large).withColumns({"_right": parent_right, "_bottom": parent_bottom, "_q": F.explode(quarters)})
+    parts = parts.withColumns({
+        "_side": _side(F.col("level") + 1), "_cx": F.col("cx") * 2 + F.col("_q.dx"), "_cy": F.col("cy") * 2 + F.col("_q.dy")})
+    left, bottom = F.col("_cx") * F.col("_side") + ORIGIN, F.col("_cy") * F.col("_side") + ORIGIN
+    right = (F.col("_cx") + 1) * F.col("_side") + ORIGIN
+    flips = _flips(right, bottom, F.col("_right"), F.col("_bottom"), F.col("edges"))
+    return kept.unionByName(parts.select(
+        *attributes, (F.col("level") + 1).alias("level"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"),
+        ((F.col("inside") + flips) % 2).alias("inside"), _touching(F.col("edges"), left, bottom, F.col("_side")).alias("edges")))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, edges: str,
-                       attributes: Sequence[str], cell: float = 0.02) -> DataFrame:
+                       attributes: Sequence[str], most: int = MOST_EDGES) -> DataFrame:
     """Inner join of points to the polygons that hold them.
 
-    Each polygon is laid over the grid cells of its bounding box and keeps, per cell,
-    only the edges that reach the cell's band of y: a ray along +x from a point there
-    can cross no other edge. Points meet polygons by cell equality; the crossing count
-    then decides. A polygon may be one of several rings of an area: edges of all rings,
-    holes included, go into one array.
+    Polygons become cells of a quadtree (``polygon_cells``). A point is looked up by cell on each level
+    that occurs, a few at most, and meets at most one cell of a polygon; the few edges of that cell
+    decide, and none has to where the cell is wholly inside. A polygon may have several rings and
+    parts: the edges of all of them, holes included, go into one array (even-odd rule).
     """
-    step = F.lit(cell)
-    def bound(axis: str, pick, of_edge) -> Column:
-        return pick(F.transform(F.col(edges), lambda e: of_edge(e[f"{axis}1"], e[f"{axis}2"])))
-
-    def cells(axis: str) -> Column:
-        low, high = bound(axis, F.array_min, F.least), bound(axis, F.array_max, F.greatest)
-        return F.explode(F.sequence(F.floor(low / step), F.floor(high / step)))
-
-    gridded = (
-        polygons.select(*attributes, edges)
-        .withColumn("_cx", cells("x"))
-        .withColumn("_cy", cells("y"))
-        .withColumn("_near", F.filter(F.col(edges), lambda e: (
-            (F.greatest(e["y1"], e["y2"]) >= (F.col("_cy") - 0.001) * step)
-            & (F.least(e["y1"], e["y2"]) <= (F.col("_cy") + 1.001) * step))))
-        .drop(edges)
-    )
-    located = points.withColumns({"_px": F.floor(F.col(x) / step), "_py": F.floor(F.col(y) / step)})
-
-    def crosses(e):
-        straddles = (e["y1"] > F.col(y)) != (e["y2"] > F.col(y))
-        at = (e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return straddles & (F.col(x) < at)
-
-    inside = F.size(F.filter(F.col("_near"), crosses)) % 2 == 1
-    pairs = located.join(gridded, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")))
-    return pairs.filter(inside).drop("_px", "_py", "_cx", "_cy", "_near")
+    cells = polygon_cells(polygons, edges, attributes, most).withColumnsRenamed(
+        {"level": "_level", "cx": "_cx", "cy": "_cy", "inside": "_inside", "edges": "_edges"})
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect()) or [0]
+    at = F.array(*[F.struct(
+        F.lit(level).alias("level"), F.floor((F.col(x) - ORIGIN) / (ROOT / 2 ** level)).alias("cx"),
+        F.floor((F.col(y) - ORIGIN) / (ROOT / 2 ** level)).alias("cy")) for level in levels])
+    located = points.withColumn("_at", F.explode(at))
+    same = ((F.col("_at.level") == F.col("_level")) & (F.col("_at.cx") == F.col("_cx")) & (F.col("_at.cy") == F.col("_cy")))
+    right = (F.col("_cx") + 1) * _side(F.col("_level")) + ORIGIN
+    bottom = F.col("_cy") * _side(F.col("_level")) + ORIGIN
+    odd = (F.col("_inside") + _flips(F.col(x), F.col(y), right, bottom, F.col("_edges"))) % 2 == 1
+    return located.join(cells, same).filter(odd).drop("_at", "_level", "_cx", "_cy", "_inside", "_edges")
 
 
 @dataclass(frozen=True)
@@ -115,10 +188,13 @@ def reproject_vertices(df: DataFrame, x: str, y: str, projection: ConicProjectio
     out = df.withColumns({"_east": east, "_north": north}).withColumn(
         "_t", F.pow(F.sqrt(F.col("_east") * F.col("_east") + F.col("_north") * F.col("_north")) / scale, F.lit(1.0 / n)))
     half_pi = math.pi / 2
-    out = out.withColumn("_phi", half_pi - 2 * F.atan(F.col("_t")))
-    for _ in range(iterations):
-        s = F.lit(e) * F.sin("_phi")
-        out = out.withColumn("_phi", half_pi - 2 * F.atan(F.col("_t") * F.pow((1 - s) / (1 + s), F.lit(e / 2))))
+
+    def nearer(phi: Column, _) -> Column:
+        s = F.lit(e) * F.sin(phi)
+        return half_pi - 2 * F.atan(F.col("_t") * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+    # A fold instead of repeated columns: the optimizer would copy those into each other.
+    start = half_pi - 2 * F.atan(F.col("_t"))
+    out = out.withColumn("_phi", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, nearer))
     return out.withColumns({
         lon: F.degrees(F.atan2(F.col("_east"), F.col("_north")) / n) + F.lit(p.central_meridian),
         lat: F.degrees("_phi"),

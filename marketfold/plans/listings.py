@@ -208,14 +208,14 @@ def trim_listings(filled: DataFrame) -> DataFrame:
                          weight=_weight(filled))
 
 
-def locate(trimmed: DataFrame, polygons: DataFrame, edges: str = "edges", cell: float = 0.02) -> DataFrame:
+def locate(trimmed: DataFrame, polygons: DataFrame, edges: str = "edges") -> DataFrame:
     """Listings with the attributes of the neighborhood polygon that holds them."""
     points = make_point(trimmed, "longitude", "latitude")
     named = polygons.select(
         F.col("boroname").alias("borough_name"), F.col("ntaname").alias("nta_name"),
         F.col("ntaabbrev").alias("nta_abbrev"), "nta2020", edges)
     return points_in_polygons(points, named, "point_lon", "point_lat", edges,
-                              ["borough_name", "nta_name", "nta_abbrev", "nta2020"], cell)
+                              ["borough_name", "nta_name", "nta_abbrev", "nta2020"])
 
 
 # The published column names and their types.

@@ -173,7 +173,7 @@ def test_points_in_polygons_against_brute_force(spark):
         [(n, [tuple(float(v) for v in e) for e in es]) for n, es in edges.items()],
         "name string, edges array<struct<x1: double, y1: double, x2: double, y2: double>>")
     df = spark.createDataFrame(points, "id int, x double, y double")
-    got = spatial.points_in_polygons(df, polygons, "x", "y", "edges", ["name"], cell=0.07)
+    got = spatial.points_in_polygons(df, polygons, "x", "y", "edges", ["name"], most=3)
 
     def inside(x, y, es):
         return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in es) % 2
@@ -183,10 +183,51 @@ def test_points_in_polygons_against_brute_force(spark):
     assert len({n for _, n in want}) == 2
 
 
-def test_ring_edges_close_the_ring(frame):
-    df = frame("v array<struct<x: double, y: double>>", ([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)],))
-    out = df.select(F.inline(spatial.ring_edges(F.col("v"))))
-    assert [tuple(r) for r in out.collect()] == [(0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 0)]
+def wheel(n, radius=0.3, centre=(0.4, 0.4)):
+    """Edges of a star with n corners."""
+    import math
+    corners = [(centre[0] + r * math.cos(a), centre[1] + r * math.sin(a)) for a, r in (
+        (2 * math.pi * i / n, radius * (0.7 + 0.3 * (i % 2))) for i in range(n))]
+    return [(*p, *q) for p, q in zip(corners, corners[1:] + corners[:1])]
+
+
+def test_cells_have_few_edges_and_give_the_same_rows(spark):
+    rng = random.Random(5)
+    shapes = {"star": wheel(1000), "small": wheel(40, 0.02, (0.35, 0.41)), "holed": wheel(200) + wheel(60, 0.1)}
+    polygons = spark.createDataFrame(
+        [(n, es) for n, es in shapes.items()], "name string, edges array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    cells = spatial.polygon_cells(polygons, "edges", ["name"], most=8)
+    assert cells.filter(F.size("edges") > 8).count() == 0
+    assert cells.filter((F.size("edges") == 0) & (F.col("inside") == 1)).count() > 10  # no test at all there
+    assert cells.select("level").distinct().count() > 2
+    points = [(i, rng.random(), rng.random()) for i in range(3000)]
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    got = spatial.points_in_polygons(df, polygons, "x", "y", "edges", ["name"], most=8)
+
+    def inside(x, y, es):
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in es) % 2
+    want = sorted((i, n) for i, x, y in points for n, es in shapes.items() if inside(x, y, es))
+    assert sorted((r["id"], r["name"]) for r in got.select("id", "name").collect()) == want
+
+
+def test_points_in_no_polygon(spark, frame):
+    none = spark.createDataFrame([], "name string, edges array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    assert spatial.points_in_polygons(frame("x double, y double", (0.0, 0.0)), none, "x", "y", "edges", ["name"]).count() == 0
+
+
+def test_assembly_closes_rings_and_keeps_parts_apart(frame):
+    from marketfold.sources.boundaries import assemble_edges
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]
+    vertices = [("a", 1, 1, i, *p) for i, p in enumerate(square)]
+    vertices += [("a", 1, 2, i, *p) for i, p in enumerate([*square, square[0]])]  # closed already
+    vertices += [("a", 2, 1, i, p[0] + 5, p[1]) for i, p in enumerate(square)]
+    vertices += [("b", 1, 1, 0, 0.0, 0.0), ("b", 1, 1, 1, 1.0, 1.0)]  # no ring
+    df = frame("area string, part int, ring int, i int, x double, y double", *vertices)
+    out = {r["area"]: r["edges"] for r in assemble_edges(df, "area", ["part", "ring"], "i", "x", "y").collect()}
+    assert set(out) == {"a"} and len(out["a"]) == 9
+    edges = sorted(tuple(e) for e in out["a"])
+    one = [(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 0.0)]
+    assert edges == sorted(one + one + [(x1 + 5, y1, x2 + 5, y2) for x1, y1, x2, y2 in one])
 
 
 def test_reprojection_of_known_points(frame):
