@@ -65,19 +65,28 @@ def polygon_cells(polygons: DataFrame, edges: str, attributes: Sequence[str], mo
     ``inside`` tells whether the lower right corner of the cell is inside (0 or 1), ``edges`` has those that
     reach into the cell. Cells with more than ``most`` edges are split, down to level ``deepest``; cells
     without an edge are wholly inside, or left out. The state of a corner follows from that of the
-    parent cell, so only the first cells look at all edges of a polygon.
+    parent cell, so only the first cells, of about half a polygon's extent, look at all its edges.
     """
-    first = polygons.filter(F.size(edges) > 0).select(*attributes, F.col(edges).alias("_all")).withColumn("cx", _cell_range("x"))
-    first = first.withColumn("cy", _cell_range("y")).withColumn("level", F.lit(0))
-    left, bottom = F.col("cx") * F.lit(ROOT) + ORIGIN, F.col("cy") * F.lit(ROOT) + ORIGIN
-    right = (F.col("cx") + 1) * F.lit(ROOT) + ORIGIN
+    known = polygons.filter(F.size(edges) > 0).select(*attributes, F.col(edges).alias("_all"))
+    known = known.withColumns({
+        f"_{end}{axis}": pick(F.transform("_all", lambda e: of_edge(e[f"{axis}1"], e[f"{axis}2"])))
+        for axis in ("x", "y") for end, pick, of_edge in (("low", F.array_min, F.least), ("high", F.array_max, F.greatest))})
+    extent = F.greatest(F.col("_highx") - F.col("_lowx"), F.col("_highy") - F.col("_lowy"), F.lit(1e-12))
+    # A polygon begins with cells of about half its extent.
+    known = known.withColumn("level", F.least(F.greatest(F.floor(F.log2(F.lit(ROOT) / extent)) + 1, F.lit(0)), F.lit(deepest)).cast("int"))
+    side = _side(F.col("level"))
+    for axis in ("x", "y"):
+        known = known.withColumn(f"c{axis}", F.explode(F.sequence(
+            F.floor((F.col(f"_low{axis}") - ORIGIN) / side), F.floor((F.col(f"_high{axis}") - ORIGIN) / side))))
+    left, bottom = F.col("cx") * side + ORIGIN, F.col("cy") * side + ORIGIN
+    right = (F.col("cx") + 1) * side + ORIGIN
 
     def beyond(e):  # a ray along +x from the corner meets the edge
         at = (e["x2"] - e["x1"]) * (bottom - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
         return ((e["y1"] > bottom) != (e["y2"] > bottom)) & (right < at)
-    found = first.select(
+    found = known.select(
         *attributes, "level", "cx", "cy", (F.size(F.filter("_all", beyond)) % 2).alias("inside"),
-        _touching(F.col("_all"), left, bottom, F.lit(ROOT)).alias("edges"))
+        _touching(F.col("_all"), left, bottom, side).alias("edges"))
     found = stage(found.filter(_useful()), "cells")
     large = (F.size("edges") > most) & (F.col("level") < deepest)
     while found.filter(large).limit(1).count():
@@ -89,12 +98,6 @@ def _useful() -> Column:
     return (F.size("edges") > 0) | (F.col("inside") == 1)
 
 
-def _cell_range(axis: str) -> Column:
-    low = F.array_min(F.transform("_all", lambda e: F.least(e[f"{axis}1"], e[f"{axis}2"])))
-    high = F.array_max(F.transform("_all", lambda e: F.greatest(e[f"{axis}1"], e[f"{axis}2"])))
-    return F.explode(F.sequence(F.floor((low - ORIGIN) / ROOT), F.floor((high - ORIGIN) / ROOT)))
-
-
 def _split(cells: DataFrame, attributes: Sequence[str], large: Column) -> DataFrame:
     """Large cells in quarters, the others as they are."""
     quarters = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)])
@@ -121,18 +124,20 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, e
     decide, and none has to where the cell is wholly inside. A polygon may have several rings and
     parts: the edges of all of them, holes included, go into one array (even-odd rule).
     """
-    cells = polygon_cells(polygons, edges, attributes, most).withColumnsRenamed(
-        {"level": "_level", "cx": "_cx", "cy": "_cy", "inside": "_inside", "edges": "_edges"})
+    found = polygon_cells(polygons, edges, attributes, most)
+    side = _side(F.col("level"))
+    cells = found.select(
+        *attributes, F.col("level").alias("_level"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("inside").alias("_inside"),
+        F.col("edges").alias("_edges"), ((F.col("cx") + 1) * side + ORIGIN).alias("_right"), (F.col("cy") * side + ORIGIN).alias("_bottom"))
     levels = sorted(r[0] for r in cells.select("_level").distinct().collect()) or [0]
     at = F.array(*[F.struct(
         F.lit(level).alias("level"), F.floor((F.col(x) - ORIGIN) / (ROOT / 2 ** level)).alias("cx"),
         F.floor((F.col(y) - ORIGIN) / (ROOT / 2 ** level)).alias("cy")) for level in levels])
     located = points.withColumn("_at", F.explode(at))
     same = ((F.col("_at.level") == F.col("_level")) & (F.col("_at.cx") == F.col("_cx")) & (F.col("_at.cy") == F.col("_cy")))
-    right = (F.col("_cx") + 1) * _side(F.col("_level")) + ORIGIN
-    bottom = F.col("_cy") * _side(F.col("_level")) + ORIGIN
-    odd = (F.col("_inside") + _flips(F.col(x), F.col(y), right, bottom, F.col("_edges"))) % 2 == 1
-    return located.join(cells, same).filter(odd).drop("_at", "_level", "_cx", "_cy", "_inside", "_edges")
+    flips = _flips(F.col(x), F.col(y), F.col("_right"), F.col("_bottom"), F.col("_edges"))
+    odd = F.when(F.size("_edges") == 0, F.lit(True)).otherwise((F.col("_inside") + flips) % 2 == 1)
+    return located.join(cells, same).filter(odd).drop("_at", *[c for c in cells.columns if c not in attributes])
 
 
 @dataclass(frozen=True)
