@@ -45,6 +45,7 @@ SIZE = BANDS * ROWS
 ESTIMATE = 0.8 - 6 * (0.8 * 0.2 / SIZE) ** 0.5
 # Two bits each of a longer signature; 0.8 less four standard deviations of its estimate.
 LONG = 2048
+SLICE, ROOM = 1 << 19, 1 << 20  # bytes of text and places of signatures that a task works on at once
 SIEVE = 8_388_593  # bits of the filter that keeps texts out of an exchange; a prime
 LONG_ESTIMATE = 0.8 - 4 * (0.85 * 0.15 / LONG) ** 0.5 / 0.75
 
@@ -123,7 +124,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 def _sign(batches):
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE, ROOM // SIZE):
             words = Words(part.column("text"))
             signature = signatures(*shingles(words))
             some = words.counts > 0
@@ -139,7 +140,7 @@ def _sign(batches):
 
 def _bag(batches):
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             element, weight, at = shingles(Words(part.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), lists(element.view(np.int64), at, pa.int64()),
@@ -148,7 +149,7 @@ def _bag(batches):
 
 def _long_sketch(batches):
     for batch in batches:
-        for part in slices(batch, "text", 1 << 18):
+        for part in slices(batch, "text", SLICE // 2, ROOM // LONG):
             signature = signatures(*shingles(Words(part.column("text"))), LONG)
             columns = []
             for bit in range(2):

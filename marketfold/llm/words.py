@@ -100,14 +100,14 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
-    """Pieces of a batch with about ``most`` bytes of text each, a whole text at least."""
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20, rows: int = 1 << 30):
+    """Pieces of a batch with about ``most`` bytes of text and at most ``rows`` rows each, a whole text at least."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)))
     at = 0
     while at < batch.num_rows:
         base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
+        to = min(max(at + 1, int(np.searchsorted(sizes, base + most, "right"))), at + rows)
         yield batch.slice(at, to - at)
         at = to
 
