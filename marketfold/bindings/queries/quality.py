@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import quality
 from ...plans.checks import commerce_checks
-from ...sources.sinks import append_run_log, create_as, full_refresh, shared_folder
+from ...sources.sinks import append_run_log, create_as, current, full_refresh, shared_folder
 from ..registry import query
 
 _COUNTED = "table_name varchar, check_name varchar, column_name varchar, failures bigint"
@@ -99,7 +99,8 @@ def _target(t, name: str) -> str:
 def sink_full_refresh(t):
     rows, target = t.stg["stg_orders"].select("order_id", "order_status"), _target(t, "orders")
     full_refresh(rows, target)
-    return full_refresh(rows, target)
+    # The second refresh reads the version that it replaces.
+    return full_refresh(current(t.spark, target), target)
 
 
 @query("sink_create_as_select", "order_id bigint, payment_total double",
@@ -109,7 +110,9 @@ def sink_create_as_select(t):
     path = _target(t, "payment_totals")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     create_as(totals, name, path, only_schema=True)
-    return create_as(totals, name, path)
+    created = create_as(totals, name, path)
+    t.spark.sql(f"drop table {name}")
+    return created
 
 
 @query("sink_run_log", "run_timestamp timestamp, status varchar, details varchar", """
@@ -119,5 +122,6 @@ def sink_create_as_select(t):
 def sink_run_log(t):
     target = _target(t, "run_log")
     orders, payments = t.stg["stg_orders"].count(), t.stg["stg_order_payments"].count()
-    append_run_log(t.spark, target, "SUCCESS", f"{orders} orders", "2025-12-08 09:30:00")
+    for _ in range(2):  # a retry changes nothing
+        append_run_log(t.spark, target, "SUCCESS", f"{orders} orders", "2025-12-08 09:30:00")
     return append_run_log(t.spark, target, "FAILURE", f"{payments} payments", "2025-12-08 09:31:00")
