@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.numbers import count_where, money_avg, rate, sum_or_zero, sum_where, within
 from ...functions.text import empty_as_key
 from ...functions.times import month_start, week_start, within_interval
-from ...operators.joins import band_join, union_by_name, unmatched, with_scalar
+from ...operators.joins import band_join, salted_join, union_by_name, unmatched, with_scalar
 from ...operators.quantiles import column_percentiles, percentiles
 from ...operators.ranking import first_per_key, order_nulls, rolling_avg, running_sum, sequence, top_k_share
 from ...plans.commerce import customer_first_orders, customer_weeks, identified_orders
@@ -149,7 +149,7 @@ def join_null_as_empty_key(t):
                     F.col("address_line_1").alias("street"), empty_as_key(F.col("address_line_2")).alias("key"))
     right = b.select(F.col("listing_id").alias("b_id"), F.col("address_line_1").alias("street"),
                      empty_as_key(F.col("address_line_2")).alias("key"))
-    return left.join(right, ["street", "key"]).select("a_id", "b_id", "unit")
+    return salted_join(stage(left, "keyed"), right, ["street", "key"]).select("a_id", "b_id", "unit")
 
 
 @query("join_cross_scalar", "order_id bigint, share_of_max double", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import within
+from ..sources.sinks import stage
 
 
 def band_join(left: DataFrame, right: DataFrame, equi: dict[str, str], bands: dict[tuple[str, str], float],
@@ -66,3 +67,34 @@ def union_by_name(frames: Sequence[DataFrame], fill_missing: bool = False) -> Da
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=fill_missing)
     return result
+
+
+HEAVY_SHARE, HEAVY_LEAST = 0.001, 10_000
+
+
+def heavy_keys(df: DataFrame, on: Sequence[str], share: float = HEAVY_SHARE, least: int = HEAVY_LEAST) -> DataFrame:
+    """Keys with more than ``share`` of all rows (and more than ``least``), and ``_salts``, the number of
+    parts that bring each below that. There are at most 1 / ``share`` of them, however large the table."""
+    total = df.agg(F.count("*")).scalar()
+    limit = F.greatest(total * F.lit(share), F.lit(float(least)))
+    counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
+    return counts.filter(F.col("_rows") > limit).select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_salts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", share: float = HEAVY_SHARE,
+                least: int = HEAVY_LEAST) -> DataFrame:
+    """Equi join whose heavy keys on the left are dealt over several tasks; ``how`` is inner or left.
+
+    Keys are counted first. Rows of a heavy key get one of its salts in turn, and the right rows of
+    those keys, only those, are repeated once per salt. ``left`` is read twice, so it should be a
+    written step. The heavy keys, at most 1 / ``share``, are broadcast.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"a salted join is inner or left, not {how}")
+    on = list(on)
+    heavy = F.broadcast(stage(heavy_keys(left, on, share, least), "heavy"))
+    turn = F.pmod(F.monotonically_increasing_id(), F.col("_salts"))
+    salted = left.join(heavy, on, "left").withColumn("_salt", F.coalesce(turn, F.lit(0)).cast("int")).drop("_salts")
+    repeated = right.join(heavy, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -253,3 +253,23 @@ def test_reprojection_of_known_points(frame):
     got = spatial.reproject_vertices(df, "x", "y").select("lon", "lat").collect()
     for (lon, lat), r in zip(places, got):
         assert (r["lon"], r["lat"]) == (pytest.approx(lon, abs=1e-10), pytest.approx(lat, abs=1e-10))
+
+
+def test_salted_join_splits_a_heavy_key(spark, frame):
+    rng = random.Random(7)
+    # A third of the left rows share one key; all its rows are equal, too.
+    left_rows = [("hot", 0)] * 1000 + [(rng.choice(["a", "b", "c", None]), i) for i in range(2000)]
+    right_rows = [("hot", 1), ("hot", 2), ("a", 3), ("z", 4), (None, 5)]
+    left, right = joins_stage(frame("k string, i int", *left_rows)), frame("k string, j int", *right_rows)
+    for how in ("inner", "left"):
+        got = joins.salted_join(left, right, ["k"], how, share=0.05, least=100)
+        assert rows(got, "k", "i", "j") == rows(left.join(right, "k", how), "k", "i", "j")
+    heavy = {r["k"]: r["_salts"] for r in joins.heavy_keys(left, ["k"], 0.05, 100).collect()}
+    assert heavy["hot"] == 7 and len(heavy) <= 20
+    plain = joins.salted_join(left, right, ["k"], share=0.9, least=100)
+    assert plain.count() == left.join(right, "k").count()
+
+
+def joins_stage(df):
+    from marketfold.sources.sinks import stage
+    return stage(df, "left")
