@@ -125,7 +125,7 @@ def _feed_b(first_zip: int) -> str:
 
 
 # Page numbers skip one page of every fifth ZIP.
-_PAGE = ("cast(floor(o_orderkey / 2000) + case when o_custkey % 5 = 0 and o_orderkey >= 4000 then 1 else 0 end as bigint)")
+_PAGE = ("cast(floor(o_orderkey / 500) + case when o_custkey % 5 = 0 and o_orderkey >= 1000 then 1 else 0 end as bigint)")
 _NEAR_ZIP = "cast(10001 + o_custkey % 25 as varchar(5))"
 # Queens is fetched before Brooklyn, whose ZIP codes are smaller; some queried ZIP codes are in no plan.
 _NEW_YORK_QUERY = ("cast(case o_custkey % 3 when 0 then 11354 when 1 then 11201 else 10001 end + o_custkey % 25 as varchar(5))")
