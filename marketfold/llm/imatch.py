@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import save
 
@@ -117,7 +118,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts and of their edited versions, whose last quarter gives way to the
     beginning of the next document; likeness of the text to the edited one and to the next."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # An alias that changes nothing is kept in one copy of a plan only, and would keep exchanges apart.
+    number = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    base = docs.select(number, F.coalesce("text", F.lit("")).alias("text"))
     known = save(lexicon(base), "lexicon").agg(F.sort_array(F.collect_list("term")).alias("terms")).scalar()
     around = save(neighbours(base.withColumn("n_chars", F.char_length("text").cast("long"))), "neighbours")
     # Both uses of the marked texts have the same columns and filters: one exchange serves them.
