@@ -5,8 +5,9 @@ a user to an assistant. Its automaton has a state for the role of the last turn.
 given turn may be kept, merged into a turn of its role before it, relabelled, or preceded by
 empty turns, each at a cost; dynamic programming finds the cheapest way from the start
 to an assistant's turn. A stretch of turns is a matrix of the cheapest costs between
-states, and matrices multiply, so long conversations are cut into blocks of ``BLOCK`` turn
-numbers: blocks become matrices in parallel, one small row each; a pass over the blocks of a
+states, and matrices multiply, so long conversations are cut into blocks of ``BLOCK`` rows,
+whatever their turn numbers: rows are dealt by range of conversation and order, counted along
+each range, and the counts of a range's first conversation go on from the ranges before. Blocks become matrices in parallel, one small row each; a pass over the blocks of a
 conversation fixes the states between them; then blocks are repaired in parallel. The
 repaired turns are rendered one per row; joined in order they are the conversation.
 
@@ -23,7 +24,8 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -130,6 +132,42 @@ def _groups(batches, names: list[str]):
         yield key, held
 
 
+def _counted(batches):
+    """The rows of a range with its number and their place, from 0, in their conversation's part of it."""
+    part, conv, n = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        places = []
+        for c in batch.column(batch.schema.get_field_index("conv")).to_pylist():
+            conv, n = c, n + 1 if c == conv else 0
+            places.append(n)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array([part] * len(places), pa.int32()), pa.array(places, pa.int64())],
+            names=[*batch.schema.names, "part", "within"])
+
+
+def in_blocks(turns: DataFrame) -> DataFrame:
+    """``turns`` with block and seat: their row number in the conversation over ``BLOCK``, and the rest.
+
+    Only the first and last conversation of a range can go on in another one; the table of their
+    counts, at most two rows per range, goes to every task.
+    """
+    order = ["conv", F.col("turn").asc_nulls_last(), "role", "text", "tie"]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The tie number lets equal rows spread over ranges.
+    tied = turns.withColumn("tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema.fields)
+    counted = save(dealt.mapInArrow(_counted, f"{kinds}, part int, within long"), "turns")
+    ends = counted.groupBy("part").agg(F.min("conv").alias("low"), F.max("conv").alias("high"))
+    edges = ends.select("part", F.explode(F.array_distinct(F.array("low", "high"))).alias("conv"))
+    sizes = counted.join(F.broadcast(edges), ["part", "conv"]).groupBy("part", "conv").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", "conv", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    number = F.col("within") + F.coalesce("before", F.lit(0))
+    return counted.join(F.broadcast(before), ["part", "conv"], "left").select(
+        *turns.columns, F.floor(number / BLOCK).cast("long").alias("block"), (number % BLOCK).cast("int").alias("seat"))
+
+
 def _tables(rows, names, kinds, size=4096):
     held = []
     for row in rows:
@@ -218,10 +256,9 @@ def formatted(turns: DataFrame) -> DataFrame:
     role = F.coalesce(sum((F.when(F.col("role") == r, i + 1).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0)), F.lit(0))
     base = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("conv_id").cast("long").alias("conv_id"),
-        number.alias("turn"), F.coalesce(F.floor(number / BLOCK), F.lit((1 << 62))).cast("long").alias("block"),
-        role.cast("int").alias("role_no"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["conv", "block", F.col("turn").asc_nulls_last(), "role", "text"]
-    dealt = base.repartition("conv", "block").sortWithinPartitions(*order)
+        number.alias("turn"), role.cast("int").alias("role_no"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    base, order = in_blocks(base), ["conv", "block", "seat"]
+    dealt = base.select(*order, "role_no").repartition("conv", "block").sortWithinPartitions(*order)
     matrices = save(dealt.select("conv", "block", "role_no").mapInArrow(_matrices, "conv string, block long, costs array<double>"), "matrices")
     states = matrices.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(
         _between, "conv string, block long, first int, last int, final boolean")

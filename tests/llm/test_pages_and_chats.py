@@ -10,6 +10,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from marketfold.llm import chat, dom, labelled, warc
 
 
@@ -124,6 +126,23 @@ def test_chat_of_odd_rows(spark):
     assert chat.formatted(turns.limit(0)).count() == 0
 
 
+def test_hot_conversation_without_turn_numbers(spark):
+    rng = random.Random(3)
+    roles = [rng.choice(["user", "assistant", "tool"]) for _ in range(900)]
+    rows = [(None, rng.choice([None, 7]), r, "same") for r in roles] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    base = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "turn", "role", "text")
+    blocks = chat.in_blocks(base).toPandas()
+    hot = blocks[blocks.conv == ""]
+    assert hot.groupby("block").size().to_dict() == {0: 256, 1: 256, 2: 256, 3: 132}
+    assert sorted(hot.block * 256 + hot.seat) == list(range(900))
+    out = chat.formatted(turns).toPandas()
+    ordered = sorted(rows[:900], key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+    want = cheapest([chat.ROLES.index(r[2]) + 1 if r[2] in chat.ROLES else 0 for r in ordered])
+    assert round(out[out.conv_id.isna()].cost.sum(), 6) == round(want, 6)
+    assert out[out.conv_id == 1].action.tolist() == ["keep", "keep"]
+
+
 def test_matrices_multiply():
     rng = random.Random(2)
     roles = [rng.randint(0, 3) for _ in range(40)]
