@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.numbers import count_where, money_avg, rate, sum_or_zero, sum_where, within
 from ...functions.text import empty_as_key
 from ...functions.times import month_start, week_start, within_interval
+from ...operators.distinct import count_sets, distinct_sets, merge_sets
 from ...operators.joins import band_join, salted_join, union_by_name, unmatched, with_scalar
 from ...operators.quantiles import column_percentiles, percentiles
 from ...operators.ranking import first_per_key, order_nulls, rolling_avg, running_sum, sequence, top_k_share
@@ -190,6 +191,27 @@ def agg_count_distinct(t):
         F.countDistinct("order_id").alias("orders"), F.countDistinct("product_id").alias("products"))
 
 
+@query("agg_count_distinct_merged", "year date, orders bigint, products bigint, sellers bigint, busiest_month_orders bigint", """
+    with monthly as (
+        select date_trunc('year', shipping_limit_date) as year, count(distinct order_id) as orders
+        from raw_order_items group by 1, date_trunc('month', shipping_limit_date)),
+    busiest as (select year, max(orders) as busiest_month_orders from monthly group by year),
+    yearly as (
+        select date_trunc('year', shipping_limit_date) as year, count(distinct order_id) as orders,
+               count(distinct product_id) as products, count(distinct seller_id) as sellers
+        from raw_order_items group by 1)
+    select cast(year as date) as year, orders, products, sellers, busiest_month_orders from yearly join busiest using (year)""")
+def agg_count_distinct_merged(t):
+    """Sets per month, written once; the years come from the sets, not from the rows."""
+    items = t.stg["stg_order_items"].withColumn("month", month_start(F.col("shipping_limit_date")))
+    sets = stage(distinct_sets(items, ["month"], {"orders": "order_id", "products": "product_id", "sellers": "seller_id"}), "sets")
+    year = F.trunc("month", "year").alias("year")
+    months = count_sets(sets, ["month"], ["orders"])
+    busiest = months.groupBy(year).agg(F.max("orders").alias("busiest_month_orders"))
+    total = count_sets(merge_sets(sets, [year]), ["year"], ["orders", "products", "sellers"])
+    return total.join(busiest, "year")
+
+
 @query("agg_count_distinct_case", "seller_id bigint, dear_orders bigint", """
     select seller_id, count(distinct case when price > 30000 then order_id end) as dear_orders
     from raw_order_items group by seller_id""")
