@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import within
 from ..sources.sinks import stage
@@ -39,8 +40,16 @@ def band_join(left: DataFrame, right: DataFrame, equi: dict[str, str], bands: di
 
 
 def unmatched(df: DataFrame, matched: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` without a partner in ``matched``."""
-    return df.join(matched.select(*on), list(on), "left_anti")
+    """Rows of ``df`` without a partner in ``matched``.
+
+    Text keys go behind a hash: urls begin alike, so a sort by them alone compares them whole.
+    """
+    texts = [c for c in on if isinstance(df.schema[c].dataType, T.StringType) and isinstance(matched.schema[c].dataType, T.StringType)]
+    if not texts:
+        return df.join(matched.select(*on), list(on), "left_anti")
+    ahead = F.xxhash64(*texts)
+    others = matched.select(*on).withColumn("_ahead", ahead)
+    return df.withColumn("_ahead", ahead).join(others, ["_ahead", *on], "left_anti").drop("_ahead")
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

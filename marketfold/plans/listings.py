@@ -60,9 +60,8 @@ def clean_b(raw: DataFrame, rules: AddressRules, area: str, require_area: bool =
 
 
 def _b_named(b: DataFrame) -> DataFrame:
-    """Feed B under names of its own, with the key form of its unit."""
-    return b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn(
-        "b_unit", empty_as_key(F.col("b_address_line_2")))
+    """Feed B under names of its own."""
+    return b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
 
 
 def _in_band(left: DataFrame, right: DataFrame, geo_tol: float, price_tol: float) -> DataFrame:
@@ -95,18 +94,32 @@ class Matches:
     b: DataFrame
 
 
+def _classed(feed: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
+    """The listings with the key form of their unit and the name of their class, unless they have them.
+
+    A name is 16 bytes: they sort by their first ones, where a struct is compared field by field.
+    """
+    if name in feed.columns:
+        return feed
+    known = feed.withColumn("unit", empty_as_key(F.col("address_line_2")))
+    return known.withColumn(name, F.unhex(natural_key(*[F.col(c) for c in columns])))
+
+
+def classed_a(a: DataFrame) -> DataFrame:
+    return _classed(a, "a_class", A_PROFILE + A_VALUES)
+
+
+def classed_b(b: DataFrame) -> DataFrame:
+    return _classed(b, "class", [c.removeprefix("b_") for c in B_PROFILE + B_VALUES])
+
+
 def factorise(a: DataFrame, b: DataFrame, geo_tol: float = GEO_TOLERANCE, price_tol: float = PRICE_TOLERANCE,
               stage: Stage = write_once) -> Matches:
     """Matches of the two feeds with equal ZIP, street and unit inside all tolerances."""
-    # Structs are equal when their NULLs are.
-    left = a.withColumn("unit", empty_as_key(F.col("address_line_2"))).withColumn("a_class", F.struct(*A_PROFILE, *A_VALUES))
-    right = _b_named(b).withColumn("b_class", F.struct(*B_PROFILE, *B_VALUES))
-    a_classes = left.groupBy("a_class").agg(F.count("*").alias("times_a")).select("a_class", "a_class.*", "times_a")
-    b_classes = right.groupBy("b_class").agg(F.count("*").alias("times_b"), F.min("b_url").alias("b_url")).select(
-        "b_class", "b_class.*", "times_b", "b_url")
-    profiles = _in_band(a_classes.select(*A_PROFILE).distinct(), b_classes.select(*B_PROFILE).distinct(), geo_tol, price_tol)
-    both = profiles.join(a_classes, A_PROFILE).join(b_classes, B_PROFILE)
-    pairs = both.select(
+    left, right = classed_a(a), _b_named(classed_b(b))
+    a_classes = left.groupBy("a_class", *A_PROFILE, *A_VALUES).agg(F.count("*").alias("times_a"))
+    b_classes = right.groupBy("b_class", *B_PROFILE, *B_VALUES).agg(F.count("*").alias("times_b"), F.min("b_url").alias("b_url"))
+    pairs = _in_band(a_classes, b_classes, geo_tol, price_tol).select(
         "a_class", "b_class", (F.col("times_a") * F.col("times_b")).alias("weight"), "zip_code",
         *_values_of_pair(), "b_url")
     return Matches(stage(pairs, "pairs"), left, right)
@@ -272,8 +285,8 @@ def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: s
     ``stage`` writes what is read again: cleaned feeds and matched classes, merged and filled rows.
     Left lazy, those reads multiply into a dozen runs of the match, each from the raw feeds.
     """
-    a = stage(clean_a(raw_a, rules, area, require_area), "clean_a")
-    b = stage(clean_b(raw_b, rules, area, require_area), "clean_b")
+    a = stage(classed_a(clean_a(raw_a, rules, area, require_area)), "clean_a")
+    b = stage(classed_b(clean_b(raw_b, rules, area, require_area)), "clean_b")
     matches = factorise(a, b, stage=stage)
     return stage(merge_listings(a, b, matches, area), "merged"), matches
 

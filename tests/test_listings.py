@@ -6,6 +6,7 @@ import pytest
 
 from conftest import rows
 from marketfold.functions.text import LOOSE
+from marketfold.operators.joins import unmatched
 from marketfold.plans import listings
 from marketfold.sources.sinks import stage
 
@@ -113,6 +114,20 @@ def test_best_partner_equals_best_of_all_pairs(spark):
     assert set(rows(got.groupBy("url", "rent").agg(F.min("price_gap").alias("price_gap")))) == set(rows(best_gap))
 
 
+def test_classes_have_short_names_and_urls_sort_by_a_hash(frame):
+    left = [a("1"), a("2"), a("3", beds=None), a("4", sqft=None)]
+    ca, cb = listings.clean_a(frame(A, *left), LOOSE, "borough"), listings.clean_b(frame(B, b("1")), LOOSE, "borough")
+    matches = listings.factorise(ca, cb)
+    kinds = dict(matches.pairs.dtypes)
+    assert (kinds["a_class"], kinds["b_class"]) == ("binary", "binary")
+    assert len({bytes(r["a_class"]) for r in matches.a.collect()}) == 3  # a missing value is none of the others
+    assert rows(matches.pairs, "weight") == [(1,), (1,), (2,)]
+    alone = unmatched(ca, cb, ["url"])
+    assert "xxhash64(url" in alone._jdf.queryExecution().optimizedPlan().toString() and set(alone.columns) == set(ca.columns)
+    numbers = unmatched(frame("k int", (1,), (2,), (None,)), frame("k long", (1,)), ["k"])
+    assert rows(numbers) == [(2,), (None,)]
+
+
 def test_a_listing_keeps_a_partner_that_is_complete(frame):
     # The nearest partner has no beds; the next one completes the listing.
     left, right = [a("1", beds=None)], [b("1", 1000, beds=(None, None)), b("2", 1100, beds=(1.0, 2.0))]
