@@ -94,12 +94,16 @@ class Tables:
             return self._once(name, lambda: stage(self.model[name], name))
         return self.model[name]
 
+    def _step(self, name: str) -> DataFrame:
+        """A model as another one reads it: the written step where there is one."""
+        return self._written[name] if name in self._written else self.model[name]
+
     def _model(self, name: str) -> DataFrame:
-        s, m = self.stg, self.model
+        s, step = self.stg, self._step
         return {
             "int_order_reviews_one_row": lambda: commerce.order_reviews_one_row(s["stg_order_reviews"]),
             "int_orders_experience": lambda: commerce.orders_experience(
-                s["stg_orders"], m["int_order_reviews_one_row"]),
+                s["stg_orders"], step("int_order_reviews_one_row")),
             "int_order_items_enriched": lambda: commerce.order_items_enriched(
                 s["stg_order_items"], s["stg_orders"], s["stg_customers"], s["stg_sellers"], s["stg_products"],
                 s["stg_category_translation"]),
@@ -111,11 +115,11 @@ class Tables:
             "mart_category_weekly": lambda: commerce.category_weekly(
                 s["stg_orders"], s["stg_order_items"], s["stg_products"], s["stg_category_translation"]),
             "mart_geo_state_flows_weekly": lambda: commerce.state_flows_weekly(
-                m["int_order_items_enriched"], m["int_orders_experience"]),
+                step("int_order_items_enriched"), step("int_orders_experience")),
             "mart_new_vs_returning_weekly": lambda: commerce.new_vs_returning_weekly(
                 commerce.identified_orders(s["stg_orders"], s["stg_customers"]), self.values),
             "mart_experience_retention_90d": lambda: commerce.experience_retention(
-                commerce.customer_first_orders(s["stg_orders"], s["stg_customers"]), m["int_orders_experience"]),
+                commerce.customer_first_orders(s["stg_orders"], s["stg_customers"]), step("int_orders_experience")),
             "mart_cohort_ltv_monthly": lambda: commerce.cohort_ltv_monthly(
                 s["stg_orders"], s["stg_customers"], self.values),
         }[name]()
