@@ -204,8 +204,8 @@ def clean_listings_b_strict(t):
        "pet_cats boolean, pet_dogs boolean, list_date date, a_url varchar, b_url varchar, price_gap integer",
        "select * from x_ny_pairs")
 def match_listings(t):
-    a, b = t.clean("new_york")
-    return listings.match_listings(a, b, "borough")
+    a, b, matches = t.matched("new_york")
+    return listings.match_listings(a, b, "borough", matches=matches)
 
 
 @query("merge_listings", _MERGED, "select * from x_ny_merged")
@@ -227,7 +227,7 @@ def merge_listings_best(t):
     select zip_code, price_gap, count(*) as pairs from x_ny_pairs group by zip_code, price_gap""")
 def match_pairs_folded(t):
     """Pairs counted from their factors, without any of them being made."""
-    return t.merged("new_york")[1].pairs.groupBy("zip_code", "price_gap").agg(F.sum("weight").alias("pairs"))
+    return t.matched("new_york")[2].pairs.groupBy("zip_code", "price_gap").agg(F.sum("weight").alias("pairs"))
 
 
 @query("impute_group_median", _MERGED + ", sqft_filled double", "select * from x_ny_filled")

@@ -12,7 +12,7 @@ from ...operators.joins import band_join, salted_join, union_by_name, unmatched,
 from ...operators.quantiles import column_percentiles, percentiles
 from ...operators.ranking import first_per_key, order_nulls, rolling_avg, running_sum, sequence, top_k_share
 from ...plans.commerce import customer_first_orders, customer_weeks, identified_orders
-from ...plans.listings import match_listings
+from ...plans.listings import left_over, match_listings
 from ...sources.sinks import stage
 from ..registry import STEPS, money, query, ratio
 
@@ -400,14 +400,13 @@ def top_k_share_query(t):
     union all select 'a', md5(url), list_price from x_ny_a where url not in (select a_url from x_ny_pairs)
     union all select 'b', md5(url), price_avg from x_ny_b where url not in (select b_url from x_ny_pairs)""")
 def union_all_three(t):
-    a, b = t.clean("new_york")
-    pairs = stage(match_listings(a, b, "borough"), "pairs")
+    a, b, matches = t.matched("new_york")
+    a_left, b_left = left_over(a, b, matches)
     shape = lambda df, origin, key, rent: df.select(
         F.lit(origin).alias("origin"), F.md5(key).alias("listing_id"), F.col(rent).alias("rent"))
     return union_by_name([
-        shape(pairs, "both", "a_url", "rent"),
-        shape(unmatched(a, pairs.select(F.col("a_url").alias("url")), ["url"]), "a", "url", "list_price"),
-        shape(unmatched(b, pairs.select(F.col("b_url").alias("url")), ["url"]), "b", "url", "price_avg")])
+        shape(match_listings(a, b, "borough", matches=matches), "both", "a_url", "rent"),
+        shape(a_left, "a", "url", "list_price"), shape(b_left, "b", "url", "price_avg")])
 
 
 @query("union_all_cities", "city varchar, listing_id varchar, zip_code varchar", """

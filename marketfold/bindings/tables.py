@@ -144,8 +144,12 @@ class Tables:
                     listings.clean_b(b, listings.STRICT, "neighborhood", True))
         return listings.clean_a(a, listings.LOOSE, "borough"), listings.clean_b(b, listings.LOOSE, "borough")
 
-    # The merged and filled steps and the unified table are written once and then read,
-    # as a weekly refresh would do, however many queries follow.
+    # The cleaned, matched, merged and filled steps and the unified table are written once and then
+    # read, as a weekly refresh would do, however many queries follow.
+    def matched(self, city: str) -> tuple[DataFrame, DataFrame, listings.Matches]:
+        """Cleaned feeds with their classes, and the matches in factors."""
+        return self._once(f"matched-{city}", lambda: self._match(city))
+
     def merged(self, city: str) -> tuple[DataFrame, listings.Matches]:
         """Merged rows with matches in factors, and the factors."""
         return self._once(f"merged-{city}", lambda: self._merge(city))
@@ -170,11 +174,15 @@ class Tables:
             self._written[name] = build()
         return self._written[name]
 
-    def _merge(self, city: str) -> tuple[DataFrame, listings.Matches]:
+    def _match(self, city: str) -> tuple[DataFrame, DataFrame, listings.Matches]:
         a, b = self.feeds(city)
         if city == "boston":
-            return listings.merge_feeds(a, b, listings.STRICT, "neighborhood", True)
-        return listings.merge_feeds(a, b, listings.LOOSE, "borough", False)
+            return listings.match_feeds(a, b, listings.STRICT, "neighborhood", True)
+        return listings.match_feeds(a, b, listings.LOOSE, "borough", False)
+
+    def _merge(self, city: str) -> tuple[DataFrame, listings.Matches]:
+        a, b, matches = self.matched(city)
+        return stage(listings.merge_listings(a, b, matches, ingest.AREA[city]), "merged"), matches
 
     def every_pair(self, step, city: str = "new_york") -> DataFrame:
         """``step`` of a city's filled rows, with every pair."""

@@ -156,6 +156,13 @@ COMPLETE = ["rent", "beds", "baths", "latitude", "longitude"]
 FACTORS = ["weight", "a_class", "b_class"]
 
 
+def left_over(a: DataFrame, b: DataFrame, matches: Matches) -> tuple[DataFrame, DataFrame]:
+    """Listings of each feed whose url is in no match. Classes tell which ones are; no pair is made for it."""
+    consumed = matches.a.join(matches.pairs.select("a_class"), "a_class", "left_semi").select("url")
+    taken = matches.b.join(matches.pairs.select("b_class"), "b_class", "left_semi").select(F.col("b_url").alias("url"))
+    return unmatched(a, consumed, ["url"]), unmatched(b, taken, ["url"])
+
+
 def merge_listings(a: DataFrame, b: DataFrame, matches: Matches, area: str) -> DataFrame:
     """Matched classes, A without a match, B without a match; incomplete rows dropped.
 
@@ -163,13 +170,12 @@ def merge_listings(a: DataFrame, b: DataFrame, matches: Matches, area: str) -> D
     in factors: their rows have a weight and no listing until ``expand`` or ``best`` names it.
     """
     columns = [*MERGED[:2], area, *MERGED[2:]]
-    consumed = matches.a.join(matches.pairs.select("a_class"), "a_class", "left_semi").select("url")
-    taken = matches.b.join(matches.pairs.select("b_class"), "b_class", "left_semi").select(F.col("b_url").alias("url"))
-    a_only = unmatched(a, consumed, ["url"]).select(
+    a_left, b_left = left_over(a, b, matches)
+    a_only = a_left.select(
         listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
         F.col("list_price").alias("rent"), F.col("beds").cast("double").alias("beds"),
         F.col("baths").cast("double").alias("baths"), "sqft", "pet_cats", "pet_dogs", "list_date", "url")
-    b_only = unmatched(b, taken, ["url"]).select(
+    b_only = b_left.select(
         listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
         F.col("price_avg").alias("rent"), F.col("beds_avg").alias("beds"), F.col("baths_avg").alias("baths"),
         F.col("sqft_avg").alias("sqft"), "url")
@@ -278,16 +284,22 @@ def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate:
         *[source[name].cast(kind).alias(name) for name, kind in CONTRACT.items()])
 
 
-def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
-                stage: Stage = write_once) -> tuple[DataFrame, Matches]:
-    """Clean, match and merge one city's feeds; matches stay in factors.
+def match_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
+                stage: Stage = write_once) -> tuple[DataFrame, DataFrame, Matches]:
+    """Clean and match one city's feeds: both cleaned feeds and the matches in factors.
 
     ``stage`` writes what is read again: cleaned feeds and matched classes, merged and filled rows.
     Left lazy, those reads multiply into a dozen runs of the match, each from the raw feeds.
     """
     a = stage(classed_a(clean_a(raw_a, rules, area, require_area)), "clean_a")
     b = stage(classed_b(clean_b(raw_b, rules, area, require_area)), "clean_b")
-    matches = factorise(a, b, stage=stage)
+    return a, b, factorise(a, b, stage=stage)
+
+
+def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
+                stage: Stage = write_once) -> tuple[DataFrame, Matches]:
+    """Clean, match and merge one city's feeds; matches stay in factors."""
+    a, b, matches = match_feeds(raw_a, raw_b, rules, area, require_area, stage)
     return stage(merge_listings(a, b, matches, area), "merged"), matches
 
 

@@ -210,3 +210,11 @@ def test_shares_sum_to_one(tables):
     supply = insights.supply_concentration(tables.unified())
     for row in supply.groupBy("city").agg(F.max("cumulative_share").alias("s"), F.sum("share").alias("t")).collect():
         assert float(row["s"]) == 1.0 and abs(float(row["t"]) - 1) < 0.01
+
+
+def test_questions_of_matches_read_written_feeds(tables):
+    from marketfold.bindings.registry import REGISTRY
+    fresh = type(tables)(tables.spark, tables.root)
+    for name in ("union_all_three", "match_listings"):
+        files = REGISTRY[name].build(fresh).inputFiles()
+        assert files and not [f for f in files if f.endswith("/orders.parquet")]
