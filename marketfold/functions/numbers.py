@@ -64,7 +64,7 @@ def round_half_even_int(c: Column) -> Column:
 
 def strip_non_numeric(c: Column) -> Column:
     """Keep digits and dots of the textual form, then read it as a float."""
-    digits = F.regexp_replace(c.cast("string"), r"[^0-9\.]", "")
+    digits = F.regexp_replace(c.cast("string"), "[^0123456789.]", "")  # no range: Java looks single characters up
     return F.nullif(digits, F.lit("")).try_cast("float")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,16 @@ LOOSE = AddressRules(
 UNIT_PREFIX = r"(?i)(^|\s)(Apt|Unit|Ste|Ph|Fl|#)\s*"
 
 
+def _listed(keep: str) -> str:
+    """A class of characters with its ranges written out.
+
+    Java looks single characters up in a table, but tests a range by a chain of calls per character.
+    """
+    if re.search(r"\\[^s]", keep):
+        return keep
+    return re.sub("([0-9A-Za-z])-([0-9A-Za-z])", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), keep)
+
+
 def _split_sql(arg: str, rules: AddressRules) -> tuple[str, str]:
     """SQL text of the street and the unit part of ``arg``."""
     whens = " ".join(f"when instr({arg}, '{seen}') > 0 then instr({arg}, '{cut}')" for seen, cut in rules.markers)
@@ -72,7 +83,7 @@ def _split_sql(arg: str, rules: AddressRules) -> tuple[str, str]:
     street = f"case when {at} = 0 then {arg} else substring({arg}, 1, {at} - 1) end"
     unit = f"case when {at} > 0 then substring({arg}, {at}) end"
     return (
-        f'lower(trim(regexp_replace({street}, r"[^{rules.keep}]", "")))',
+        f'lower(trim(regexp_replace({street}, r"[^{_listed(rules.keep)}]", "")))',
         f'lower(trim(regexp_replace({unit}, r"{UNIT_PREFIX}", "")))',
     )
 

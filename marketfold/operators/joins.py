@@ -21,7 +21,10 @@ def band_join(left: DataFrame, right: DataFrame, equi: dict[str, str], bands: di
     matching pair meets in exactly one cell, so nothing has to be removed afterwards,
     and rows that share one hot key (an empty street, say) are paired only with their
     neighbours instead of with every row of that key. Column names must not overlap.
+
+    A hash of the keys is the first one, so that sorts compare numbers before texts that begin alike.
     """
+    alike = [(l, r) for l, r in equi.items() if left.schema[l].dataType == right.schema[r].dataType]
     on = [F.col(l) == F.col(r) for l, r in equi.items()]
     helpers = []
     for i, ((l, r), tolerance) in enumerate(bands.items()):
@@ -33,6 +36,9 @@ def band_join(left: DataFrame, right: DataFrame, equi: dict[str, str], bands: di
             F.sequence(F.floor((value - reach) / width), F.floor((value + reach) / width))))
         on += [F.col(f"_lc{i}") == F.col(f"_rc{i}"), within(F.col(l), F.col(r), tolerance)]
         helpers += [f"_lc{i}", f"_rc{i}"]
+    hashed = alike + [(f"_lc{i}", f"_rc{i}") for i in range(len(bands))]
+    if hashed:
+        on.insert(0, F.xxhash64(*[l for l, _ in hashed]) == F.xxhash64(*[r for _, r in hashed]))
     condition = on[0]
     for extra in on[1:]:
         condition = condition & extra
@@ -42,14 +48,17 @@ def band_join(left: DataFrame, right: DataFrame, equi: dict[str, str], bands: di
 def unmatched(df: DataFrame, matched: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``df`` without a partner in ``matched``.
 
-    Text keys go behind a hash: urls begin alike, so a sort by them alone compares them whole.
+    Text keys go behind a hash: urls begin alike, so a sort by them alone compares them whole. It is
+    computed where it is needed, not sent along.
     """
     texts = [c for c in on if isinstance(df.schema[c].dataType, T.StringType) and isinstance(matched.schema[c].dataType, T.StringType)]
     if not texts:
         return df.join(matched.select(*on), list(on), "left_anti")
-    ahead = F.xxhash64(*texts)
-    others = matched.select(*on).withColumn("_ahead", ahead)
-    return df.withColumn("_ahead", ahead).join(others, ["_ahead", *on], "left_anti").drop("_ahead")
+    others = matched.select(*[F.col(c).alias(f"_m_{c}") for c in on])
+    condition = F.xxhash64(*texts) == F.xxhash64(*[f"_m_{c}" for c in texts])
+    for c in on:
+        condition = condition & (F.col(c) == F.col(f"_m_{c}"))
+    return df.join(others, condition, "left_anti")
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -37,6 +38,15 @@ def test_strict_split(frame, address, street, unit):
     assert tuple(df.first())[1:] == (street, unit)
 
 
+@pytest.mark.parametrize("rules", [text.LOOSE, text.STRICT])
+def test_split_keeps_the_class_without_ranges(frame, rules):
+    df = text.split_address(frame("a string", *[(f"<{chr(i)}>",) for i in range(1, 300) if chr(i) != "#"]), "a", rules)
+    assert "a-z" not in df._jdf.queryExecution().optimizedPlan().toString()
+    kept = re.compile(f"[^{rules.keep}]", re.ASCII)
+    assert all(r["address_line_1"] == kept.sub("", r["a"]).strip(" ").lower() for r in df.collect())
+    assert text._listed(r"\w-z") == r"\w-z"
+
+
 def test_split_as_table_function(spark, frame):
     text.register_split_address(spark, "split_strict_test", text.STRICT)
     out = spark.sql("select s.* from {t} as t, lateral split_strict_test(t.a) as s",

@@ -112,6 +112,14 @@ def test_band_join_against_brute_force(spark):
     assert sorted((r["id"], r["bid"]) for r in got.select("id", "bid").collect()) == want
     assert len(want) > 100
 
+def test_band_join_sorts_by_a_hash_of_keys_of_one_type(frame):
+    left, right = frame("k string, n int, x float", ("s", 1, 1.0), (None, 2, 1.0)), frame("bk string, bn long, bx float", ("s", 1, 1.1), (None, 2, 1.0))
+    got = joins.band_join(left, right, {"k": "bk", "n": "bn"}, {("x", "bx"): 0.2})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(k" in plan and "xxhash64(bk" in plan
+    assert rows(got, "k", "n", "bn") == [("s", 1, 1)]
+    assert rows(joins.band_join(left, right, {"n": "bn"}, {}), "n", "bn") == [(1, 1), (2, 2)]
+
 
 def test_with_scalar_joins_nothing(frame):
     df = frame("x int", (1,), (5,))
