@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.sinks import stage
 from .scan import KEY, PART, SEGMENT, placed
 
 
@@ -87,10 +88,12 @@ def impute_group_median(df: DataFrame, column: str, by: Sequence[str], out: str,
     """Fill ``column`` with the median of its group; drop rows that stay empty.
 
     Medians are taken over ``over`` (``df`` itself by default), whose rows count ``weight``
-    times. A NULL in a grouping column never finds its group, as in an SQL equality join.
+    times. A NULL in a grouping column never finds its group, as in an SQL equality join. The medians
+    are written first, so that Spark knows their size before it plans the join: few of them are
+    broadcast, and the rows stay where they are.
     """
     source = df if over is None else over
-    medians = percentiles(source.dropna(subset=list(by)), column, {"_median": 0.5}, by, weight)
+    medians = stage(percentiles(source.dropna(subset=list(by)), column, {"_median": 0.5}, by, weight), "medians")
     condition = F.lit(True)
     for b in by:
         condition = condition & (F.col(b) == F.col(f"_r_{b}"))

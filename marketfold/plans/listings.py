@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import midpoint_float, midpoint_int, round_half_even_int, strip_non_numeric
-from ..functions.text import AddressRules, LOOSE, STRICT, empty_as_key, listing_key, natural_key, split_address
+from ..functions.text import AddressRules, LOOSE, STRICT, empty_as_key, listing_key, natural_key, row_name, split_address
 from ..functions.times import refresh_stamp
 from ..operators.joins import band_join, union_by_name, unmatched
 from ..operators.quantiles import impute_group_median, trim_outliers
@@ -102,7 +102,7 @@ def _classed(feed: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     if name in feed.columns:
         return feed
     known = feed.withColumn("unit", empty_as_key(F.col("address_line_2")))
-    return known.withColumn(name, F.unhex(natural_key(*[F.col(c) for c in columns])))
+    return known.withColumn(name, row_name(*[F.col(c) for c in columns]))
 
 
 def classed_a(a: DataFrame) -> DataFrame:

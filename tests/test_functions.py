@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from marketfold.functions import numbers, text, times
+from marketfold.plans.listings import classed_a
 
 
 @pytest.mark.parametrize("address, street, unit", [
@@ -102,3 +103,21 @@ def test_month_index_counts_calendar_months(frame):
 def test_natural_key_tells_null_from_empty(frame):
     df = frame("a string, b string", (None, "x"), ("", "x"), ("~", "x"))
     assert len({r[0] for r in df.select(text.natural_key(F.col("a"), F.col("b"))).collect()}) == 3
+
+
+def test_row_name_tells_rows_apart_without_texts_of_numbers(frame):
+    df = frame("a string, b string, x float, n int",
+               (None, "x", 1.5, 1), ("x", None, 1.5, 1), ("", "x", 1.5, 1), ("x", "", 1.5, 1), ("x", "x", None, 1), ("x", "x", 1.5, None),
+               ("x", "x", 1.5, 1), ("x", "x", 1.5, 1), ("xx", "", 1.5, 1), ("x", "x", 1.0, 1), ("x", "x", 1.0, 0), (None, None, None, None))
+    named = df.select("*", text.row_name(*[F.col(c) for c in df.columns]).alias("name"))
+    found = named.collect()
+    assert {len(r["name"]) for r in found} == {16}
+    assert len({bytes(r["name"]) for r in found}) == len({tuple(r)[:4] for r in found}) == 11
+
+
+def test_classes_are_named_by_hashes_of_the_values(frame):
+    df = frame("zip_code string, address_line_1 string, address_line_2 string, latitude float, longitude float, list_price int, "
+               "beds float, baths float, sqft int", ("1", "s", None, 1.0, 2.0, 3, 1.0, 1.0, None), ("1", "s", "", 1.0, 2.0, 3, 1.0, 1.0, None))
+    plan = classed_a(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "md5" not in plan and "cast(" not in plan
+    assert len({bytes(r["a_class"]) for r in classed_a(df).collect()}) == 1

@@ -50,6 +50,14 @@ def test_impute_group_median(frame):
     assert got == {0: 1.0, 1: 2.0, 2: 4.0, 3: 100.0, 4: 3.0, 11: 7.0}
 
 
+def test_few_medians_are_broadcast_and_rows_stay(frame):
+    df = frame("id int, z string, sqft int", *[(i, "ab"[i % 2], v) for i, v in enumerate([1, 2, 3, 20, None, None])])
+    out = quantiles.impute_group_median(df, "sqft", ["z"], "filled")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert {r["id"]: r["filled"] for r in out.collect()} == {0: 1.0, 1: 2.0, 2: 3.0, 3: 20.0, 4: 2.0, 5: 11.0}
+
+
 def test_trim_uses_cutoffs_of_the_whole_input(frame):
     df = frame("a int, b int", *[(i, 100 - i) for i in range(101)])
     out = quantiles.trim_outliers(df, {"a": (0.05, 0.95)}, {"b": 0.5})
