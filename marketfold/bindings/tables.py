@@ -144,8 +144,12 @@ class Tables:
                     listings.clean_b(b, listings.STRICT, "neighborhood", True))
         return listings.clean_a(a, listings.LOOSE, "borough"), listings.clean_b(b, listings.LOOSE, "borough")
 
-    # The cleaned, matched, merged and filled steps and the unified table are written once and then
+    # The cleaned feeds, matches, listings alone, medians and the unified table are written once and then
     # read, as a weekly refresh would do, however many queries follow.
+    def cleaned(self, city: str) -> tuple[DataFrame, DataFrame]:
+        """Cleaned feeds with their classes."""
+        return self._once(f"cleaned-{city}", lambda: self._clean(city))
+
     def matched(self, city: str) -> tuple[DataFrame, DataFrame, listings.Matches]:
         """Cleaned feeds with their classes, and the matches in factors."""
         return self._once(f"matched-{city}", lambda: self._match(city))
@@ -156,33 +160,40 @@ class Tables:
 
     def filled(self, city: str) -> tuple[DataFrame, listings.Matches]:
         merged, matches = self.merged(city)
-        return self._once(f"filled-{city}", lambda: stage(listings.fill_sqft(merged), "filled")), matches
+        return self._once(f"filled-{city}", lambda: listings.fill_sqft(merged)), matches
 
     def unified(self) -> DataFrame:
-        return self._once("unified", lambda: stage(
-            listings.publish_unified(self.both_cities(), REFRESHED_AT), "listings"))
+        return self._once("unified", lambda: listings.publish_unified(self.both_cities(), REFRESHED_AT))
 
     def both_cities(self) -> list[DataFrame]:
-        """The published cities; their steps are written at the same time."""
+        """The published cities, written. They are cleaned and merged at the same time, but matched and published
+        in turn: those steps shuffle most, and what they shuffle is gone when they end."""
         cities = ["boston", "new_york"]
         with ThreadPoolExecutor(len(cities)) as pool:
+            list(pool.map(self.cleaned, cities))
+            for city in cities:
+                self.matched(city)
             list(pool.map(self.filled, cities))
-        return [self.published(city) for city in cities]
+        return [self._once(f"published-{c}", lambda c=c: stage(self.published(c), "listings")) for c in cities]
 
     def _once(self, name: str, build) -> DataFrame:
         if name not in self._written:
             self._written[name] = build()
         return self._written[name]
 
-    def _match(self, city: str) -> tuple[DataFrame, DataFrame, listings.Matches]:
+    def _clean(self, city: str) -> tuple[DataFrame, DataFrame]:
         a, b = self.feeds(city)
         if city == "boston":
-            return listings.match_feeds(a, b, listings.STRICT, "neighborhood", True)
-        return listings.match_feeds(a, b, listings.LOOSE, "borough", False)
+            return listings.clean_feeds(a, b, listings.STRICT, "neighborhood", True)
+        return listings.clean_feeds(a, b, listings.LOOSE, "borough", False)
+
+    def _match(self, city: str) -> tuple[DataFrame, DataFrame, listings.Matches]:
+        a, b = self.cleaned(city)
+        return a, b, listings.factorise(a, b)
 
     def _merge(self, city: str) -> tuple[DataFrame, listings.Matches]:
         a, b, matches = self.matched(city)
-        return stage(listings.merge_listings(a, b, matches, ingest.AREA[city]), "merged"), matches
+        return listings.merge_listings(a, b, matches, ingest.AREA[city]), matches
 
     def every_pair(self, step, city: str = "new_york") -> DataFrame:
         """``step`` of a city's filled rows, with every pair."""

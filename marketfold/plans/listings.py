@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import midpoint_float, midpoint_int, round_half_even_int, strip_non_numeric
@@ -94,6 +94,10 @@ class Matches:
     b: DataFrame
 
 
+def _class_name(columns: Sequence[str]) -> Column:
+    return row_name(*[F.col(c) for c in columns])
+
+
 def _classed(feed: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     """The listings with the key form of their unit and the name of their class, unless they have them.
 
@@ -102,7 +106,7 @@ def _classed(feed: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     if name in feed.columns:
         return feed
     known = feed.withColumn("unit", empty_as_key(F.col("address_line_2")))
-    return known.withColumn(name, row_name(*[F.col(c) for c in columns]))
+    return known.withColumn(name, _class_name(columns))
 
 
 def classed_a(a: DataFrame) -> DataFrame:
@@ -117,11 +121,12 @@ def factorise(a: DataFrame, b: DataFrame, geo_tol: float = GEO_TOLERANCE, price_
               stage: Stage = write_once) -> Matches:
     """Matches of the two feeds with equal ZIP, street and unit inside all tolerances."""
     left, right = classed_a(a), _b_named(classed_b(b))
-    a_classes = left.groupBy("a_class", *A_PROFILE, *A_VALUES).agg(F.count("*").alias("times_a"))
-    b_classes = right.groupBy("b_class", *B_PROFILE, *B_VALUES).agg(F.count("*").alias("times_b"), F.min("b_url").alias("b_url"))
+    # Names are no part of the exchanges, which they would fill by a fifth; a pair has the values to name its classes.
+    a_classes = left.groupBy(*A_PROFILE, *A_VALUES).agg(F.count("*").alias("times_a"))
+    b_classes = right.groupBy(*B_PROFILE, *B_VALUES).agg(F.count("*").alias("times_b"), F.min("b_url").alias("b_url"))
     pairs = _in_band(a_classes, b_classes, geo_tol, price_tol).select(
-        "a_class", "b_class", (F.col("times_a") * F.col("times_b")).alias("weight"), "zip_code",
-        *_values_of_pair(), "b_url")
+        _class_name(A_PROFILE + A_VALUES).alias("a_class"), _class_name(B_PROFILE + B_VALUES).alias("b_class"),
+        (F.col("times_a") * F.col("times_b")).alias("weight"), "zip_code", *_values_of_pair(), "b_url")
     return Matches(stage(pairs, "pairs"), left, right)
 
 
@@ -163,31 +168,33 @@ def left_over(a: DataFrame, b: DataFrame, matches: Matches) -> tuple[DataFrame,
     return unmatched(a, consumed, ["url"]), unmatched(b, taken, ["url"])
 
 
-def merge_listings(a: DataFrame, b: DataFrame, matches: Matches, area: str) -> DataFrame:
+def merge_listings(a: DataFrame, b: DataFrame, matches: Matches, area: str, stage: Stage = write_once) -> DataFrame:
     """Matched classes, A without a match, B without a match; incomplete rows dropped.
 
     Being matched is decided by url, so two ids that share one url are both consumed. Matches stay
-    in factors: their rows have a weight and no listing until ``expand`` or ``best`` names it.
+    in factors: their rows have a weight and no listing until ``expand`` or ``best`` names it. Only the
+    listings alone are written, as ``matches`` are already.
     """
     columns = [*MERGED[:2], area, *MERGED[2:]]
     a_left, b_left = left_over(a, b, matches)
     a_only = a_left.select(
-        listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
+        "zip_code", area, "latitude", "longitude",
         F.col("list_price").alias("rent"), F.col("beds").cast("double").alias("beds"),
         F.col("baths").cast("double").alias("baths"), "sqft", "pet_cats", "pet_dogs", "list_date", "url")
     b_only = b_left.select(
-        listing_key(F.col("url")).alias("listing_id"), "zip_code", area, "latitude", "longitude",
+        "zip_code", area, "latitude", "longitude",
         F.col("price_avg").alias("rent"), F.col("beds_avg").alias("beds"), F.col("baths_avg").alias("baths"),
         F.col("sqft_avg").alias("sqft"), "url")
-    alone = union_by_name([a_only, b_only], fill_missing=True).withColumn("weight", F.lit(1).cast("long"))
+    alone = stage(union_by_name([a_only, b_only], fill_missing=True).dropna(subset=COMPLETE), "alone").withColumns(
+        {"listing_id": listing_key(F.col("url")), "weight": F.lit(1).cast("long")})
     paired = matches.pairs.withColumnRenamed("b_url", "match_url")
     return paired.unionByName(alone, allowMissingColumns=True).select(*columns, *FACTORS).dropna(subset=COMPLETE)
 
 
 def _with_listing(rows: DataFrame, members: DataFrame, area: str) -> DataFrame:
     """Rows of classes with each A listing of theirs."""
-    named = members.select("a_class", listing_key(F.col("url")).alias("listing_id"), area, "pet_cats", "pet_dogs", "list_date", "url")
-    return rows.drop("listing_id", area, "pet_cats", "pet_dogs", "list_date", "url").join(named, "a_class")
+    of_listing = [area, "pet_cats", "pet_dogs", "list_date", "url"]
+    return _with_key(rows.drop("listing_id", *of_listing).join(members.select("a_class", *of_listing), "a_class"))
 
 
 def expand(folded: DataFrame, matches: Matches, area: str) -> DataFrame:
@@ -257,21 +264,32 @@ def _or_fail(df: DataFrame) -> DataFrame:
     return grouped.select(checked.alias("listing_id"), "_row.*")
 
 
+def _with_key(df: DataFrame) -> DataFrame:
+    return df.withColumn("listing_id", listing_key(F.col("url")))
+
+
 def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate: str = "error") -> DataFrame:
     """The sixteen-column contract of one city; areas without a column become NULL.
 
     A listing id must be unique. ``error`` makes the job fail on a repeated id, when the
     result is read or written; ``best`` keeps the pair with the smallest price gap, then
-    the smallest url; ``keep`` publishes all rows.
+    the smallest url; ``keep`` publishes all rows. Without a ``listing_id``, it is the key of the url:
+    then urls are compared, and their keys, twice as long, are made of what is left.
     """
+    keyed = "listing_id" in df.columns
     if on_duplicate == "error":
+        df = df if keyed else _with_key(df)
         df = _or_fail(df)
     elif on_duplicate == "best":
         rest = [c for c in df.columns if c not in ("listing_id", "price_gap", "match_url")]
-        df = first_per_key(df, ["listing_id"], [
-            F.asc_nulls_last("price_gap"), F.asc_nulls_last("match_url"), *[F.asc_nulls_last(c) for c in rest]])
+        order = [F.asc_nulls_last("price_gap"), F.asc_nulls_last("match_url"), *[F.asc_nulls_last(c) for c in rest]]
+        if keyed:
+            df = first_per_key(df, ["listing_id"], order)
+        else:  # urls begin alike: a hash before them
+            df = first_per_key(df.withColumn("_hash", F.xxhash64("url")), ["_hash", "url"], order).drop("_hash")
     elif on_duplicate != "keep":
         raise ValueError(f"unknown on_duplicate: {on_duplicate}")
+    df = df if "listing_id" in df.columns else _with_key(df)
     source = {
         "Listing ID": F.col("listing_id"), "City": F.lit(city), "ZIP Code": F.col("zip_code"),
         "Latitude": F.col("latitude"), "Longitude": F.col("longitude"), "Rent": F.col("rent"), "Beds": F.col("beds"),
@@ -284,28 +302,28 @@ def publish_city(df: DataFrame, city: str, areas: dict[str, str], on_duplicate:
         *[source[name].cast(kind).alias(name) for name, kind in CONTRACT.items()])
 
 
-def match_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
-                stage: Stage = write_once) -> tuple[DataFrame, DataFrame, Matches]:
-    """Clean and match one city's feeds: both cleaned feeds and the matches in factors.
+def clean_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
+                stage: Stage = write_once) -> tuple[DataFrame, DataFrame]:
+    """One city's cleaned feeds with their classes.
 
-    ``stage`` writes what is read again: cleaned feeds and matched classes, merged and filled rows.
+    ``stage`` writes what is read again: cleaned feeds, matched classes and listings alone.
     Left lazy, those reads multiply into a dozen runs of the match, each from the raw feeds.
     """
-    a = stage(classed_a(clean_a(raw_a, rules, area, require_area)), "clean_a")
-    b = stage(classed_b(clean_b(raw_b, rules, area, require_area)), "clean_b")
-    return a, b, factorise(a, b, stage=stage)
+    return (stage(classed_a(clean_a(raw_a, rules, area, require_area)), "clean_a"),
+            stage(classed_b(clean_b(raw_b, rules, area, require_area)), "clean_b"))
 
 
 def merge_feeds(raw_a: DataFrame, raw_b: DataFrame, rules: AddressRules, area: str, require_area: bool,
                 stage: Stage = write_once) -> tuple[DataFrame, Matches]:
     """Clean, match and merge one city's feeds; matches stay in factors."""
-    a, b, matches = match_feeds(raw_a, raw_b, rules, area, require_area, stage)
-    return stage(merge_listings(a, b, matches, area), "merged"), matches
+    a, b = clean_feeds(raw_a, raw_b, rules, area, require_area, stage)
+    matches = factorise(a, b, stage=stage)
+    return merge_listings(a, b, matches, area, stage), matches
 
 
 def _publish(folded: DataFrame, matches: Matches, area: str, city: str, areas: dict[str, str], on_duplicate: str) -> DataFrame:
     rows = best(folded, matches, area) if on_duplicate == "best" else expand(folded, matches, area)
-    return publish_city(rows, city, areas, on_duplicate)
+    return publish_city(rows.drop("listing_id"), city, areas, on_duplicate)
 
 
 def publish_boston(filled: DataFrame, matches: Matches, on_duplicate: str = "error") -> DataFrame:
@@ -320,14 +338,14 @@ def publish_new_york(filled: DataFrame, matches: Matches, polygons: DataFrame, o
 def boston(raw_a: DataFrame, raw_b: DataFrame, on_duplicate: str = "error", stage: Stage = write_once) -> DataFrame:
     """Published Boston listings; raw feeds carry a ``neighborhood``."""
     merged, matches = merge_feeds(raw_a, raw_b, STRICT, "neighborhood", True, stage)
-    return publish_boston(stage(fill_sqft(merged), "filled"), matches, on_duplicate)
+    return publish_boston(fill_sqft(merged), matches, on_duplicate)
 
 
 def new_york(raw_a: DataFrame, raw_b: DataFrame, polygons: DataFrame, on_duplicate: str = "error",
              stage: Stage = write_once) -> DataFrame:
     """Published New York listings; raw feeds carry a ``borough``, areas come from polygons."""
     merged, matches = merge_feeds(raw_a, raw_b, LOOSE, "borough", False, stage)
-    return publish_new_york(stage(fill_sqft(merged), "filled"), matches, polygons, on_duplicate)
+    return publish_new_york(fill_sqft(merged), matches, polygons, on_duplicate)
 
 
 def publish_unified(cities: Sequence[DataFrame], refreshed_at: str | None = None) -> DataFrame:

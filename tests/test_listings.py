@@ -218,3 +218,59 @@ def test_questions_of_matches_read_written_feeds(tables):
     for name in ("union_all_three", "match_listings"):
         files = REGISTRY[name].build(fresh).inputFiles()
         assert files and not [f for f in files if f.endswith("/orders.parquet")]
+
+
+def test_rows_are_written_once_and_without_their_keys(frame):
+    written = {}
+
+    def keep(df, name):
+        written[name] = df.columns
+        return stage(df, name)
+    feeds = frame(A, a("1"), a("2", address="2 Elm", zip_code="10002")), frame(B, b("1"), b("2", address="3 Oak"))
+    out = listings.new_york(*feeds, frame("boroname string, ntaname string, ntaabbrev string, nta2020 string, "
+                                          "edges array<struct<x1: double, y1: double, x2: double, y2: double>>"), "best", keep)
+    assert rows(out) == []
+    assert set(written) == {"clean_a", "clean_b", "pairs", "alone"}
+    assert not {"listing_id", "weight", "a_class", "b_class"} & set(written["alone"])
+
+
+def test_class_names_stay_out_of_the_exchanges_of_a_match(frame):
+    plans = []
+
+    def keep(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+    ca, cb = (stage(c, "c") for c in (listings.classed_a(listings.clean_a(frame(A, a("1")), LOOSE, "borough")),
+                                      listings.classed_b(listings.clean_b(frame(B, b("1")), LOOSE, "borough"))))
+    matches = listings.factorise(ca, cb, stage=keep)
+    assert not [line for line in plans[0].splitlines() if "Aggregate" in line and "class" in line]
+    assert rows(matches.pairs, "a_class") == rows(ca, "a_class") and rows(matches.pairs, "b_class") == rows(cb, "class")
+
+
+def test_both_zeros_are_one_class(frame):
+    left = [a("1", lat=0.0), a("2", lat=-0.0)]
+    found = listings.factorise(*cleaned(frame, left, [b("1", lat=-0.0), b("2", lat=0.0)]))
+    assert rows(found.pairs, "weight") == [(4,)]
+    assert pairs(frame, left, [b("1", lat=-0.0), b("2", lat=0.0)]) == [
+        ("a/1", "b/1"), ("a/1", "b/2"), ("a/2", "b/1"), ("a/2", "b/2")]
+
+
+def test_without_an_id_rows_are_published_by_url(frame):
+    left = [a("1", 1000), a("2", 1000, url="a/1"), a("3", 1000, address="7 Elm")]
+    ca, cb = cleaned(frame, left, [b("1", 1100), b("2", 1050, url="b/x"), b("3", 1050), b("4", address="8 Elm", url="a/3")])
+    matches = listings.factorise(ca, cb)
+    filled = stage(listings.fill_sqft(listings.expand(listings.merge_listings(ca, cb, matches, "borough"), matches, "borough")), "f")
+    assert filled.count() > filled.select("listing_id").distinct().count()
+    for way in ("best", "keep"):
+        wanted = listings.publish_city(filled, "New York City", {"Borough": "borough"}, way)
+        assert rows(listings.publish_city(filled.drop("listing_id"), "New York City", {"Borough": "borough"}, way)) == rows(wanted)
+    with pytest.raises(Exception, match="occurs"):
+        listings.publish_city(filled.drop("listing_id"), "New York City", {"Borough": "borough"}).collect()
+
+
+def test_cities_share_what_is_written(tables):
+    fresh = type(tables)(tables.spark, tables.root)
+    first = fresh.both_cities()
+    assert [sorted(d.inputFiles()) for d in fresh.both_cities()] == [sorted(d.inputFiles()) for d in first]
+    assert not [f for d in first for f in d.inputFiles() if "/listings-" not in f]
+    assert fresh.unified().exceptAll(tables.unified()).count() == tables.unified().exceptAll(fresh.unified()).count() == 0

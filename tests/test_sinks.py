@@ -61,3 +61,29 @@ def test_a_run_owns_its_folder(spark, frame):
         assert rows(sinks.stage(frame("a int", (1,)), "step")) == [(1,)]
         assert len(os.listdir(folder)) == 1
     assert not os.path.exists(folder)
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    def step(k):
+        sums = spark.range(0, 20_000, 1, 4).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("s"))
+        other = spark.range(0, 100, 1, 3).withColumnRenamed("id", "k").repartition(3, "k")
+        return sinks.stage(sums.join(other.hint("merge"), "k").withColumn("k", F.col("k") * k), "step")
+
+    before = files()
+    with ThreadPoolExecutor(2) as pool:
+        steps = list(pool.map(step, (1, 2, 3)))
+    assert files() <= before
+    assert [s.agg(F.sum("s"), F.max("k")).first() for s in steps] == [(199_990_000, 99 * k) for k in (1, 2, 3)]
+    # Settings are as before, also after a write that failed; other actions keep theirs.
+    with pytest.raises(Exception, match="stop"):
+        sinks.stage(spark.range(1).select(F.raise_error(F.lit("stop")).cast("int").alias("a")), "step")
+    assert spark.conf.get(sinks.FREE_SHUFFLES) == "false"
+    twice = spark.range(0, 1_000, 1, 4).groupBy((F.col("id") % 10).alias("k")).count()
+    assert rows(twice) == rows(twice) and files() - before
